@@ -1,0 +1,5 @@
+"""Empty on purpose: every source and sink of this engine is a batch table.
+
+The engine has no stream source, state or late-data rule to express, so there is
+nothing to build here.
+"""
