@@ -7,8 +7,8 @@ from .weeks import (ANCHOR, HISTORY_WEEKS, REVERSE_BASE, TARGET_BASE, day_of,
                     week_runs, with_reverse_week, with_week)
 
 __all__ = [
-    "ANCHOR", "HISTORY_WEEKS", "REVERSE_BASE", "TARGET_BASE",
-    "as_double", "as_int", "is_text", "day_of", "one_over_one_plus_rmse",
-    "restrict_weeks", "reverse_week", "round_half_up_trunc", "stable_mean",
-    "target_week", "week_date_range", "week_number", "with_reverse_week", "with_week",
+    "ANCHOR", "HISTORY_WEEKS", "REVERSE_BASE", "TARGET_BASE", "as_double", "as_int", "day_of",
+    "is_text", "one_over_one_plus_rmse", "restrict_weeks", "reverse_week",
+    "round_half_up_trunc", "stable_mean", "target_week", "week_date_range", "week_number",
+    "week_runs", "with_reverse_week", "with_week",
 ]
