@@ -79,5 +79,8 @@ def matrix_cells(matrix: DataFrame, cols: list[str] | tuple[str, ...], id_col: s
 
 def mask_block(features: Column, week: Column, width: int) -> Column:
     """Zero the block of `week`, so that a label does not sit among its own features."""
-    return F.transform(features, lambda x, i: F.when(
-        (i >= (week - 1) * width) & (i < week * width), F.lit(0.0)).otherwise(x))
+    start = (week - 1) * width
+    masked = F.concat(F.slice(features, F.lit(1), start),
+                      F.array_repeat(F.lit(0.0), width),
+                      F.slice(features, start + width + 1, F.size(features)))
+    return F.when((week >= 1) & (week * width <= F.size(features)), masked).otherwise(features)

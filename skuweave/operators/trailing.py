@@ -49,19 +49,17 @@ def trailing_sums_all_targets(df: DataFrame, cols: list[str] | tuple[str, ...],
                               out: str = "features") -> DataFrame:
     """The same with every observed time of an id as a target: `(id, target, features)`.
 
-    A range frame gathers at most last_lag + 1 earlier slots per row. Rows are
-    unique per id and time before the window, so its groups stay short.
+    One window with a range frame per lag. Rows are unique per id and time before
+    the window, so its groups hold at most one row per time. Newest first, a
+    frame adds up in the order of the lags, as `trailing_sums` does.
     """
     cols = list(cols)
     slots = slot_values(df, id_col, F.col(time_col), cols, duplicates).where("slot IS NOT NULL")
-    frame = Window.partitionBy("id").orderBy("slot").rangeBetween(-last_lag, 0)
-    past = F.map_from_entries(F.collect_list(F.struct("slot", "values")).over(frame))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit(last_lag)),
-        lambda k: slot_or_zeros(F.col("past"), F.col("target") - k, len(cols)))
-    return (slots.select("id", F.col("slot").alias("target"), past.alias("past"))
-            .select(F.col("id").alias(out_id), "target",
-                    _running(blocks, len(cols)).alias(out)))
+    newest_first = Window.partitionBy("id").orderBy(F.desc("slot"))
+    sums = [F.sum(F.col("values")[i]).over(newest_first.rangeBetween(0, lag))
+            for lag in range(last_lag + 1) for i in range(len(cols))]
+    return slots.select(F.col("id").alias(out_id), F.col("slot").alias("target"),
+                        F.array(*sums).alias(out))
 
 
 def lag_columns(df: DataFrame, cols: list[str] | tuple[str, ...], last_lag: int = LAST_LAG,

@@ -178,6 +178,20 @@ errors AS (
   FROM fits t JOIN folded f ON f.fold = t.fold GROUP BY 1, 2)""") + """
 SELECT reg, round(avg(rmse), 6) AS rmse FROM errors GROUP BY 1"""
 
+YOY_LINE = _with(LINES, SALES, "pairs AS (" + _yoy("sales", "BETWEEN 0 AND 303", ["goods_num"])
+                 + """),
+line AS (
+  SELECT regr_slope(label, goods_num) / (1 + 0.1 / stddev_pop(label)) AS slope,
+         avg(label) AS my, avg(goods_num) AS mx FROM pairs),
+guess AS (
+  SELECT sku_id, "weekNum", my + slope * (goods_num - mx) AS p FROM sales, line
+  WHERE "weekNum" BETWEEN 48 AND 52),
+wide AS (SELECT sku_id, """ + ", ".join(
+    f'round(avg(p) FILTER (WHERE "weekNum" = {53 - k}), 6) AS week{k}' for k in range(1, 6))
+                 + " FROM guess GROUP BY 1)") + """SELECT CAST(p_partkey AS VARCHAR) AS sku_id,
+       week1, week2, week3, week4, week5
+FROM part LEFT JOIN wide ON CAST(p_partkey AS VARCHAR) = sku_id"""
+
 CHI = _table("").rstrip() + """,
 flags AS (
   SELECT CAST(goods_num >= 30 AS INTEGER) AS y, [CAST(orginal_shop_price >= 1000 AS INTEGER),
@@ -306,6 +320,7 @@ ORACLES: dict[str, str] = {
         SELECT count(*) FILTER (WHERE l_partkey IS NULL) AS missing,
                count(l_partkey) AS matched
         FROM part LEFT JOIN sold ON p_partkey = l_partkey""",
+    "yoy_forecast_units": YOY_LINE,
     "csv_roundtrip": _table(ALL_COLUMNS),
     "week_folders_roundtrip": _table(ALL_COLUMNS + ' WHERE "weekNum" BETWEEN 48 AND 52'),
     "matrix_roundtrip": _with(*SALES_HISTORY, _last_goods("one", "h")) + _cells(

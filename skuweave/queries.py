@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import operators as op
 from .functions import (restrict_weeks, round_half_up_trunc, target_week, with_reverse_week,
                         with_week)
-from .session import scratch_path
+from .session import scratch_path, staged
 from .sources import (FEATURE_COLUMNS, RAW_COLUMNS, load_model, read_raw,
                       read_weeks, write_csv, write_model, write_table, write_weeks)
 from .sources import testtables as tt
@@ -258,7 +258,8 @@ def _target_row_facts(rows: DataFrame, width: int) -> DataFrame:
     """What can be read off a target row: its own block, and totals over all blocks."""
     own = F.when(F.col("weekNum2").between(1, 55),
                  F.try_element_at("features", ((F.col("weekNum2") - 1) * width + 2)))
-    units = F.filter("features", lambda x, i: i % width == 1)
+    units = F.transform(F.sequence(F.lit(1), F.lit(55)),
+                        lambda w: F.element_at("features", (w - 1) * width + 2))
     total = F.aggregate(units, F.lit(0.0), lambda a, x: a + x)
     weeks = F.size(F.filter(units, lambda x: x != 0))
     return rows.select("sku_id", "weekNum2", "goods_num", own.alias("own_units"),
@@ -268,7 +269,7 @@ def _target_row_facts(rows: DataFrame, width: int) -> DataFrame:
 
 @query
 def target_week_rows(spark, sf_dir):
-    rows = op.target_week_rows(history(spark, sf_dir))
+    rows = op.target_week_rows(staged(history(spark, sf_dir), "features"))
     return _target_row_facts(rows, len(op.MATRIX_COLUMNS))
 
 
@@ -276,8 +277,8 @@ def target_week_rows(spark, sf_dir):
 def target_week_rows_masked(spark, sf_dir):
     """The same without the label among the features; several goods per SKU."""
     cols = ["weekNum2", *SUMMED]
-    rows = op.target_week_rows(sales_history(spark, sf_dir, True), cols=cols, mask_target=True,
-                               spread=4)
+    table = staged(sales_history(spark, sf_dir, True), "sales")
+    rows = op.target_week_rows(table, cols=cols, mask_target=True, spread=4)
     return _target_row_facts(rows, len(cols))
 
 
@@ -317,8 +318,10 @@ def chi_select(spark, sf_dir):
 
 def _one_feature(spark, sf_dir) -> DataFrame:
     """Units of week 40 against the sum over 31 weeks up to week 33."""
-    rows = op.horizon_training_set(sales_history(spark, sf_dir), cols=["goods_num"])
-    rows = rows.select("id", "goods_num", F.col("features")[30].alias("past"))
+    table = staged(sales_history(spark, sf_dir).select("sku_id", "goods_id", "weekNum2",
+                                                       "goods_num"), "sales")
+    rows = op.horizon_training_set(table, cols=["goods_num"])
+    rows = staged(rows.select("id", "goods_num", F.col("features")[30].alias("past")), "rows")
     return op.assemble(rows, ["past"])
 
 
@@ -329,19 +332,17 @@ def _fitted(rows: DataFrame, model) -> DataFrame:
 
 @query
 def linear_fit(spark, sf_dir):
-    with op.kept(_one_feature(spark, sf_dir)) as rows:
-        model = op.linear("features", "goods_num", reg=0.1).fit(rows)
-    return _fitted(_one_feature(spark, sf_dir), model)
+    rows = _one_feature(spark, sf_dir)
+    return _fitted(rows, op.linear("features", "goods_num", reg=0.1).fit(rows))
 
 
 @query
 def model_roundtrip(spark, sf_dir):
     """Save the model, load it and score with the loaded one."""
-    with op.kept(_one_feature(spark, sf_dir)) as rows:
-        model = LinearRegression(labelCol="goods_num", regParam=0.1).fit(rows)
+    rows = _one_feature(spark, sf_dir)
     path = scratch_path(spark, "model")
-    write_model(model, path)
-    return _fitted(_one_feature(spark, sf_dir), load_model(path, "linear"))
+    write_model(LinearRegression(labelCol="goods_num", regParam=0.1).fit(rows), path)
+    return _fitted(rows, load_model(path, "linear"))
 
 
 @query
@@ -367,31 +368,29 @@ def score_metric(spark, sf_dir):
 @query
 def trailing_fit(spark, sf_dir):
     """Linear regression on all 62 trailing sums, tuned by four folds."""
-    rows = op.with_vector(op.horizon_training_set(sales_history(spark, sf_dir)))
-    with op.kept(rows) as stored:
-        train, _ = op.hash_split(stored, ["id"])
-        search = op.tune_linear(train)
+    table = staged(sales_history(spark, sf_dir), "sales")
+    rows = staged(op.with_vector(op.horizon_training_set(table)), "rows")
+    train, _ = op.hash_split(rows, ["id"])
+    search = op.tune_linear(train)
     return op.predict(search.bestModel, rows).select("id", "goods_num", "prediction")
 
 
-def _sales_rows(spark, sf_dir) -> DataFrame:
-    table = op.weekly_sales(tt.goodsale(spark, sf_dir), ANCHOR, PLACES)
-    table = with_reverse_week(table, drop=("weekNum",))
-    rows = op.target_week_rows(table, cols=["goods_num"])
-    return op.assemble(op.with_vector(rows), ["features", "weekNum2"], "features2")
-
-
-def _gbt(spark, sf_dir):
-    with op.kept(_sales_rows(spark, sf_dir)) as rows:
-        train, _ = op.hash_split(rows, ["sku_id", "weekNum2"])
-        return op.boosted_trees(rounds=3, depth=4).fit(train)
+def _boosted(spark, sf_dir):
+    """Sales matrix, rows with their target week, and trees fitted on the training part."""
+    table = staged(sales_history(spark, sf_dir), "sales")
+    matrix = staged(op.with_vector(op.sales_matrix(table)), "matrix")
+    rows = op.assemble(op.target_week_rows(table, matrix, ["goods_num"]),
+                       ["features", "weekNum2"], "features2")
+    with op.kept(rows.select("sku_id", "weekNum2", "goods_num", "features2")) as stored:
+        train, _ = op.hash_split(stored, ["sku_id", "weekNum2"])
+        model = op.boosted_trees(rounds=3, depth=4).fit(train)
+    return matrix, rows, model
 
 
 @query
 def gbt_fit(spark, sf_dir):
-    rows = _sales_rows(spark, sf_dir)
-    return op.predict(_gbt(spark, sf_dir), rows).select("sku_id", "weekNum2", "goods_num",
-                                                        "prediction")
+    _, rows, model = _boosted(spark, sf_dir)
+    return op.predict(model, rows).select("sku_id", "weekNum2", "goods_num", "prediction")
 
 
 # ---- forecasts
@@ -417,18 +416,31 @@ def target_weeks(spark, sf_dir):
 
 def _yoy_forecast(spark, sf_dir) -> DataFrame:
     weeks = sorted({6, 7, 59, 60, *op.YEAR_BEFORE.values()})
-    table = features(spark, sf_dir, weeks=weeks)
-    with op.kept(op.year_over_year(table)) as rows:
-        inputs = op.feature_names(rows)
-        model = op.linear("features", "label").fit(op.assemble(rows, inputs))
+    table = staged(features(spark, sf_dir, weeks=weeks), "weeks")
+    rows = op.year_over_year(table)
+    model = op.linear("features", "label").fit(op.assemble(rows, op.feature_names(rows)))
     return op.forecast_year_over_year(table, tt.submit_example(spark, sf_dir), model)
 
 
 @query
 def yoy_forecast(spark, sf_dir):
+    """Forecast from all features of the weeks a year before."""
     return _yoy_forecast(spark, sf_dir)
 
 
+@query
+def yoy_forecast_units(spark, sf_dir):
+    """The same with the units alone, learnt from every pair of weeks."""
+    table = op.weekly_sales(tt.goodsale(spark, sf_dir), ANCHOR, PLACES).select(
+        "weekNum", "goods_id", "sku_id", "goods_num")
+    table = staged(table, "weeks")
+    rows = op.year_over_year(table, range(0, 304))
+    model = op.linear("features", "label", reg=0.1).fit(op.assemble(rows, ["goods_num"]))
+    forecast = op.forecast_year_over_year(table, tt.submit_example(spark, sf_dir), model)
+    return forecast.select("sku_id", *[F.round(f"week{k}", 6).alias(f"week{k}")
+                                       for k in range(1, 6)])
+
+
 @query
 def forecast_coverage(spark, sf_dir):
     return op.forecast_coverage(_yoy_forecast(spark, sf_dir))
@@ -437,8 +449,8 @@ def forecast_coverage(spark, sf_dir):
 @query
 def forecast_wide(spark, sf_dir):
     """Five weeks per submitted SKU from the boosted trees."""
-    matrix = op.sales_matrix(sales_history(spark, sf_dir))
-    return op.forecast_weeks(tt.submit_example(spark, sf_dir), matrix, _gbt(spark, sf_dir),
+    matrix, _, model = _boosted(spark, sf_dir)
+    return op.forecast_weeks(tt.submit_example(spark, sf_dir), matrix, model,
                              op.matrix_width(1))
 
 

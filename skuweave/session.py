@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans rely on. AQE picks broadcast joins from measured sizes,
 #: splits hot join partitions and merges small ones; the initial partition
@@ -72,3 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table below the shared folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back.
+
+    For a table that several branches of a plan need: it is computed once, later
+    joins know its size, and a lost executor does not send the job back to the
+    raw data.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
