@@ -4,7 +4,7 @@ from .combine import (attach_goods_week, build_feature_table, feature_table_from
                       goods_week_lookup, week_snapshot, year_over_year)
 from .forecast import (HORIZONS, YEAR_BEFORE, forecast_coverage, forecast_grid,
                        forecast_weeks, forecast_year_over_year, matrix_width)
-from .learn import (assemble, boosted_trees, expand, hash_split, kept, linear, predict,
+from .learn import (assemble, boosted_trees, expand, hash_split, linear, predict,
                     random_split, rmse, score_table, top_categorical, training_history,
                     tune_linear, with_fold, with_vector)
 from .lookup import spread_join
@@ -12,8 +12,8 @@ from .matrix import (mask_block, matrix_cells, sales_matrix, value_keyed_matrix,
 from .project import (feature_names, fill_missing, only_week, rename, select_label, stack_sets,
                       typed_projection)
 from .rollup import (fan_out, group_count, preview, row_count, rows_per_week,
-                     submitted_skus_per_week, submitted_units_per_week, submitted_weeks,
-                     typed_prices, typed_traffic, weekly_prices, weekly_sales, weekly_traffic)
+                     submitted_skus_per_week, submitted_units_per_week, typed_prices,
+                     typed_traffic, weekly_prices, weekly_sales, weekly_traffic)
 from .stages import TrailingSums, WeekMatrix
 from .trailing import lag_columns, trailing_sums, trailing_sums_all_targets
 from .training_sets import MATRIX_COLUMNS, horizon_training_set, target_week_rows
@@ -23,11 +23,11 @@ __all__ = [
     "attach_goods_week", "boosted_trees", "build_feature_table", "expand", "fan_out",
     "feature_names", "feature_table_from_weekly", "fill_missing", "forecast_coverage",
     "forecast_grid", "forecast_weeks", "forecast_year_over_year", "goods_week_lookup",
-    "group_count", "hash_split", "horizon_training_set", "kept", "lag_columns", "linear",
+    "group_count", "hash_split", "horizon_training_set", "lag_columns", "linear",
     "mask_block", "matrix_cells", "matrix_width", "only_week", "predict", "preview",
     "random_split", "rename", "rmse", "row_count", "rows_per_week", "sales_matrix",
     "score_table", "select_label", "spread_join", "stack_sets", "submitted_skus_per_week",
-    "submitted_units_per_week", "submitted_weeks", "target_week_rows", "top_categorical",
+    "submitted_units_per_week", "target_week_rows", "top_categorical",
     "trailing_sums", "trailing_sums_all_targets", "training_history", "tune_linear",
     "typed_prices", "typed_projection", "typed_traffic", "value_keyed_matrix", "week_matrix",
     "week_snapshot", "weekly_prices", "weekly_sales", "weekly_traffic", "with_fold",

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (PolynomialExpansion, UnivariateFeatureSelector,
@@ -20,19 +18,6 @@ from pyspark.sql import types as T
 from ..functions import one_over_one_plus_rmse
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a table that is read several times, memory first, then disk.
-
-    A lost executor costs only its own blocks: they are computed again.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 # ---- vectors
 
 def assemble(df: DataFrame, inputs: Sequence[str], out: str = "features") -> DataFrame:

@@ -57,35 +57,34 @@ def preview(df: DataFrame, *order: str | Column, n: int = 100) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def submitted_weeks(sales: DataFrame, template: DataFrame, anchor: dt.date = ANCHOR) -> DataFrame:
-    """Units and SKU-weeks per week, only for SKUs of the template, newest number first.
+def _per_listed_sku(per_sku: DataFrame, template: DataFrame, measure: str, out: str) -> DataFrame:
+    """Sum `measure` per week over the SKUs of the template, latest week number first.
 
-    Sales shrink to one row per SKU and week before the join, so a hot SKU meets
-    the template with at most one row per week. A SKU that the template lists m
-    times counts m times, as in a plain inner join.
+    `per_sku` has one row per SKU and week, so a hot SKU meets the template with
+    at most one row per week. A SKU that the template lists m times counts m
+    times, as in a plain inner join.
     """
-    sales = _ensure_week(sales, anchor)
-    per_goods = sales.groupBy("goods_id", "sku_id", "weekNum").agg(
-        F.sum(as_double(sales, "goods_num")).alias("units"))
-    per_sku = per_goods.groupBy("sku_id", "weekNum").agg(
-        F.sum("units").alias("units"), F.count("*").alias("n"))
     listed = template.groupBy("sku_id").agg(F.count("*").alias("times"))
-    return (per_sku.join(listed, "sku_id")
-            .groupBy("weekNum")
-            .agg(F.sum(F.col("units") * F.col("times")).alias("units"),
-                 F.sum(F.col("n") * F.col("times")).alias("sku_weeks"))
+    return (per_sku.join(listed, "sku_id").groupBy("weekNum")
+            .agg(F.sum(F.col(measure) * F.col("times")).alias(out))
             .orderBy(F.desc("weekNum")))
 
 
 def submitted_units_per_week(sales: DataFrame, template: DataFrame,
                              anchor: dt.date = ANCHOR) -> DataFrame:
-    return submitted_weeks(sales, template, anchor).select("weekNum", "units")
+    """`(weekNum, units)`: units sold per week of the SKUs in the template."""
+    sales = _ensure_week(sales, anchor)
+    per_sku = sales.groupBy("sku_id", "weekNum").agg(
+        F.sum(as_double(sales, "goods_num")).alias("n"))
+    return _per_listed_sku(per_sku, template, "n", "units")
 
 
 def submitted_skus_per_week(sales: DataFrame, template: DataFrame,
                             anchor: dt.date = ANCHOR) -> DataFrame:
-    return submitted_weeks(sales, template, anchor).select(
-        "weekNum", F.col("sku_weeks").alias("count"))
+    """`(weekNum, count)`: goods and SKUs with sales per week, SKUs of the template only."""
+    sold = _ensure_week(sales, anchor).select("goods_id", "sku_id", "weekNum").distinct()
+    per_sku = sold.groupBy("sku_id", "weekNum").agg(F.count("*").alias("n"))
+    return _per_listed_sku(per_sku, template, "n", "count")
 
 
 def group_count(df: DataFrame, key: str) -> DataFrame:

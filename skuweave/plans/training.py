@@ -9,11 +9,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import with_reverse_week
-from ..operators import (MATRIX_COLUMNS, assemble, boosted_trees, expand, feature_names,
-                         hash_split, horizon_training_set, kept, linear, predict, rmse,
+from ..operators import (assemble, boosted_trees, expand, feature_names,
+                         hash_split, horizon_training_set, linear, predict, rmse,
                          sales_matrix, target_week_rows, training_history, tune_linear,
                          week_matrix, with_vector)
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, staged
 from ..sources import check_feature_table, read_features, write_model, write_table
 
 
@@ -31,16 +31,18 @@ def fit_and_score(rows: DataFrame, estimator: Estimator, keys: Iterable[str],
                   train_share: float = 0.8, with_history: bool = False) -> Fit:
     """Fit on the hashed training part of `rows` and score the rest.
 
-    Estimators pass over the data many times, so the assembled rows are kept.
+    The assembled rows are written once. Estimators keep their own form of the
+    rows in memory, so caching them here would hold everything twice; and what a
+    lost executor held is then read again, not joined again.
     """
     features = estimator.getOrDefault("featuresCol")
     label = estimator.getOrDefault("labelCol")
     keys = list(keys)
-    with kept(rows.select(*dict.fromkeys([*keys, features, label]))) as stored:
-        train, test = hash_split(stored, keys, train_share)
-        model = estimator.fit(train)
-        error = rmse(predict(model, test), label)
-        history = training_history(model, train) if with_history else []
+    stored = staged(rows.select(*dict.fromkeys([*keys, features, label])), "rows")
+    train, test = hash_split(stored, keys, train_share)
+    model = estimator.fit(train)
+    error = rmse(predict(model, test), label)
+    history = training_history(model, train) if with_history else []
     return Fit(model, 1.0 / (1.0 + error), history)
 
 
@@ -107,15 +109,10 @@ def train_trailing_sums(spark: SparkSession, path: str, model_path: str | None =
     """Trailing sums up to the target week, linear regression tuned by cross-validation."""
     table = with_reverse_week(check_feature_table(spark.read.parquet(path)), drop=("weekNum",))
     rows = with_vector(horizon_training_set(table, target, horizon, list(cols)))
-    with kept(rows) as stored:
-        train, test = hash_split(stored, ["id"])
-        search = tune_linear(train, "features", "goods_num", folds=folds)
-        best = search.bestModel
-        fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())
+    train, test = hash_split(staged(rows, "rows"), ["id"])
+    best = tune_linear(train, "features", "goods_num", folds=folds).bestModel
+    fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())
     if model_path:
         write_model(best, model_path)
     return fit
 
-
-#: Length of the stored feature vectors, needed to score SKUs without history.
-ALL_WEEKS_COLUMNS = len(MATRIX_COLUMNS)

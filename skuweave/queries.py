@@ -350,8 +350,7 @@ def cv_fit(spark, sf_dir):
     """Mean RMSE over four folds for each candidate, folds dealt by SKU number."""
     rows = _one_feature(spark, sf_dir).withColumn("fold", (F.col("id").cast("int") % 4))
     regs = [0.1, 0.01]
-    with op.kept(rows) as stored:
-        search = op.tune_linear(stored, regs=regs, folds=4, fold_col="fold")
+    search = op.tune_linear(rows, regs=regs, folds=4, fold_col="fold")
     return spark.createDataFrame(
         [(r, round(float(m), 6)) for r, m in zip(regs, search.avgMetrics)],
         "reg double, rmse double")
@@ -381,10 +380,9 @@ def _boosted(spark, sf_dir):
     matrix = staged(op.with_vector(op.sales_matrix(table)), "matrix")
     rows = op.assemble(op.target_week_rows(table, matrix, ["goods_num"]),
                        ["features", "weekNum2"], "features2")
-    with op.kept(rows.select("sku_id", "weekNum2", "goods_num", "features2")) as stored:
-        train, _ = op.hash_split(stored, ["sku_id", "weekNum2"])
-        model = op.boosted_trees(rounds=3, depth=4).fit(train)
-    return matrix, rows, model
+    rows = staged(rows.select("sku_id", "weekNum2", "goods_num", "features2"), "rows")
+    train, _ = op.hash_split(rows, ["sku_id", "weekNum2"])
+    return matrix, rows, op.boosted_trees(rounds=3, depth=4).fit(train)
 
 
 @query

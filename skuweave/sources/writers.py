@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from ..session import kept
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the Parquet table at `path`."""
@@ -40,15 +41,12 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False,
     if not single_file:
         save(df)
         return
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = kept.count()
-        if rows > max_single_rows:
-            raise ValueError(f"{rows} rows are too many for a single file "
+    with kept(df) as rows:
+        count = rows.count()
+        if count > max_single_rows:
+            raise ValueError(f"{count} rows are too many for a single file "
                              f"(limit {max_single_rows}); write parts instead")
-        save(kept.repartition(1))
-    finally:
-        kept.unpersist()
+        save(rows.repartition(1))
 
 
 def write_model(model, path: str) -> None:

@@ -88,8 +88,11 @@ def test_feature_table_check(spark):
 
 def test_submitted_weeks_counts_listed_skus_as_often_as_listed(spark, daily_tables):
     template = spark.createDataFrame([("s1",), ("s1",), ("s9",)], "sku_id string")
-    rows = op.submitted_weeks(daily_tables[0].where("data_date <> '20180230'"), template).collect()
-    assert [tuple(r) for r in rows] == [(7, 2.0, 2), (6, 10.0, 2)]
+    sales = daily_tables[0].where("data_date <> '20180230'")
+    units = op.submitted_units_per_week(sales, template).collect()
+    assert [tuple(r) for r in units] == [(7, 2.0), (6, 10.0)]
+    skus = op.submitted_skus_per_week(sales, template).collect()
+    assert [tuple(r) for r in skus] == [(7, 2), (6, 2)]
 
 
 def test_counts(spark):
