@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import HISTORY_WEEKS, as_int, round_half_up_trunc, target_week
-from .learn import assemble, expand, predict, with_vector
+from .learn import assemble, expand, predict, sized, with_vector
 from .project import feature_names
 
 HORIZONS = 5
@@ -42,9 +42,9 @@ def forecast_weeks(template: DataFrame, matrix: DataFrame, model: Model,
     offset = F.coalesce(as_int(template, "week1"), F.lit(0))
     zeros = array_to_vector(F.array_repeat(F.lit(0.0), width))
     rows = (template.select("sku_id", offset.alias("week1"))
-            .join(with_vector(matrix).select("sku_id", "features"), "sku_id", "left")
+            .join(with_vector(matrix, width).select("sku_id", "features"), "sku_id", "left")
             .select("sku_id", "week1", F.col("features").isNotNull().alias("has_history"),
-                    F.coalesce("features", zeros).alias("features")))
+                    sized(F.coalesce("features", zeros), "features", width)))
     keep = ["sku_id", "has_history", "features", "offset"]
     rows = rows.withColumnRenamed("week1", "offset")
     for k in range(1, horizons + 1):

@@ -8,10 +8,10 @@ from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (PolynomialExpansion, UnivariateFeatureSelector,
                                 UnivariateFeatureSelectorModel, VectorAssembler)
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,15 +21,35 @@ from ..functions import one_over_one_plus_rmse
 # ---- vectors
 
 def assemble(df: DataFrame, inputs: Sequence[str], out: str = "features") -> DataFrame:
-    """Numbers and vectors of a row as one vector, stored sparse where that is smaller."""
+    """Numbers and vectors of a row as one vector, stored sparse where that is smaller.
+
+    The length of a vector input is taken from its column metadata (`sized`).
+    Where that is missing, Spark runs the plan so far to look at a first row.
+    """
     return VectorAssembler(inputCols=list(inputs), outputCol=out).transform(df)
 
 
-def with_vector(df: DataFrame, col: str = "features") -> DataFrame:
-    """Turn an array column into an ML vector; a column that is one already is left alone."""
-    if not isinstance(df.schema[col].dataType, T.ArrayType):
-        return df
-    return df.withColumn(col, array_to_vector(F.col(col)))
+def sized(vector: Column, name: str, size: int) -> Column:
+    """Name a vector column and state its length in the column metadata.
+
+    The metadata goes with the column through joins and Parquet files.
+    """
+    return vector.alias(name, metadata={"ml_attr": {"num_attrs": int(size)}})
+
+
+def is_array(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, T.ArrayType)
+
+
+def with_vector(df: DataFrame, size: int, col: str = "features") -> DataFrame:
+    """Turn an array column into an ML vector of known length; a vector stays as it is."""
+    vector = array_to_vector(F.col(col)) if is_array(df, col) else F.col(col)
+    return df.select(*[sized(vector, c, size) if c == col else F.col(c) for c in df.columns])
+
+
+def with_array(df: DataFrame, col: str = "features") -> DataFrame:
+    """Turn an ML vector column into an array; an array stays as it is."""
+    return df if is_array(df, col) else df.withColumn(col, vector_to_array(F.col(col)))
 
 
 def expand(df: DataFrame, inputs: str = "features2", out: str = "polyfeatures",

@@ -76,11 +76,11 @@ class TrailingSums(Transformer, _SlotParams, DefaultParamsReadable, DefaultParam
         return self._set(statisticTime=value)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self._value("outputCol")
-        return with_vector(trailing_sums(
-            dataset, self._value("cols"), self._value("timeCol"), self._value("idCol"),
-            self._value("targetTime"), self._value("statisticTime"), self._value("duplicates"),
-            self._value("outputIdCol"), out), out)
+        cols, last_lag, out = (self._value(p) for p in ("cols", "statisticTime", "outputCol"))
+        sums = trailing_sums(dataset, cols, self._value("timeCol"), self._value("idCol"),
+                             self._value("targetTime"), last_lag, self._value("duplicates"),
+                             self._value("outputIdCol"), out)
+        return with_vector(sums, (last_lag + 1) * len(cols), out)
 
 
 class WeekMatrix(Transformer, _SlotParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -106,11 +106,13 @@ class WeekMatrix(Transformer, _SlotParams, DefaultParamsReadable, DefaultParamsW
         return self._set(keyedBy=value)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, id_col = self._value("outputCol"), self._value("idCol")
+        cols, weeks, out, id_col, time_col = (
+            self._value(p) for p in ("cols", "weeks", "outputCol", "idCol", "timeCol"))
         if self._value("keyedBy") == "value":
-            matrix = value_keyed_matrix(dataset, id_col, self._value("cols")[0],
-                                        self._value("timeCol"), self._value("weeks"), out)
+            cols = cols[:1]
+            matrix = value_keyed_matrix(dataset, id_col, cols[0], time_col, weeks, out)
         else:
-            matrix = week_matrix(dataset, self._value("cols"), id_col, self._value("timeCol"),
-                                 self._value("weeks"), self._value("duplicates"), out)
-        return with_vector(matrix, out).withColumnRenamed(id_col, self._value("outputIdCol"))
+            matrix = week_matrix(dataset, cols, id_col, time_col, weeks,
+                                 self._value("duplicates"), out)
+        return with_vector(matrix, weeks * len(cols), out).withColumnRenamed(
+            id_col, self._value("outputIdCol"))

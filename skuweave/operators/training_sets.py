@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import HISTORY_WEEKS
 from ..sources.schemas import FEATURE_COLUMNS
+from .learn import with_array
 from .lookup import spread_join
 from .matrix import mask_block, week_matrix
 from .project import fill_missing, select_label
@@ -42,7 +43,8 @@ def target_week_rows(df: DataFrame, matrix: DataFrame | None = None,
                      spread: int = 1) -> DataFrame:
     """The matrix row of each SKU once per week it was sold in, with that week's units.
 
-    `(sku_id, features array<double>, weekNum2, goods_num)`. Matrix and labels come
+    `(sku_id, features, weekNum2, goods_num)`, features as in the matrix given, an
+    array otherwise. Matrix and labels come
     from the same table, so every label has its matrix row and the other way
     round; a SKU that is NULL cannot be matched and is left out.
 
@@ -58,7 +60,7 @@ def target_week_rows(df: DataFrame, matrix: DataFrame | None = None,
     by = [c for c in (week_col, "goods_id") if c in df.columns]
     labels = df.select(F.col(id_col).cast("string").alias(id_col), label_col, *by)
     rows = spread_join(labels, matrix, [id_col], by=by, how="inner", spread=spread)
-    features = F.col("features")
     if mask_target:
-        features = mask_block(features, F.col(week_col), len(cols))
-    return rows.select(id_col, features.alias("features"), week_col, label_col)
+        rows = with_array(rows).withColumn(
+            "features", mask_block(F.col("features"), F.col(week_col), len(cols)))
+    return rows.select(id_col, "features", week_col, label_col)

@@ -9,10 +9,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import with_reverse_week
-from ..operators import (assemble, boosted_trees, expand, feature_names,
-                         hash_split, horizon_training_set, linear, predict, rmse,
+from ..operators import (MATRIX_COLUMNS, assemble, boosted_trees, expand, feature_names,
+                         hash_split, horizon_training_set, linear, matrix_width, predict, rmse,
                          sales_matrix, target_week_rows, training_history, tune_linear,
                          week_matrix, with_vector)
+from ..operators.trailing import LAST_LAG
 from ..session import ensure_checkpoint_dir, staged
 from ..sources import check_feature_table, read_features, write_model, write_table
 
@@ -70,9 +71,11 @@ def train_all_weeks(spark: SparkSession, path: str, model_path: str, rounds: int
     """
     ensure_checkpoint_dir(spark)
     table = with_reverse_week(read_features(spark, path), drop=("weekNum",))
-    write_table(with_vector(week_matrix(table)), matrix_path)
+    width = matrix_width(len(MATRIX_COLUMNS))
+    write_table(with_vector(week_matrix(table), width), matrix_path)
     rows = target_week_rows(table, spark.read.parquet(matrix_path), mask_target=mask_target,
                             spread=spread)
+    rows = with_vector(rows, width)
     rows = assemble(rows, ["features", "weekNum2"], "features2")
     if kind == "linear":
         estimator = linear("features2", reg=0.1, rounds=rounds)
@@ -92,7 +95,7 @@ def train_sales_weeks(spark: SparkSession, path: str, model_path: str, matrix_pa
     """Units of all weeks plus the target week, expanded to products of two columns."""
     ensure_checkpoint_dir(spark)
     table = with_reverse_week(read_features(spark, path), drop=("weekNum",))
-    write_table(with_vector(sales_matrix(table, keyed_by)), matrix_path)
+    write_table(with_vector(sales_matrix(table, keyed_by), matrix_width(1)), matrix_path)
     rows = target_week_rows(table, spark.read.parquet(matrix_path), ["goods_num"])
     rows = assemble(rows, ["features", "weekNum2"], "features2")
     rows = expand(rows, "features2", "polyfeatures", degree)
@@ -108,7 +111,9 @@ def train_trailing_sums(spark: SparkSession, path: str, model_path: str | None =
                         folds: int = 4) -> Fit:
     """Trailing sums up to the target week, linear regression tuned by cross-validation."""
     table = with_reverse_week(check_feature_table(spark.read.parquet(path)), drop=("weekNum",))
-    rows = with_vector(horizon_training_set(table, target, horizon, list(cols)))
+    cols = list(cols)
+    rows = with_vector(horizon_training_set(table, target, horizon, cols),
+                       (LAST_LAG + 1) * len(cols))
     train, test = hash_split(staged(rows, "rows"), ["id"])
     best = tune_linear(train, "features", "goods_num", folds=folds).bestModel
     fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())

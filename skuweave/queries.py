@@ -368,7 +368,7 @@ def score_metric(spark, sf_dir):
 def trailing_fit(spark, sf_dir):
     """Linear regression on all 62 trailing sums, tuned by four folds."""
     table = staged(sales_history(spark, sf_dir), "sales")
-    rows = staged(op.with_vector(op.horizon_training_set(table)), "rows")
+    rows = staged(op.with_vector(op.horizon_training_set(table), 62), "rows")
     train, _ = op.hash_split(rows, ["id"])
     search = op.tune_linear(train)
     return op.predict(search.bestModel, rows).select("id", "goods_num", "prediction")
@@ -377,7 +377,7 @@ def trailing_fit(spark, sf_dir):
 def _boosted(spark, sf_dir):
     """Sales matrix, rows with their target week, and trees fitted on the training part."""
     table = staged(sales_history(spark, sf_dir), "sales")
-    matrix = staged(op.with_vector(op.sales_matrix(table)), "matrix")
+    matrix = staged(op.with_vector(op.sales_matrix(table), op.matrix_width(1)), "matrix")
     rows = op.assemble(op.target_week_rows(table, matrix, ["goods_num"]),
                        ["features", "weekNum2"], "features2")
     rows = staged(rows.select("sku_id", "weekNum2", "goods_num", "features2"), "rows")
@@ -483,7 +483,8 @@ def week_folders_roundtrip(spark, sf_dir):
 def matrix_roundtrip(spark, sf_dir):
     """The week matrix stored as ML vectors and read back."""
     path = scratch_path(spark, "matrix")
-    write_table(op.with_vector(op.sales_matrix(sales_history(spark, sf_dir))), path)
+    matrix = op.sales_matrix(sales_history(spark, sf_dir))
+    write_table(op.with_vector(matrix, op.matrix_width(1)), path)
     stored = spark.read.parquet(path).withColumn("features", vector_to_array("features"))
     return op.matrix_cells(stored, ["goods_num"])
 

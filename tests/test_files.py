@@ -139,6 +139,11 @@ def test_training_needs_three_arguments(capsys):
     assert "<filePath> <modelSavePath> <numRound>" in capsys.readouterr().err
 
 
+def test_train_with_masked_target(jobs):
+    assert main(["train", f"{jobs}/features", f"{jobs}/model-masked", "2", "--kind", "linear",
+                 "--mask-target"]) == 0
+
+
 @pytest.mark.parametrize("kind", ["linear", "gbt"])
 def test_train_and_forecast(spark, folder, jobs, kind, capsys):
     model = f"{jobs}/model-{kind}"

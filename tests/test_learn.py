@@ -25,7 +25,7 @@ def history(spark):
 @pytest.fixture(scope="module")
 def rows(history):
     data = op.target_week_rows(history, cols=["goods_num"])
-    return op.assemble(op.with_vector(data), ["features", "weekNum2"], "features2").cache()
+    return op.assemble(op.with_vector(data, 55), ["features", "weekNum2"], "features2").cache()
 
 
 def test_assembled_width_and_expansion(rows):
@@ -102,7 +102,7 @@ def test_score(rows):
 
 
 def test_cross_validation_picks_the_better_candidate(history):
-    data = op.with_vector(op.horizon_training_set(history, cols=["goods_num"]))
+    data = op.with_vector(op.horizon_training_set(history, cols=["goods_num"]), 31)
     search = op.tune_linear(data, regs=(50.0, 0.01), folds=4)
     assert len(search.avgMetrics) == 2
     best = min(zip(search.avgMetrics, (50.0, 0.01)))[1]
@@ -206,7 +206,7 @@ def test_forecast_grid(spark):
 
 def test_vectors_survive_parquet(spark, history, tmp_path):
     path = str(tmp_path / "matrix")
-    op.with_vector(op.sales_matrix(history)).write.parquet(path)
+    op.with_vector(op.sales_matrix(history), 55).write.parquet(path)
     back = spark.read.parquet(path).select("sku_id", vector_to_array("features").alias("f"))
     assert {r.sku_id: r.f for r in back.collect()} == {
         r.sku_id: r.features for r in op.sales_matrix(history).collect()}

@@ -117,7 +117,7 @@ def test_forecast_shuffles_features_once(spark):
     table = tt.submit_example(spark, SMALL)
     sales = op.weekly_sales(tt.goodsale(spark, SMALL), tt.TEST_ANCHOR)
     history = with_reverse_week(sales, drop=("weekNum",))
-    rows = op.assemble(op.with_vector(op.target_week_rows(history, cols=["goods_num"])),
+    rows = op.assemble(op.with_vector(op.target_week_rows(history, cols=["goods_num"]), 55),
                        ["features", "weekNum2"], "features2")
     model = op.linear(rounds=3).fit(rows)
     matrix = op.sales_matrix(history)
@@ -135,3 +135,37 @@ def test_prices_and_traffic_meet_without_a_further_shuffle(spark):
     assert shuffles == plan_of(prices).count("Exchange hash") + plan_of(traffic).count(
         "Exchange hash")
     assert set(both.columns) == {"weekNum", "goods_id", *FEATURE_COLUMNS[3:]}
+
+
+def jobs_started(spark, build) -> int:
+    """Number of jobs that building a DataFrame starts, before any action on it."""
+    spark.sparkContext.setJobGroup("probe", "probe")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("probe"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_operators_start_no_job(spark, tmp_path):
+    sales = op.weekly_sales(tt.goodsale(spark, SMALL), tt.TEST_ANCHOR)
+    history = with_reverse_week(sales, drop=("weekNum",))
+    template = tt.submit_example(spark, SMALL)
+    path = str(tmp_path / "matrix")
+    op.with_vector(op.sales_matrix(history), 55).write.parquet(path)
+    matrix = spark.read.parquet(path)
+    rows = op.assemble(op.target_week_rows(history, matrix, ["goods_num"]),
+                       ["features", "weekNum2"], "features2")
+    model = op.linear(rounds=3).fit(rows)
+
+    def build():
+        op.week_matrix(history, ["goods_num"])
+        op.horizon_training_set(history)
+        op.trailing_sums_all_targets(history, ["goods_num"], "weekNum2", "sku_id")
+        op.year_over_year(sales)
+        op.assemble(op.target_week_rows(history, matrix, ["goods_num"]),
+                    ["features", "weekNum2"], "features2")
+        op.forecast_weeks(template, matrix, model, 55)
+        op.WeekMatrix(cols=["goods_num"]).transform(history)
+
+    assert jobs_started(spark, build) == 0
