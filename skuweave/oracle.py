@@ -192,6 +192,27 @@ wide AS (SELECT sku_id, """ + ", ".join(
        week1, week2, week3, week4, week5
 FROM part LEFT JOIN wide ON CAST(p_partkey AS VARCHAR) = sku_id"""
 
+# Two features with an L2 term: the normal equations of the standardised columns,
+# with c the correlations and reg / standard deviation of the label on the diagonal.
+FORECAST = _with(*SALES_HISTORY, """past AS (
+  SELECT sku_id, coalesce(sum(goods_num) FILTER (WHERE "weekNum2" BETWEEN 3 AND 33), 0.0) AS x
+  FROM h GROUP BY 1),
+rows AS (SELECT x, "weekNum2" AS w, goods_num AS y FROM h JOIN past USING (sku_id)),
+moments AS (
+  SELECT corr(x, w) AS cxw, corr(x, y) AS cxy, corr(w, y) AS cwy, stddev_pop(x) AS sx,
+         stddev_pop(w) AS sw, stddev_pop(y) AS sy, avg(x) AS mx, avg(w) AS mw, avg(y) AS my,
+         1 + 0.1 / stddev_pop(y) AS d FROM rows),
+line AS (
+  SELECT (d * cxy - cxw * cwy) / (d * d - cxw * cxw) * sy / sx AS bx,
+         (d * cwy - cxw * cxy) / (d * d - cxw * cxw) * sy / sw AS bw, mx, mw, my FROM moments),
+asked AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_partkey IN (SELECT l_partkey FROM lineitem
+         WHERE """ + _week('CAST(l_shipdate AS DATE)') + """ BETWEEN 6 AND 60) AS has_history
+  FROM part)""") + "SELECT a.sku_id, " + ", ".join(
+    f"""CAST(trunc(my + bx * ((CASE WHEN has_history THEN x ELSE 0 END) - mx)
+         + bw * ({61 + k} - mw) + 0.5) AS {{kind}}) AS week{k}""" for k in range(1, 6)) + """{flag}
+FROM asked a LEFT JOIN past p ON a.sku_id = p.sku_id CROSS JOIN line"""
+
 CHI = _table("").rstrip() + """,
 flags AS (
   SELECT CAST(goods_num >= 30 AS INTEGER) AS y, [CAST(orginal_shop_price >= 1000 AS INTEGER),
@@ -285,10 +306,13 @@ ORACLES: dict[str, str] = {
                                    ORDER BY "weekNum2" DESC, goods_id DESC) = 1)""")
     + _cells("one", "sku_id", "slot", {"goods_num": "goods_num"}),
     "trailing_sums": _with(*SALES_HISTORY) + _lag_select("h", 33),
+    "trailing_sums_stage": _with(*SALES_HISTORY) + _lag_select("h", 33),
+    "week_matrix_stage": _with(*SALES_HISTORY, _last_goods("one", "h")) + _cells(
+        "one", "sku_id", "week", {"goods_num": "goods_num", "goods_price": "goods_price"}),
     "trailing_sums_several_goods": _with(
         *SUPPLIER_HISTORY, _last_goods("one", "h")) + _lag_select("one", 50),
     "trailing_sums_all_targets": _all_targets(),
-    "label_rows": _with(*SALES_HISTORY) + """SELECT sku_id AS id, goods_num FROM h
+    "extract_label": _with(*SALES_HISTORY) + """SELECT sku_id AS id, goods_num FROM h
         WHERE "weekNum2" = 40""",
     "horizon_training_set": _with(*SALES_HISTORY) + _lag_select(
         "h", 33, ", coalesce(label, 0.0) AS goods_num",
@@ -321,6 +345,10 @@ ORACLES: dict[str, str] = {
                count(l_partkey) AS matched
         FROM part LEFT JOIN sold ON p_partkey = l_partkey""",
     "yoy_forecast_units": YOY_LINE,
+    "forecast_linear": FORECAST.format(kind="INTEGER", flag=", has_history"),
+    "forecast_file": FORECAST.format(kind="INTEGER", flag="").replace(
+        "CAST(trunc(", "CAST(CAST(trunc(").replace("AS INTEGER) AS week",
+                                                   "AS INTEGER) AS VARCHAR) AS week"),
     "csv_roundtrip": _table(ALL_COLUMNS),
     "week_folders_roundtrip": _table(ALL_COLUMNS + ' WHERE "weekNum" BETWEEN 48 AND 52'),
     "matrix_roundtrip": _with(*SALES_HISTORY, _last_goods("one", "h")) + _cells(

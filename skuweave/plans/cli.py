@@ -20,7 +20,7 @@ from ..functions import ANCHOR
 from ..session import build_session
 from . import features, forecasting, training
 
-TRAIN_USAGE = "Params: <filePath> <modelSavePath> <numRound>"
+TRAIN_USAGE = "train takes exactly three arguments: <filePath> <modelSavePath> <numRound>"
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -215,6 +215,14 @@ def sales_week_matrix_summed(spark, sf_dir):
     return op.matrix_cells(matrix, ["goods_num"])
 
 
+@query
+def week_matrix_stage(spark, sf_dir):
+    """The week matrix as an ML stage, units and prices."""
+    stage = op.WeekMatrix(cols=list(SUMMED))
+    matrix = stage.transform(sales_history(spark, sf_dir))
+    return op.matrix_cells(op.with_array(matrix), SUMMED)
+
+
 @query
 def value_keyed_vector(spark, sf_dir):
     matrix = op.sales_matrix(sales_history(spark, sf_dir), keyed_by="value")
@@ -227,6 +235,15 @@ def trailing_sums(spark, sf_dir):
     return sums.select("id", *op.lag_columns(sums, SUMMED))
 
 
+@query
+def trailing_sums_stage(spark, sf_dir):
+    """The same as an ML stage, with a vector as its result."""
+    stage = op.TrailingSums(cols=list(SUMMED), timeCol="weekNum2", idCol="sku_id", targetTime=33,
+                            statisticTime=30)
+    sums = op.with_array(stage.transform(sales_history(spark, sf_dir)))
+    return sums.select("id", *op.lag_columns(sums, SUMMED))
+
+
 @query
 def trailing_sums_several_goods(spark, sf_dir):
     sums = op.trailing_sums(sales_history(spark, sf_dir, True), SUMMED, "weekNum2", "sku_id", 50)
@@ -243,7 +260,7 @@ def trailing_sums_all_targets(spark, sf_dir):
 # ---- training sets
 
 @query
-def label_rows(spark, sf_dir):
+def extract_label(spark, sf_dir):
     return op.select_label(sales_history(spark, sf_dir), "sku_id", "goods_num",
                            "weekNum2 = 40", id_as="id")
 
@@ -444,6 +461,24 @@ def forecast_coverage(spark, sf_dir):
     return op.forecast_coverage(_yoy_forecast(spark, sf_dir))
 
 
+def _forecast_from_past(spark, sf_dir) -> DataFrame:
+    """Five weeks from two inputs, the sum over 31 weeks up to week 33 and the target week."""
+    table = staged(sales_history(spark, sf_dir), "sales")
+    sums = op.trailing_sums(table, ["goods_num"], "weekNum2", "sku_id", 33, out_id="sku_id")
+    past = staged(op.with_vector(sums.select(
+        "sku_id", F.slice("features", 31, 1).alias("features")), 1), "past")
+    rows = op.assemble(op.target_week_rows(table, past, ["goods_num"]),
+                       ["features", "weekNum2"], "features2")
+    model = op.linear(reg=0.1).fit(rows)
+    known = past.join(_sold_in_history(spark, sf_dir), "sku_id", "left_semi")
+    return op.forecast_weeks(tt.submit_example(spark, sf_dir), known, model, 1)
+
+
+@query
+def forecast_linear(spark, sf_dir):
+    return _forecast_from_past(spark, sf_dir)
+
+
 @query
 def forecast_wide(spark, sf_dir):
     """Five weeks per submitted SKU from the boosted trees."""
@@ -493,7 +528,7 @@ def matrix_roundtrip(spark, sf_dir):
 def forecast_file(spark, sf_dir):
     """The forecast of every submitted SKU as the one CSV file that is handed in."""
     path = scratch_path(spark, "forecast")
-    write_csv(forecast_wide(spark, sf_dir).drop("has_history"), path, single_file=True)
+    write_csv(_forecast_from_past(spark, sf_dir).drop("has_history"), path, single_file=True)
     return read_raw(spark, path, RAW_COLUMNS["submit_example"])
 
 

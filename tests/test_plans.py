@@ -169,3 +169,4 @@ def test_operators_start_no_job(spark, tmp_path):
         op.WeekMatrix(cols=["goods_num"]).transform(history)
 
     assert jobs_started(spark, build) == 0
+    assert jobs_started(spark, lambda: matrix.count()) > 0  # the probe sees jobs
