@@ -14,7 +14,7 @@ from ..operators import (MATRIX_COLUMNS, assemble, boosted_trees, expand, featur
                          sales_matrix, target_week_rows, training_history, tune_linear,
                          week_matrix, with_vector)
 from ..operators.trailing import LAST_LAG
-from ..session import ensure_checkpoint_dir, staged
+from ..session import ensure_checkpoint_dir, staged_for
 from ..sources import check_feature_table, read_features, write_model, write_table
 
 
@@ -39,11 +39,11 @@ def fit_and_score(rows: DataFrame, estimator: Estimator, keys: Iterable[str],
     features = estimator.getOrDefault("featuresCol")
     label = estimator.getOrDefault("labelCol")
     keys = list(keys)
-    stored = staged(rows.select(*dict.fromkeys([*keys, features, label])), "rows")
-    train, test = hash_split(stored, keys, train_share)
-    model = estimator.fit(train)
-    error = rmse(predict(model, test), label)
-    history = training_history(model, train) if with_history else []
+    with staged_for(rows.select(*dict.fromkeys([*keys, features, label])), "rows") as stored:
+        train, test = hash_split(stored, keys, train_share)
+        model = estimator.fit(train)
+        error = rmse(predict(model, test), label)
+        history = training_history(model, train) if with_history else []
     return Fit(model, 1.0 / (1.0 + error), history)
 
 
@@ -114,9 +114,10 @@ def train_trailing_sums(spark: SparkSession, path: str, model_path: str | None =
     cols = list(cols)
     rows = with_vector(horizon_training_set(table, target, horizon, cols),
                        (LAST_LAG + 1) * len(cols))
-    train, test = hash_split(staged(rows, "rows"), ["id"])
-    best = tune_linear(train, "features", "goods_num", folds=folds).bestModel
-    fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())
+    with staged_for(rows, "rows") as stored:
+        train, test = hash_split(stored, ["id"])
+        best = tune_linear(train, "features", "goods_num", folds=folds).bestModel
+        fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())
     if model_path:
         write_model(best, model_path)
     return fit

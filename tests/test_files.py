@@ -139,9 +139,11 @@ def test_training_needs_three_arguments(capsys):
     assert "<filePath> <modelSavePath> <numRound>" in capsys.readouterr().err
 
 
-def test_train_with_masked_target(jobs):
+def test_train_with_masked_target(spark, jobs):
+    before = set(Path(checkpoint_root(spark)).glob("rows-*"))
     assert main(["train", f"{jobs}/features", f"{jobs}/model-masked", "2", "--kind", "linear",
                  "--mask-target"]) == 0
+    assert set(Path(checkpoint_root(spark)).glob("rows-*")) == before
 
 
 @pytest.mark.parametrize("kind", ["linear", "gbt"])

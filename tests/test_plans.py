@@ -9,7 +9,7 @@ from conftest import SMALL, plan_of
 from skuweave import operators as op
 from skuweave.functions import with_reverse_week
 from skuweave.queries import QUERIES
-from skuweave.sources import FEATURE_COLUMNS, PRICE_COLUMNS, TRAFFIC_COLUMNS
+from skuweave.sources import FEATURE_COLUMNS, PRICE_COLUMNS, TRAFFIC_COLUMNS, write_weeks
 from skuweave.sources import testtables as tt
 
 RELATIONAL = ("weekly_sales", "feature_table", "week_snapshot", "yoy_training_set",
@@ -103,6 +103,15 @@ def test_hot_sku_is_split_among_target_rows(spark, small_partitions):
     assert len(got) == 100_000 and sum(r.sku_id == "hot" for r in got) > 33_000
 
 
+def test_a_large_week_is_written_in_several_files(spark, small_partitions, tmp_path):
+    table = hot_weekly_sales(spark).where("weekNum IN (7, 8, 9)")
+    write_weeks(table, str(tmp_path / "weeks"))
+    files = {w: len(list((tmp_path / "weeks" / f"weekNum={w}").glob("*.parquet")))
+             for w in (7, 8, 9)}
+    assert files[7] > 3 and files[8] <= 2 and files[9] <= 2
+    assert spark.read.parquet(str(tmp_path / "weeks")).count() == table.count()
+
+
 def test_hot_sku_reaches_the_matrix_as_one_row_per_week(spark):
     """Rows of a SKU are reduced on the map side, before the first shuffle."""
     table = with_reverse_week(hot_weekly_sales(spark), drop=("weekNum",)).withColumn(
