@@ -20,14 +20,15 @@ def in_range(col: Column, first: int, last: int) -> Column:
 def week_matrix(df: DataFrame, cols: tuple[str, ...] | list[str] = ("weekNum2",) + FEATURE_COLUMNS,
                 id_col: str = "sku_id", week_col: str = "weekNum2",
                 weeks: int = HISTORY_WEEKS, duplicates: str = "last_goods",
-                out: str = "features") -> DataFrame:
+                out: str = "features", nulls: str = "zero") -> DataFrame:
     """`(id, features array<double>[weeks * len(cols)])`, week by week, oldest first.
 
     A week without a row is a block of zeros. An id whose rows all lie outside
     weeks 1..`weeks` still gets its (all zero) row.
     """
     cols = list(cols)
-    slots = slot_values(df, id_col, in_range(F.col(week_col), 1, weeks), cols, duplicates)
+    slots = slot_values(df, id_col, in_range(F.col(week_col), 1, weeks), cols, duplicates,
+                        nulls)
     return _dense(slots_by_id(slots), len(cols), weeks, id_col, out)
 
 

@@ -6,10 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DUPLICATES = ("last_goods", "sum", "error")
+NULLS = ("zero", "error")
+
+
+def measure(col: str, nulls: str = "zero") -> Column:
+    """A measure as double. Text that is no number is an error; NULL is 0 or an error."""
+    if nulls not in NULLS:
+        raise ValueError(f"nulls must be one of {NULLS}")
+    if nulls == "error":
+        missing = F.raise_error(F.lit(f"{col} is NULL")).cast("double")
+    else:
+        missing = F.lit(0.0)
+    return F.coalesce(F.col(col).cast("double"), missing)
 
 
 def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
-                duplicates: str = "last_goods", goods_col: str = "goods_id") -> DataFrame:
+                duplicates: str = "last_goods", nulls: str = "zero",
+                goods_col: str = "goods_id") -> DataFrame:
     """`(id, slot int, values array<double>)`, unique on id and slot.
 
     `slot` is NULL for rows outside the wanted range. Their values are dropped
@@ -19,11 +32,11 @@ def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
     Several goods may sell the same SKU in a week. `last_goods` takes the row of
     the highest goods id (ties: highest values), `sum` adds them up, `error`
     trusts the input to be unique and saves the shuffle; a later step then fails
-    on a duplicate. NULL values count as 0.
+    on a duplicate. NULL values count as 0, or fail with `nulls="error"`.
     """
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates must be one of {DUPLICATES}")
-    measures = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    measures = [measure(c, nulls) for c in cols]
     rows = df.select(F.col(id_col).cast("string").alias("id"), slot.cast("int").alias("slot"),
                      *([F.col(goods_col).alias("goods")] if goods_col in df.columns else []),
                      F.array(*measures).alias("values"))

@@ -29,7 +29,7 @@ def _running(blocks: Column, width: int) -> Column:
 
 def trailing_sums(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: str, id_col: str,
                   target: int, last_lag: int = LAST_LAG, duplicates: str = "last_goods",
-                  out_id: str = "id", out: str = "features") -> DataFrame:
+                  out_id: str = "id", out: str = "features", nulls: str = "zero") -> DataFrame:
     """`(id string, features array<double>[(last_lag + 1) * len(cols)])`, lag by lag.
 
     For lag k the block holds, per column, the sum over times target - k..target.
@@ -37,7 +37,7 @@ def trailing_sums(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: st
     """
     cols = list(cols)
     slot = in_range(F.col(time_col), target - last_lag, target)
-    collected = slots_by_id(slot_values(df, id_col, slot, cols, duplicates))
+    collected = slots_by_id(slot_values(df, id_col, slot, cols, duplicates, nulls))
     blocks = F.transform(F.sequence(F.lit(0), F.lit(last_lag)),
                          lambda k: slot_or_zeros(F.col("by_slot"), F.lit(target) - k, len(cols)))
     return collected.select(F.col("id").alias(out_id), _running(blocks, len(cols)).alias(out))
@@ -46,7 +46,7 @@ def trailing_sums(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: st
 def trailing_sums_all_targets(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: str,
                               id_col: str, last_lag: int = LAST_LAG,
                               duplicates: str = "last_goods", out_id: str = "id",
-                              out: str = "features") -> DataFrame:
+                              out: str = "features", nulls: str = "zero") -> DataFrame:
     """The same with every observed time of an id as a target: `(id, target, features)`.
 
     One window with a range frame per lag. Rows are unique per id and time before
@@ -54,7 +54,8 @@ def trailing_sums_all_targets(df: DataFrame, cols: list[str] | tuple[str, ...],
     frame adds up in the order of the lags, as `trailing_sums` does.
     """
     cols = list(cols)
-    slots = slot_values(df, id_col, F.col(time_col), cols, duplicates).where("slot IS NOT NULL")
+    slots = slot_values(df, id_col, F.col(time_col), cols, duplicates,
+                        nulls).where("slot IS NOT NULL")
     newest_first = Window.partitionBy("id").orderBy(F.desc("slot"))
     sums = [F.sum(F.col("values")[i]).over(newest_first.rangeBetween(0, lag))
             for lag in range(last_lag + 1) for i in range(len(cols))]

@@ -151,6 +151,20 @@ def test_duplicates_can_be_refused(spark):
         op.sales_matrix(twice, duplicates="error").collect()
 
 
+def test_null_and_text_measures(spark):
+    df = spark.createDataFrame([("1", "s1", "3", "2.5"), ("2", "s1", "4", None)],
+                               "goods_id string, sku_id string, weekNum2 string, goods_num string")
+    sums = op.trailing_sums(df, ["goods_num"], "weekNum2", "sku_id", 4, last_lag=2)
+    assert sums.first().features == [0.0, 2.5, 2.5]
+    for refused in (op.trailing_sums(df, ["goods_num"], "weekNum2", "sku_id", 4, nulls="error"),
+                    op.sales_matrix(df, nulls="error")):
+        with pytest.raises(Exception, match="goods_num is NULL"):
+            refused.collect()
+    bad = df.withColumn("goods_num", F.lit("many"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        op.sales_matrix(bad).collect()
+
+
 def test_value_keyed(spark):
     df = spark.createDataFrame([("s1", "g", 1, 3.0), ("s1", "g", 2, 3.5), ("s1", "g", 3, 60.0),
                                 ("s2", "g", 1, 0.2)], HISTORY)
