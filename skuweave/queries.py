@@ -178,7 +178,7 @@ def yoy_training_set(spark, sf_dir):
 
 @query
 def yoy_training_set_all_weeks(spark, sf_dir):
-    return op.year_over_year(features(spark, sf_dir), range(0, 304))
+    return op.year_over_year(staged(features(spark, sf_dir), "features"), range(0, 304))
 
 
 @query
@@ -192,7 +192,7 @@ def yoy_stacked(spark, sf_dir):
 def yoy_several_goods(spark, sf_dir):
     """SKUs sold under several goods: the label is per SKU and does not multiply rows."""
     sales = op.weekly_sales(tt.goodsale_by_supplier(spark, sf_dir), ANCHOR, PLACES)
-    return op.year_over_year(sales, range(0, 304), spread=4)
+    return op.year_over_year(staged(sales, "sales"), range(0, 304), spread=4)
 
 
 # ---- matrices and trailing sums
