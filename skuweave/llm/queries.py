@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -73,5 +73,29 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM folded WINDOW same AS (PARTITION BY body)
 """
 
-QUERIES = {"op5_mixture": op5_mixture, "op7_exact_dedup": op7_exact_dedup}
+#: The vocabulary of op1; any sentencepiece file with scores will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"),
+                                     token_counts.read_pieces(pieces))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity,
+           "op7_exact_dedup": op7_exact_dedup, "op10_quality": op10_quality}
 ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL}
