@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, token_counts, toxicity
+from . import (
+    decontaminate,
+    exact_dedup,
+    mixing,
+    quality,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 
@@ -89,6 +97,82 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+#: (verdict, host, path) of op8.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"),
+             ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+ROUNDS = 8
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, rounds=ROUNDS)
+
+
+def _propagation_sql(name: str, links: str, seeds: str) -> str:
+    """CTEs for the rounds of one direction; the last is called `name`."""
+    unit, last = url_filter.UNIT, f"{name}_{ROUNDS}"
+    parts = [f"""{name}_seed AS (
+  SELECT host, (pages * {unit} // sum(pages) OVER ())::BIGINT AS seed
+  FROM (SELECT host, {seeds} AS pages FROM hosts) WHERE pages > 0)""",
+             f"{name}_0 AS (SELECT host, seed AS mass FROM {name}_seed)"]
+    for k in range(ROUNDS):
+        parts.append(f"""{name}_{k + 1} AS (
+  SELECT host, sum(mass)::BIGINT AS mass FROM (
+    SELECT dst AS host, mass * 85 * links // (100 * fanout) AS mass
+    FROM {name}_{k} m JOIN (SELECT *, sum(links) OVER (PARTITION BY src) AS fanout FROM {links}) l
+      ON m.host = l.src
+    UNION ALL SELECT host, seed * 15 // 100 FROM {name}_seed) GROUP BY host)""")
+    return ",\n".join(parts) + f",\n{name} AS (SELECT * FROM {last})"
+
+
+def _rule_sql(what: str) -> str:
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') "
+        f"THEN '{h + p if what == 'rule' else verdict}'" for verdict, h, p in longest) + " END"
+
+
+OP8_SQL = rf"""
+WITH read AS (
+  SELECT page_id, html,
+         coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (SELECT *, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS of_rule FROM read),
+hosts AS (SELECT host, count(*) FILTER (of_rule = 'allow') AS allowed,
+                 count(*) FILTER (of_rule = 'block') AS blocked FROM ruled GROUP BY host),
+named AS (
+  SELECT host AS src, unnest(regexp_extract_all(html,
+    '(?i)(?:href|src)\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) AS link FROM read),
+linked AS (
+  SELECT src, translate(regexp_extract(CASE WHEN link LIKE '//%' THEN 'http:' || link ELSE link END,
+                 '^(?s:.*?)://([^/?#]*)', 1),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM named),
+split AS (SELECT DISTINCT host, string_split(host, '.') AS part FROM read),
+up AS (
+  SELECT DISTINCT array_to_string(part[k:], '.') AS src, array_to_string(part[k + 1:], '.') AS dst
+  FROM (SELECT part, unnest(range(1, len(part) - 1)) AS k FROM split WHERE len(part) > 2)),
+links AS (
+  SELECT src, dst, sum(links)::BIGINT AS links FROM (
+    SELECT src, dst, 1 AS links FROM linked WHERE src <> dst AND src <> '' AND dst <> ''
+    UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY src, dst),
+back AS (SELECT dst AS src, src AS dst, links FROM links),
+{_propagation_sql('trust', 'links', 'allowed')},
+{_propagation_sql('distrust', 'back', 'blocked')},
+judged AS (
+  SELECT h.host, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END
+           AS verdict
+  FROM hosts h LEFT JOIN trust t ON h.host = t.host LEFT JOIN distrust d ON h.host = d.host)
+SELECT page_id, r.host, path, rule, coalesce(of_rule, verdict) AS verdict
+FROM ruled r JOIN judged j ON r.host = j.host
+"""
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaking_items(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -97,5 +181,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity,
-           "op7_exact_dedup": op7_exact_dedup, "op10_quality": op10_quality}
-ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+           "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
+           "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality}
+ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
