@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     exact_dedup,
+    line_dedup,
     mixing,
+    ngram_join,
     quality,
     token_counts,
     toxicity,
@@ -17,6 +19,14 @@ from . import (
 from .common import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -180,7 +190,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity,
-           "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_join": op2_ngram_join,
+           "op4_line_dedup": op4_line_dedup,
+           "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
            "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality}
 ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
