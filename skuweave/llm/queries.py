@@ -12,6 +12,7 @@ from . import (
     mixing,
     ngram_join,
     quality,
+    repeats,
     token_counts,
     toxicity,
     url_filter,
@@ -23,6 +24,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), length=200).select(
+        "doc_id", "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"]).alias(
+            "n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -191,6 +200,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_join": op2_ngram_join,
+           "op3_repeats": op3_repeats,
            "op4_line_dedup": op4_line_dedup,
            "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
            "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality}
