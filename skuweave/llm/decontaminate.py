@@ -25,18 +25,20 @@ def token_hashes(text: Column) -> Column:
 
 
 def with_seeds(rows: DataFrame) -> DataFrame:
-    """Rows with `tokens` become one row per mask and offset: columns `seed` and `pos`."""
-    span = max(max(mask) for mask in MASKS) + 1
-    places = F.col("places")
-
-    def seeds(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(F.sequence(F.lit(0), places - 1), lambda i: F.xxhash64(
-            F.lit(k), *[F.get("tokens", i + p) for p in mask]))
+    """Rows with `tokens` become one row per offset and mask: columns `pos` and `seed`.
 
-    both = F.flatten(F.array(*[seeds(k, mask) for k, mask in enumerate(MASKS)]))
-    return (rows.withColumn("places", F.size("tokens") - (span - 1)).where("places > 0")
-            .select("*", F.posexplode(both).alias("at", "seed"))
-            .withColumn("pos", F.col("at") % places))
+    Offsets are generated first and seeds are computed from the array they index, so
+    that both are part of generated code and the array is not copied. The outer form of
+    the generator keeps the optimizer from filtering on the array, which would make it a
+    second time.
+    """
+    span = max(max(mask) for mask in MASKS) + 1
+    seeds = F.array(*[
+        F.xxhash64(F.lit(k), *[F.get("tokens", F.col("pos") + p) for p in mask])
+        for k, mask in enumerate(MASKS)])
+    return (rows.select("*", F.posexplode_outer("tokens").alias("pos", "token")).drop("token")
+            .where(F.col("pos") <= F.size("tokens") - span)
+            .select("*", F.explode(seeds).alias("seed")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -69,24 +71,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         seeds = F.broadcast(seeds)
 
     rows = docs.select(doc_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
-                       token_hashes(whole(text_col)).alias("tokens")).where(
-        F.size("tokens") >= WINDOW)
-    hits = with_seeds(rows).join(seeds, "seed")
-    shift = F.col("pos") - F.col("item_pos")
+                       token_hashes(whole(text_col)).alias("tokens"))
+    hits = with_seeds(rows).join(seeds, "seed").select(
+        "key", "id", "item", "tokens", "item_tokens",
+        (F.col("pos") - F.col("item_pos")).alias("shift"))
     equal = F.transform("item_tokens", lambda t, j: F.when(
-        (shift + j >= 0) & F.get("tokens", shift + j).eqNullSafe(t), 1).otherwise(0))
-    windows = F.filter(
-        F.sequence(F.lit(0), F.size("item_tokens") - WINDOW),
-        lambda s: F.aggregate(F.slice(F.col("equal"), s + 1, WINDOW), F.lit(0),
-                              lambda total, e: total + e) >= LEAST_EQUAL)
-    return (hits.select("key", "id", "item", shift.alias("shift"), "item_tokens",
-                        equal.alias("equal"))
-            .select("key", "id", "item", "shift", "equal", windows.alias("windows"))
+        (F.col("shift") + j >= 0) & F.get("tokens", F.col("shift") + j).eqNullSafe(t), 1).otherwise(0))
+
+    def windows(equal: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size("item_tokens") - WINDOW),
+                        lambda s: F.aggregate(F.slice(equal, s + 1, WINDOW), F.lit(0),
+                                              lambda total, e: total + e) >= LEAST_EQUAL)
+
+    # As a generator the comparison stays above the join and sees its hits only.
+    compared = F.transform(F.array(equal), lambda e: F.struct(
+        windows(e).alias("windows"),
+        F.aggregate(e, F.lit(0), lambda total, x: total + x).alias("n_equal")))
+    return (hits.select("key", "id", "item", "shift", F.inline_outer(compared))
             .where(F.size("windows") > 0)
             .select("key", "id", "item",
                     (F.array_min("windows") + F.col("shift")).alias("doc_from"),
-                    (F.array_max("windows") + F.col("shift") + WINDOW).alias("doc_to"),
-                    F.aggregate("equal", F.lit(0), lambda total, e: total + e).alias("n_equal"))
+                    (F.array_max("windows") + F.col("shift") + WINDOW).alias("doc_to"), "n_equal")
             .distinct())
 
 
