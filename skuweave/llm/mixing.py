@@ -58,28 +58,22 @@ def hash_of_id(id_col: str):
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
-            share_percent: int = 150, cap: int = 2) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies, taken.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, size, h) of every document."""
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        word_count(whole(text_col)).alias("size"), hash_of_id(id_col).alias("h"))
 
-    size counts words. A source whose target is r times its size takes every document
-    floor(r) times and, of the rest, the documents whose hash lies at or below the
-    source's threshold. The threshold is found without sorting documents: words are
-    summed by source and the first ten bits of the hash, the bucket where the running
-    sum passes the budget is cut by the next ten bits, and so on to the last bit. Each
-    level groups only the documents in the bucket that the level before has left, and a
-    histogram has at most 1,024 rows per source. Of the two sums around the budget the
-    nearer is taken, so the words taken differ from the target by at most half of one
-    document (or of the documents that share its hash).
 
-    The choice depends on ids alone: reruns agree, and a smaller target takes a subset.
-    NULL texts have size 0, NULL sources are a source, NULL ids share one hash; rows
-    with equal ids are taken or left together.
+def plan_of(rows: DataFrame, weights: tuple[int, ...], share_percent: int, cap: int) -> DataFrame:
+    """One row per source: s, source_size, target, base copies, threshold of the hash.
+
+    The threshold is found without sorting documents: words are summed by source and the
+    first ten bits of the hash, the bucket where the running sum passes the budget is cut
+    by the next ten bits, and so on to the last bit. Each level groups only the documents
+    in the bucket that the level before has left, and a histogram has at most 1,024 rows
+    per source. Of the two sums around the budget the nearer is taken.
     """
-    rows = stage(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(whole(text_col)).alias("size"), hash_of_id(id_col).alias("h")), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, share_percent, cap).withColumn(
         "base", F.when(F.col("source_size") > 0, F.least(
@@ -87,46 +81,67 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("budget", F.greatest(F.col("target") - F.col("base") * F.col("source_size"),
                                       F.lit(0.0))), "mix-targets")
 
-    # (source, low): the hash bits decided so far, words below them, the budget.
+    # Per source: the hash bits decided so far, the words below them, the budget.
     open_ = targets.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("head"),
                            F.lit(0).cast("long").alias("below"), "budget")
+    same = F.col("source").eqNullSafe(F.col("s"))
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         here = F.shiftright("h", shift + LEVEL_BITS) == F.col("head")
-        same = F.col("source").eqNullSafe(F.col("s"))
         inside = rows.join(open_.select("s", "head"), same & here, "left_semi") if level else rows
         hist = inside.groupBy("source", F.shiftright("h", shift).alias("bits")).agg(
-            F.sum("size").alias("words")).join(open_.drop("head"), same).select(
+            F.sum("size").alias("words")).join(open_.select("s", "below", "budget"), same).select(
             "s", F.col("bits").alias("head"), "words", "below", "budget")
         upto = F.sum("words").over(Window.partitionBy("s").orderBy("head"))
         hist = hist.withColumn("upto", F.col("below") + upto)
-        last = level == HASH_BITS // LEVEL_BITS - 1
         # The bucket in which the running sum reaches the budget.
         edge = hist.where((F.col("upto") >= F.col("budget"))
                           & (F.col("upto") - F.col("words") < F.col("budget")))
         open_ = stage(edge.select("s", "head", (F.col("upto") - F.col("words")).alias("below"),
-                                  "budget", *([F.col("upto")] if last else [])),
-                      f"mix-level{level}")
+                                  "budget", "upto"), f"mix-level{level}")
     nearer = F.col("upto") - F.col("budget") < F.col("budget") - F.col("below")
     threshold = open_.select("s", F.when(nearer, F.col("head")).otherwise(
         F.col("head") - 1).alias("threshold"))
-    plan = targets.join(threshold, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return targets.join(threshold, same, "left").select(
         F.col("source").alias("s"), "source_size", "target", "base",
         F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
+            share_percent: int = 150, cap: int = 2) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies, taken.
+
+    size counts words. A source whose target is r times its size takes every document
+    floor(r) times and, of the rest, the documents whose hash lies at or below the
+    source's threshold, so the words taken differ from the target by at most half of one
+    document (or of the documents that share its hash).
+
+    The choice depends on ids alone: reruns agree, and a smaller target takes a subset.
+    NULL texts have size 0, NULL sources are a source, NULL ids share one hash; rows
+    with equal ids are taken or left together. Only the three named columns are read.
+    """
+    rows = stage(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    plan = stage(plan_of(rows, weights, share_percent, cap), "mix-plan")
     copies = F.col("base") + (F.col("h") <= F.col("threshold")).cast("long")
     return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mixture itself: the documents, each as often as the mixture takes it, all columns.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
+        share_percent: int = 150, cap: int = 2) -> DataFrame:
+    """The documents that the mixture takes, all columns and `copies`, how often each is taken.
 
-    A document with several copies is repeated by a generator in the task that holds it.
+    Texts are not moved: whether a document is taken follows from its own id and its
+    source's row of the plan.
     """
-    chosen = mixture(docs, id_col, text_col, **options).select(
-        F.col(id_col).alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"])
-                     & docs[options.get("source_col", "source")].eqNullSafe(chosen["_source"])) \
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))) \
-        .drop("_copy", "_id", "_source", "copies")
+    rows = stage(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    plan = stage(plan_of(rows, weights, share_percent, cap), "mix-plan").select(
+        F.col("s").alias("_mix_source"), F.col("base").alias("_mix_base"),
+        F.col("threshold").alias("_mix_threshold"))
+    copies = F.col("_mix_base") + (hash_of_id(id_col) <= F.col("_mix_threshold")).cast("long")
+    return docs.join(plan, docs[source_col].eqNullSafe(plan["_mix_source"])).select(
+        *[docs[f"`{c}`"] for c in docs.columns if c != "copies"], copies.alias("copies")).where(
+        "copies > 0")

@@ -307,13 +307,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return model
 
 
-def _evidence(rows: DataFrame, model: ToxicityModel, text_col: str) -> DataFrame:
+def _evidence(rows: DataFrame, model: ToxicityModel, text_col: str,
+              name: str = "evidence") -> DataFrame:
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         evidence = model.judge()
         for batch in texts:
             yield batch.map(evidence).astype("float64")
 
-    return rows.withColumn("evidence", F.pandas_udf(judge, "double", F.PandasUDFType.SCALAR_ITER)(
+    return rows.withColumn(name, F.pandas_udf(judge, "double", F.PandasUDFType.SCALAR_ITER)(
         whole(text_col)))
 
 
@@ -338,8 +339,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
                threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, all their columns."""
     cut = math.log(threshold / (1 - threshold))
-    scored = _evidence(docs.withColumn("_toxic_body", F.col(text_col)), model, "_toxic_body")
-    return scored.where(F.col("evidence") * model.slope + model.intercept < cut).select(
+    scored = _evidence(docs, model, text_col, "_toxic_evidence")
+    return scored.where(F.col("_toxic_evidence") * model.slope + model.intercept < cut).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
