@@ -1,11 +1,58 @@
-"""The text pipeline; its stages come with their operators."""
+"""From raw documents to a training mixture: five stages, each written before the next reads it.
 
+1. toxicity: documents that the toxicity score rejects go.
+2. line dedup: lines that stand elsewhere, at most one edit apart, go.
+3. n-gram join: of each group of near-duplicate documents one stays.
+4. decontamination: documents that overlap a benchmark item go.
+5. mixing: the sources are mixed to their target weights; `copies` says how often a document is used.
+
+All stages but the last return the columns of documents. Each works on all that the one
+before has kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skuweave.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from skuweave.llm.common import stage, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_duplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram join", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
+
+#: SQL cannot express the first stages; the tests compare each with a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
