@@ -125,7 +125,8 @@ def with_reverse_week(df: DataFrame, out: str = "weekNum2", base: int = REVERSE_
 def target_week(df: DataFrame, horizon: int, first_week_col: str = "week1") -> Column:
     """Reverse week that forecast `horizon` (1 is the first) asks for.
 
-    The template holds an offset in its first week column, normally 0.
+    The template holds an offset in its first week column, normally 0; a missing or
+    unreadable one counts as 0.
     """
     from .casts import as_int
-    return (as_int(df, first_week_col) + F.lit(TARGET_BASE + horizon)).cast("int")
+    return (F.coalesce(as_int(df, first_week_col), F.lit(0)) + F.lit(TARGET_BASE + horizon)).cast("int")

@@ -5,11 +5,11 @@ from .combine import (attach_goods_week, build_feature_table, feature_table_from
 from .forecast import (HORIZONS, YEAR_BEFORE, forecast_coverage, forecast_grid,
                        forecast_weeks, forecast_year_over_year, matrix_width)
 from .learn import (assemble, boosted_trees, expand, hash_split, linear, predict,
-                    random_split, rmse, score_table, sized, top_categorical, training_history,
+                    rmse, score_table, sized, top_categorical, training_history,
                     tune_linear, with_array, with_fold, with_vector)
 from .lookup import spread_join
 from .matrix import (mask_block, matrix_cells, sales_matrix, value_keyed_matrix, week_matrix)
-from .project import (feature_names, fill_missing, only_week, rename, select_label, stack_sets,
+from .project import (feature_names, fill_missing, only_week, select_label, stack_sets,
                       typed_projection)
 from .rollup import (fan_out, group_count, preview, row_count, rows_per_week,
                      submitted_skus_per_week, submitted_units_per_week, typed_prices,
@@ -25,7 +25,7 @@ __all__ = [
     "forecast_grid", "forecast_weeks", "forecast_year_over_year", "goods_week_lookup",
     "group_count", "hash_split", "horizon_training_set", "lag_columns", "linear",
     "mask_block", "matrix_cells", "matrix_width", "only_week", "predict", "preview",
-    "random_split", "rename", "rmse", "row_count", "rows_per_week", "sales_matrix",
+    "rmse", "row_count", "rows_per_week", "sales_matrix",
     "score_table", "sized", "select_label", "spread_join", "stack_sets", "submitted_skus_per_week",
     "submitted_units_per_week", "target_week_rows", "top_categorical",
     "trailing_sums", "trailing_sums_all_targets", "training_history", "tune_linear",

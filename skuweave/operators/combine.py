@@ -92,18 +92,26 @@ def week_snapshot(sales: DataFrame, promo: DataFrame, daily: DataFrame, week: in
         *FEATURE_TABLE_COLUMNS)
 
 
-def year_over_year(features: DataFrame, label_weeks: Iterable[int] = (7, 6), offset: int = 53,
-                   spread: int = 1) -> DataFrame:
+def year_over_year(features: DataFrame, label_weeks: Iterable[int] | None = None,
+                   offset: int = 53, spread: int = 1,
+                   labels: DataFrame | None = None) -> DataFrame:
     """Rows of week w + offset with the units their SKU sold in week w as `label`.
 
-    One pass serves all `label_weeks`. The label is summed per SKU first, so a
-    SKU listed under several goods does not multiply rows; a SKU without sales in
-    week w gets 0.
+    One pass serves all `label_weeks`; without them, all weeks in which `labels` has any
+    sales. `labels` has the columns sku_id, weekNum and goods_num (weekly sales will do,
+    `features` is the default). The label is summed per SKU first, so a SKU listed under several
+    goods does not multiply rows; a SKU without sales in week w gets 0.
     """
-    weeks = sorted({int(w) for w in label_weeks})
-    past = features.where(F.col("weekNum").isin([w + offset for w in weeks]))
-    label = (features.where(F.col("weekNum").isin(weeks))
-             .groupBy("sku_id", (F.col("weekNum") + offset).alias("weekNum"))
+    labels = features if labels is None else labels
+    past = features
+    if label_weeks is not None:
+        weeks = sorted({int(w) for w in label_weeks})
+        past = past.where(F.col("weekNum").isin([w + offset for w in weeks]))
+        labels = labels.where(F.col("weekNum").isin(weeks))
+    else:
+        sold = labels.select((F.col("weekNum") + offset).alias("weekNum")).distinct()
+        past = past.join(sold, "weekNum", "left_semi")
+    label = (labels.groupBy("sku_id", (F.col("weekNum") + offset).alias("weekNum"))
              .agg(F.sum("goods_num").alias("label")))
     paired = spread_join(past, label, ["sku_id", "weekNum"], by=["goods_id"], spread=spread)
     return fill_missing(paired, ["label"]).drop("weekNum")

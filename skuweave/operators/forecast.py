@@ -14,8 +14,8 @@ from .learn import assemble, expand, predict, sized, with_vector
 from .project import feature_names
 
 HORIZONS = 5
-# The week that lies one year before each forecast week.
-YEAR_BEFORE = {1: 52, 2: 51, 3: 50, 4: 49, 5: 48}
+# The week that lies one year, 53 weeks, before each forecast week.
+YEAR_BEFORE = {k: 53 - k for k in range(1, HORIZONS + 1)}
 
 
 def forecast_grid(template: DataFrame, known: DataFrame, horizons: int = HORIZONS) -> DataFrame:

@@ -96,20 +96,17 @@ def linear(features: str = "features2", label: str = "goods_num", reg: float = 0
 
 # ---- splits and tuning
 
-def random_split(df: DataFrame, train_share: float = 0.8,
-                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    train, test = df.randomSplit([train_share, 1.0 - train_share], seed)
-    return train, test
-
-
 def hash_split(df: DataFrame, keys: Iterable[str],
                train_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of `keys`: a plain filter, the same rows whatever the partitioning.
 
     A random split sorts every partition first and changes when rows move; here a
-    recomputed partition gives the same two sides again.
+    recomputed partition gives the same two sides again. The hash is the start of md5 of
+    the keys as text, joined by '|', so that other engines can repeat the split.
     """
-    in_train = F.pmod(F.xxhash64(*keys), F.lit(1000)) < int(round(train_share * 1000))
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    in_train = number % 1000 < int(round(train_share * 1000))
     return df.where(in_train), df.where(~in_train)
 
 

@@ -31,8 +31,8 @@ def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
 
     Several goods may sell the same SKU in a week. `last_goods` takes the row of
     the highest goods id (ties: highest values), `sum` adds them up, `error`
-    trusts the input to be unique and saves the shuffle; a later step then fails
-    on a duplicate. NULL values count as 0, or fail with `nulls="error"`.
+    counts the rows and fails where an id has a second one in a slot. NULL values
+    count as 0, or fail with `nulls="error"`.
     """
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates must be one of {DUPLICATES}")
@@ -41,8 +41,14 @@ def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
                      *([F.col(goods_col).alias("goods")] if goods_col in df.columns else []),
                      F.array(*measures).alias("values"))
     if duplicates == "error":
-        return rows.select("id", "slot", F.when(F.col("slot").isNotNull(),
-                                                F.col("values")).alias("values"))
+        # Of fixed width and combined on the map side, like a sum.
+        only = [F.max(F.when(F.col("slot").isNotNull(), F.col("values")[i])) for i in range(len(cols))]
+        found = rows.groupBy("id", "slot").agg(F.array(*only).alias("values"),
+                                               F.count("slot").alias("found"))
+        twice = F.raise_error(F.concat(F.lit("duplicate row of "), F.col("id"), F.lit(" in slot "),
+                                       F.col("slot").cast("string"))).cast("array<double>")
+        return found.select("id", "slot", F.when(F.col("found") > 1, twice).when(
+            F.col("slot").isNotNull(), F.col("values")).alias("values"))
     keys = rows.groupBy("id", "slot")
     if duplicates == "sum":
         sums = [F.coalesce(F.sum(F.col("values")[i]), F.lit(0.0)) for i in range(len(cols))]

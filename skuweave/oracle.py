@@ -116,6 +116,8 @@ def _lag_select(source: str, target: int, extra: str = "", joins: str = "") -> s
 FROM (SELECT sku_id AS id, {values} FROM {source} GROUP BY sku_id) v {joins}"""
 
 
+IN_TRAIN = """(CAST('0x' || substr(md5(sku_id || '|' || "weekNum2"), 1, 8) AS BIGINT) % 1000 < 800)"""
+
 SALES_HISTORY = [LINES, SALES, _history("h", "sales")]
 SUPPLIER_HISTORY = [LINES, SUPPLIER_SALES, _history("h", "supplier_sales")]
 
@@ -306,6 +308,15 @@ ORACLES: dict[str, str] = {
                                    ORDER BY "weekNum2" DESC, goods_id DESC) = 1)""")
     + _cells("one", "sku_id", "slot", {"goods_num": "goods_num"}),
     "trailing_sums": _with(*SALES_HISTORY) + _lag_select("h", 33),
+    "trailing_sums_checked": _with(*SALES_HISTORY) + _lag_select("h", 33),
+    "bad_offsets": """SELECT CAST(p_partkey AS VARCHAR) AS sku_id, CAST(k AS INTEGER) AS horizon,
+        CAST(61 + k + CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE 0 END AS INTEGER) AS "weekNum"
+        FROM part CROSS JOIN (SELECT unnest(range(1, 6)) AS k) h""",
+    "holdout_split": _with(*SALES_HISTORY) + f"""SELECT sku_id, "weekNum2", goods_num,
+        CASE WHEN {IN_TRAIN} THEN 'train' ELSE 'test' END AS side FROM h""",
+    "holdout_score": _with(*SALES_HISTORY) + f"""SELECT round(1 / (1 + sqrt(avg(
+        pow(goods_num - (SELECT avg(goods_num) FROM h WHERE {IN_TRAIN}), 2)))), 9) AS score
+        FROM h WHERE NOT {IN_TRAIN}""",
     "trailing_sums_stage": _with(*SALES_HISTORY) + _lag_select("h", 33),
     "week_matrix_stage": _with(*SALES_HISTORY, _last_goods("one", "h")) + _cells(
         "one", "sku_id", "week", {"goods_num": "goods_num", "goods_price": "goods_price"}),

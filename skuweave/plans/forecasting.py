@@ -20,9 +20,11 @@ def run_forecast(spark: SparkSession, matrix_path: str, template_path: str, mode
 
 
 def run_year_over_year(spark: SparkSession, weeks_path: str, template_path: str,
-                       model_path: str, kind: str = "gbt") -> tuple[DataFrame, DataFrame]:
-    """Forecast from the weeks a year before, and its coverage counts."""
+                       model_path: str, out: str, kind: str = "gbt",
+                       single_file: bool = False) -> DataFrame:
+    """Forecast from the weeks a year before, written as CSV; returns its coverage counts."""
     features = read_weeks(spark, weeks_path, YEAR_BEFORE.values())
     forecast = forecast_year_over_year(features, read_template(spark, template_path),
                                        load_model(model_path, kind))
-    return forecast, forecast_coverage(forecast)
+    write_csv(forecast, out, single_file)
+    return forecast_coverage(read_template(spark, out))

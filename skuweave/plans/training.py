@@ -12,7 +12,7 @@ from ..functions import with_reverse_week
 from ..operators import (MATRIX_COLUMNS, assemble, boosted_trees, expand, feature_names,
                          hash_split, horizon_training_set, linear, matrix_width, predict, rmse,
                          sales_matrix, target_week_rows, training_history, tune_linear,
-                         week_matrix, with_vector)
+                         week_matrix, with_fold, with_vector)
 from ..operators.trailing import LAST_LAG
 from ..session import ensure_checkpoint_dir, staged_for
 from ..sources import check_feature_table, read_features, write_model, write_table
@@ -39,7 +39,7 @@ def fit_and_score(rows: DataFrame, estimator: Estimator, keys: Iterable[str],
     features = estimator.getOrDefault("featuresCol")
     label = estimator.getOrDefault("labelCol")
     keys = list(keys)
-    with staged_for(rows.select(*dict.fromkeys([*keys, features, label])), "rows") as stored:
+    with staged_for(rows.select(*dict.fromkeys([*keys, features, label]))) as stored:
         train, test = hash_split(stored, keys, train_share)
         model = estimator.fit(train)
         error = rmse(predict(model, test), label)
@@ -108,15 +108,26 @@ def train_sales_weeks(spark: SparkSession, path: str, model_path: str, matrix_pa
 def train_trailing_sums(spark: SparkSession, path: str, model_path: str | None = None,
                         target: int = 33, horizon: int = 7,
                         cols: Iterable[str] = ("goods_num", "goods_price"),
-                        folds: int = 4) -> Fit:
-    """Trailing sums up to the target week, linear regression tuned by cross-validation."""
+                        folds: int = 4, kind: str = "linear", rounds: int = 10,
+                        depth: int = 5) -> Fit:
+    """Trailing sums up to the target week: tuned linear regression, or boosted trees.
+
+    Folds are dealt by a hash of the SKU, so they don't change with the partitions.
+    """
+    if kind not in ("linear", "gbt"):
+        raise ValueError("kind must be gbt or linear")
     table = with_reverse_week(check_feature_table(spark.read.parquet(path)), drop=("weekNum",))
     cols = list(cols)
     rows = with_vector(horizon_training_set(table, target, horizon, cols),
                        (LAST_LAG + 1) * len(cols))
-    with staged_for(rows, "rows") as stored:
+    with staged_for(rows) as stored:
         train, test = hash_split(stored, ["id"])
-        best = tune_linear(train, "features", "goods_num", folds=folds).bestModel
+        if kind == "linear":
+            dealt = with_fold(train, ["id"], folds)
+            best = tune_linear(dealt, "features", "goods_num", folds=folds,
+                               fold_col="fold").bestModel
+        else:
+            best = boosted_trees("features", rounds=rounds, depth=depth).fit(train)
         fit = Fit(best, 1.0 / (1.0 + rmse(predict(best, test))), params=best.explainParams())
     if model_path:
         write_model(best, model_path)

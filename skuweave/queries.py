@@ -171,28 +171,38 @@ def week_snapshot_unfilled(spark, sf_dir):
                             tt.goodsdaily(spark, sf_dir), 12, ANCHOR, PLACES, fill=False)
 
 
+def _units(spark, sf_dir, weeks=None) -> DataFrame:
+    """Weekly sales alone: labels need no prices and no traffic."""
+    daily = tt.goodsale(spark, sf_dir)
+    if weeks is not None:
+        daily = restrict_weeks(daily, weeks, anchor=ANCHOR)
+    return op.weekly_sales(daily, ANCHOR, PLACES)
+
+
 @query
 def yoy_training_set(spark, sf_dir):
-    return op.year_over_year(features(spark, sf_dir, weeks=[6, 7, 59, 60]))
+    return op.year_over_year(features(spark, sf_dir, weeks=[59, 60]), [6, 7],
+                             labels=_units(spark, sf_dir, [6, 7]))
 
 
 @query
 def yoy_training_set_all_weeks(spark, sf_dir):
-    return op.year_over_year(staged(features(spark, sf_dir), "features"), range(0, 304))
+    return op.year_over_year(features(spark, sf_dir), labels=_units(spark, sf_dir))
 
 
 @query
 def yoy_stacked(spark, sf_dir):
     """One set per label week, put on top of each other."""
-    table = features(spark, sf_dir, weeks=[6, 7, 59, 60])
-    return op.stack_sets(op.year_over_year(table, [6]), op.year_over_year(table, [7]))
+    return op.stack_sets(*[
+        op.year_over_year(features(spark, sf_dir, weeks=[week + 53]), [week],
+                          labels=_units(spark, sf_dir, [week])) for week in (6, 7)])
 
 
 @query
 def yoy_several_goods(spark, sf_dir):
     """SKUs sold under several goods: the label is per SKU and does not multiply rows."""
     sales = op.weekly_sales(tt.goodsale_by_supplier(spark, sf_dir), ANCHOR, PLACES)
-    return op.year_over_year(staged(sales, "sales"), range(0, 304), spread=4)
+    return op.year_over_year(sales, spread=4)
 
 
 # ---- matrices and trailing sums
@@ -244,6 +254,43 @@ def trailing_sums_stage(spark, sf_dir):
     return sums.select("id", *op.lag_columns(sums, SUMMED))
 
 
+@query
+def trailing_sums_checked(spark, sf_dir):
+    """Rows known to be unique per SKU and week: counted, and refused if they are not."""
+    cols = list(SUMMED)
+    sums = op.trailing_sums(sales_history(spark, sf_dir), cols, "weekNum2", "sku_id", 33,
+                            duplicates="error")
+    return sums.select("id", *op.lag_columns(sums, cols))
+
+
+@query
+def bad_offsets(spark, sf_dir):
+    """Target weeks of a template whose offsets are missing or no numbers for some SKUs."""
+    number = F.col("sku_id").cast("int") % 3
+    template = tt.submit_example(spark, sf_dir).withColumn("week1", F.when(
+        number == 0, F.lit(None).cast("string")).when(number == 1, "x").otherwise("2"))
+    grid = op.forecast_grid(template, _sold_in_history(spark, sf_dir))
+    return grid.select("sku_id", "horizon", "weekNum")
+
+
+@query
+def holdout_split(spark, sf_dir):
+    """Sold SKU-weeks on either side of the split by hash."""
+    rows = sales_history(spark, sf_dir).select("sku_id", "weekNum2", "goods_num")
+    train, test = op.hash_split(rows, ["sku_id", "weekNum2"])
+    return train.withColumn("side", F.lit("train")).union(test.withColumn("side", F.lit("test")))
+
+
+@query
+def holdout_score(spark, sf_dir):
+    """Score, on the held-out side alone, of the mean units of the training side."""
+    rows = sales_history(spark, sf_dir).select("sku_id", "weekNum2", "goods_num")
+    train, test = op.hash_split(rows, ["sku_id", "weekNum2"])
+    mean = train.groupBy(F.lit(1).alias("one")).agg(F.avg("goods_num").alias("prediction"))
+    scored = test.withColumn("one", F.lit(1)).join(F.broadcast(mean), "one")  # one row
+    return op.score_table(scored).select(F.round("score", 9).alias("score"))
+
+
 @query
 def trailing_sums_several_goods(spark, sf_dir):
     sums = op.trailing_sums(sales_history(spark, sf_dir, True), SUMMED, "weekNum2", "sku_id", 50)
@@ -449,7 +496,7 @@ def yoy_forecast_units(spark, sf_dir):
     table = op.weekly_sales(tt.goodsale(spark, sf_dir), ANCHOR, PLACES).select(
         "weekNum", "goods_id", "sku_id", "goods_num")
     table = staged(table, "weeks")
-    rows = op.year_over_year(table, range(0, 304))
+    rows = op.year_over_year(table)
     model = op.linear("features", "label", reg=0.1).fit(op.assemble(rows, ["goods_num"]))
     forecast = op.forecast_year_over_year(table, tt.submit_example(spark, sf_dir), model)
     return forecast.select("sku_id", *[F.round(f"week{k}", 6).alias(f"week{k}")
@@ -458,7 +505,12 @@ def yoy_forecast_units(spark, sf_dir):
 
 @query
 def forecast_coverage(spark, sf_dir):
-    return op.forecast_coverage(_yoy_forecast(spark, sf_dir))
+    """Submitted SKUs with a row a year before the first forecast week, and without one."""
+    week = op.YEAR_BEFORE[1]
+    known = _units(spark, sf_dir, [week]).where(F.col("weekNum") == week).select("sku_id").distinct()
+    submitted = tt.submit_example(spark, sf_dir).select("sku_id")
+    return op.forecast_coverage(submitted.join(
+        known.withColumn("week1", F.lit(1.0)), "sku_id", "left"))
 
 
 def _forecast_from_past(spark, sf_dir) -> DataFrame:

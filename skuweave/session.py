@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans rely on. AQE picks broadcast joins from measured sizes,
@@ -21,12 +18,22 @@ DEFAULT_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def build_session(app_name: str = "skuweave", master: str | None = None,
-                  conf: dict[str, str] | None = None) -> SparkSession:
-    """Make (or get) a session. `master` is for tests; spark-submit sets it otherwise."""
+                  conf: dict[str, str] | None = None,
+                  input_bytes: int | None = None) -> SparkSession:
+    """Make (or get) a session. `master` is for tests; spark-submit sets it otherwise.
+
+    `input_bytes` is what the job reads, about: shuffles then start with a number of
+    partitions that fits it. It changes partitioning only, never a result.
+    """
+    if input_bytes is not None:
+        number = initial_shuffle_partitions(input_bytes)
+        conf = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(number),
+                **(conf or {})}
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -45,23 +52,14 @@ def initial_shuffle_partitions(shuffle_bytes: int, target_bytes: int = 128 << 20
     return max(total_cores, -(-shuffle_bytes // target_bytes))
 
 
-@lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="skuweave-")
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in `spark.checkpoint.dir`.
+    """The shared folder named in `spark.checkpoint.dir`; without one, a folder of the warehouse.
 
-    Only a local session may go without the setting; a cluster has to name a
-    folder that all executors see.
+    Both are places that the driver and all executors see, whatever the master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_scratch()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return (configured or f"{warehouse.rstrip('/')}/scratch").rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -77,16 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Cache a table for as long as it is read more than once: memory first, then disk."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -100,12 +88,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def staged_for(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """`staged`, with the files removed at the end: for jobs that return no DataFrame."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    try:
-        yield spark.read.parquet(path)
-    finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def staged_for(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` written to the shared folder for one block of code.
+
+    A checkpoint: Spark removes its files after the DataFrame is gone
+    (`spark.cleaner.referenceTracking.cleanCheckpoints`).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    yield df.checkpoint()

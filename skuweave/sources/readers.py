@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .schemas import RAW_COLUMNS, check_feature_table, text_schema
@@ -44,8 +43,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weeks(spark: SparkSession, path: str, weeks: Iterable[int]) -> DataFrame:
-    """Weeks of a table written by `write_weeks`; only their folders are listed and read."""
-    return spark.read.parquet(path).where(F.col("weekNum").isin([int(w) for w in weeks]))
+    """Weeks of a table written by `write_weeks`; the folders of other weeks are not listed.
+
+    At least one of the weeks must be there.
+    """
+    names = ",".join(str(w) for w in sorted({int(w) for w in weeks}))
+    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/weekNum={{{names}}}")
 
 
 _MODELS = {"gbt": GBTRegressionModel, "linear": LinearRegressionModel, "stages": PipelineModel}

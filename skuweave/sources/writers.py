@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import kept
-
 
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the Parquet table at `path`."""
@@ -26,27 +24,15 @@ def write_weeks(df: DataFrame, path: str, week_col: str = "weekNum") -> None:
        .parquet(path))
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False,
-              max_single_rows: int = 5_000_000) -> None:
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header line, comma separated.
 
-    Parts are written in parallel. `single_file` is for the small file that is
-    handed in: it passes through one task, and is refused above
-    `max_single_rows` before anything is written. The repartition comes after
+    Parts are written in parallel. `single_file` is for the file that is handed in:
+    all rows then pass, in a stream, through one task. The repartition comes after
     the scoring, which keeps its own parallelism.
     """
-    def save(out: DataFrame) -> None:
-        out.write.mode("overwrite").option("header", True).option("sep", ",").csv(path)
-
-    if not single_file:
-        save(df)
-        return
-    with kept(df) as rows:
-        count = rows.count()
-        if count > max_single_rows:
-            raise ValueError(f"{count} rows are too many for a single file "
-                             f"(limit {max_single_rows}); write parts instead")
-        save(rows.repartition(1))
+    out = df.repartition(1) if single_file else df
+    out.write.mode("overwrite").option("header", True).option("sep", ",").csv(path)
 
 
 def write_model(model, path: str) -> None:
