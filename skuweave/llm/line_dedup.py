@@ -74,41 +74,43 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return listed.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b")
 
 
-def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> dict[str, Column]:
+def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     """Whether two texts are at most `edits` apart, by a banded bit-parallel automaton.
 
-    Add the columns a_chars and b_chars to the rows first; `close` reads them.
-
     Bit k of row d says that the part of `a` read so far can be made, with d edits, the
     part of `b` that is k - edits characters longer. One step per character of `a` moves
-    all diagonals of the band together.
+    all diagonals of the band together. The characters are bound to a variable, so that
+    they are listed once per pair.
     """
-    a_chars, b_chars = (F.regexp_extract_all(c, F.lit("(?s)."), 0) for c in (a, b))
     band = (1 << (2 * edits + 1)) - 1
     first = [1 << edits]
     for _ in range(edits):
         first.append((first[-1] | first[-1] << 1) & band)
 
-    def step(rows: Column, i: Column) -> Column:
-        char = F.get(F.col("a_chars"), i)
+    def step(rows: Column, char: Column, i: Column, other: Column) -> Column:
         match = F.lit(0)
         for k in range(2 * edits + 1):
             match = match + F.when(F.coalesce(
-                F.get(F.col("b_chars"), i + (k - edits)) == char, F.lit(False)), 1 << k).otherwise(0)
-        old = [F.get(rows, F.lit(d)) for d in range(edits + 1)]
+                F.get(other, i + (k - edits)) == char, F.lit(False)), 1 << k).otherwise(0)
+        old = [F.get(rows["bits"], F.lit(d)) for d in range(edits + 1)]
         new = [old[0].bitwiseAND(match)]
         for d in range(1, edits + 1):
             new.append(old[d].bitwiseAND(match).bitwiseOR(old[d - 1]).bitwiseOR(
                 F.shiftright(old[d - 1], 1)).bitwiseOR(F.shiftleft(new[d - 1], 1)).bitwiseAND(
                 F.lit(band)))
-        return F.array(*new)
+        return F.struct(F.array(*new).alias("bits"), (i + 1).alias("i"))
+
+    def close(pair: Column) -> Column:
+        start = F.struct(F.array(*[F.lit(x) for x in first]).alias("bits"), F.lit(0).alias("i"))
+        last = F.aggregate(pair["a"], start, lambda rows, char: step(rows, char, rows["i"], pair["b"]),
+                           lambda rows: F.get(rows["bits"], F.lit(edits)))
+        place = F.size(pair["b"]) - F.size(pair["a"]) + edits
+        return F.when(place.between(0, 2 * edits), F.pmod(F.floor(
+            last / F.pow(F.lit(2.0), place)), F.lit(2)) == 1).otherwise(False)
 
-    last = F.aggregate(F.expr("sequence(0, size(a_chars) - 1)"),
-                       F.array(*[F.lit(x) for x in first]), step)
-    place = F.size("b_chars") - F.size("a_chars") + edits
-    return {"a_chars": a_chars, "b_chars": b_chars, "close": F.when(
-        place.between(0, 2 * edits), F.get(last, F.lit(edits)).bitwiseAND(
-            F.expr(f"shiftleft(1, size(b_chars) - size(a_chars) + {edits})")) > 0).otherwise(False)}
+    chars = F.struct(*[F.regexp_extract_all(c, F.lit("(?s)."), 0).alias(n)
+                       for c, n in ((a, "a"), (b, "b"))])
+    return F.get(F.transform(F.array(chars), close), F.lit(0))
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
@@ -179,9 +181,11 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     named = texts.select("lid", F.col("line"))
     both = (found.distinct().join(named.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
             .join(named.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b"))
-    parts = within_edits(F.col("x"), F.col("y"))
-    close = both.withColumn("a_chars", parts["a_chars"]).withColumn(
-        "b_chars", parts["b_chars"]).where(parts["close"])
+    # Few rows with much work each: dealt to all tasks, and compared by a generator, which
+    # the optimizer leaves where it is.
+    dealt = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    close = dealt.select("x", "y", F.explode_outer(F.array(
+        within_edits(F.col("x"), F.col("y")))).alias("close")).where("close")
     return close.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b")).where("a <> b")
 
 
