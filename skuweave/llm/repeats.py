@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, stage, whole
@@ -235,12 +235,7 @@ def repeated_segments(docs: DataFrame, found: DataFrame, segments: DataFrame, id
     total = loads.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     hot = stage(loads.where(F.col("bytes") > SHARD_BYTES).select("anchor"), "repeat-hot")
-    marked = segments.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").fillna(False, ["hot"])
-    wanted = stage(marked.groupBy("rid").agg(F.collect_list(F.struct(
-        "anchor", "content", "copies", "first", "last", "hot")).alias("parts")).join(
-        found.select("rid", "key"), "rid").select(F.col("key").alias("k"), "parts"), "repeat-wanted")
     texts = docs.select(doc_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("raw"))
-    rows = texts.join(_limited(wanted, segments), F.col("key") == F.col("k")).select("parts", "raw")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,13 +243,19 @@ def repeated_segments(docs: DataFrame, found: DataFrame, segments: DataFrame, id
                 raw = batch.column(1)[i].as_buffer().to_pybytes()
                 parts = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_pydict({
-                    **{c: [p[c] for p in parts] for c in ("anchor", "content", "copies", "hot")},
+                    **{c: [p[c] for p in parts] for c in ("anchor", "content", "copies")},
                     "body": [raw[p["first"]:p["last"] + length] for p in parts]},
                     schema=pa.schema([("anchor", pa.int64()), ("content", pa.int64()),
-                                      ("copies", pa.int64()), ("hot", pa.bool_()),
-                                      ("body", pa.binary())]))
+                                      ("copies", pa.int64()), ("body", pa.binary())]))
+
+    def cut(part: DataFrame) -> DataFrame:
+        """The bytes of segments, read from the documents that hold them."""
+        wanted = stage(part.groupBy("rid").agg(F.collect_list(F.struct(
+            "anchor", "content", "copies", "first", "last")).alias("parts")).join(
+            found.select("rid", "key"), "rid").select(F.col("key").alias("k"), "parts"), "repeat-wanted")
+        return texts.join(_limited(wanted, part), F.col("key") == F.col("k")).select(
+            "parts", "raw").mapInArrow(bodies, "anchor long, content long, copies long, body binary")
 
-    cut = rows.mapInArrow(bodies, "anchor long, content long, copies long, hot boolean, body binary")
     shard = F.pmod(F.xxhash64("anchor", F.lit("shard")), F.lit(shards)).alias("shard")
 
     def search(part: pa.Table) -> pa.Table:
@@ -269,7 +270,7 @@ def repeated_segments(docs: DataFrame, found: DataFrame, segments: DataFrame, id
                          "content": pa.array([ids[chosen[k]][1] for k in kept], pa.int64()),
                          "runs": _as_runs([runs[k] for k in kept])})
 
-    result = cut.where("not hot").select(shard, "anchor", "content", "copies", "body").groupBy(
+    result = cut(segments.join(hot, "anchor", "left_anti")).select(shard, "anchor", "content", "copies", "body").groupBy(
         "shard").applyInArrow(search, f"anchor long, content long, runs {RUNS}")
     if hot.isEmpty():
         return result
@@ -289,8 +290,8 @@ def repeated_segments(docs: DataFrame, found: DataFrame, segments: DataFrame, id
                                       ("copies", pa.int64()), ("at", pa.int64()),
                                       ("window", pa.binary())]))
 
-    every = stage(cut.where("hot").dropDuplicates(["anchor", "content"]).select(
-        "anchor", "content", "copies", "body").mapInArrow(
+    every = stage(cut(segments.join(hot, "anchor", "left_semi")).dropDuplicates(
+        ["anchor", "content"]).mapInArrow(
         windows, "anchor long, content long, copies long, at long, window binary"), "repeat-windows")
     often = every.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     single = every.join(often, "window", "left_semi").groupBy("anchor", "content").agg(
@@ -309,25 +310,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "rid", F.col("s.anchor").alias("anchor"), F.col("s.content").alias("content"),
         F.get("first", F.col("i")).alias("first"),
         (F.coalesce(F.get("first", F.col("i") + 1), F.col("n") - length + 1) - 1).alias("last"))
-    twice = found.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(
-        F.count("*").alias("places")).where("places > 1").select("anchor")
+    anchors = found.select(F.explode(F.arrays_zip("anchor", "content")).alias("s")).groupBy(
+        F.col("s.anchor").alias("anchor")).agg(
+        F.count("*").alias("places"), F.min("s.content").alias("least"), F.max("s.content").alias("most"))
+    twice = anchors.where("places > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike"))
     places = stage(listed.join(twice, "anchor"), "repeat-places")
+    # All segments of the anchor are equal: each window of them stands in all its places.
+    whole_segments = places.where("alike").select("rid", F.struct(
+        F.col("first").alias("a"), F.col("last").alias("b")).alias("s"))
+    places = places.where("not alike")
     # The place that is read for a segment is fixed by the smallest row; first and last go with it.
     holders = places.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min("rid").alias("rid"))
-    one = places.groupBy("anchor", "content", "rid").agg(
-        F.min("first").alias("first"), F.min(F.col("last") - F.col("first")).alias("extent"))
-    segments = stage(one.join(holders, ["anchor", "content", "rid"]).select(
-        "anchor", "content", "rid", "copies", "first",
-        (F.col("first") + F.col("extent")).alias("last")), "repeat-segments")
+        F.count("*").alias("copies"), F.min(F.struct(
+            "rid", "first", (F.col("last") - F.col("first")).alias("extent"))).alias("h"))
+    segments = stage(holders.select(
+        "anchor", "content", "h.rid", "copies", "h.first",
+        (F.col("h.first") + F.col("h.extent")).alias("last")), "repeat-segments")
     runs = stage(repeated_segments(docs, found, segments, id_col, text_col, length), "repeat-runs")
     spans = places.join(runs, ["anchor", "content"]).select("rid", F.explode(F.transform(
         "runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"),
                                    (F.col("first") + r["b"]).alias("b")))).alias("s"))
-    return spans.groupBy("rid").agg(F.sort_array(F.collect_list("s")).alias("spans")).join(
+    return spans.union(whole_segments).groupBy("rid").agg(
+        F.sort_array(F.collect_list("s")).alias("spans")).join(
         found.select("rid", "key"), "rid").select("key", "spans").dropDuplicates(["key"])
 
 
+def _joined(spans: str, length: int) -> Column:
+    """Sorted, disjoint runs of window starts whose windows touch, as one run each."""
+    last = F.size(spans) - 1
+    begins = F.filter(spans, lambda s, i: (i == 0) | (
+        s["a"] > F.get(F.col(spans), i - 1)["b"] + length))
+    ends = F.filter(spans, lambda s, i: (i == last) | (
+        F.get(F.col(spans), i + 1)["a"] > s["b"] + length))
+    return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     length: int = 200) -> DataFrame:
     """One row per document: id, n_bytes, removed (runs of bytes: from, to), kept (bytes).
@@ -337,8 +354,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of a passage go. Texts are bytes of UTF-8; no string crosses documents.
 
     Windows are cut into segments at anchors. Anchors that occur once cannot be in a
-    repeated window; the others' segments are collapsed to different ones, with their
-    number of copies, and searched by suffix arrays of shards of bounded size. Documents
+    repeated window; where all segments of an anchor are equal, all their windows are. The
+    others' segments are collapsed to different ones, with their number of copies, and
+    searched by suffix arrays of shards of bounded size. Documents
     meet only by anchors, never as a group; a passage in very many documents is one segment
     inside, and what differs around it is spread over shards.
 
@@ -346,6 +364,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of at least `length` bytes go. Only the two named columns are read.
     """
     spans = stage(repeated_spans(docs, id_col, text_col, length), "repeat-spans")
+    spans = spans.select("key", _joined("spans", length).alias("spans"))
     pieces = spans.select(F.explode("spans"))
     rows = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("key"),
                        whole(text_col).cast("binary").alias("raw"))
