@@ -313,7 +313,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = found.select(F.explode(F.arrays_zip("anchor", "content")).alias("s")).groupBy(
         F.col("s.anchor").alias("anchor")).agg(
         F.count("*").alias("places"), F.min("s.content").alias("least"), F.max("s.content").alias("most"))
-    twice = anchors.where("places > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike"))
+    # Written, so that the join below has a shuffle of its own that AQE can split at a hot anchor.
+    twice = stage(anchors.where("places > 1").select(
+        "anchor", (F.col("least") == F.col("most")).alias("alike")), "repeat-twice")
     places = stage(listed.join(twice, "anchor"), "repeat-places")
     # All segments of the anchor are equal: each window of them stands in all its places.
     whole_segments = places.where("alike").select("rid", F.struct(
