@@ -1,4 +1,4 @@
-"""Deduplication of lines, equal or one edit apart, by segments."""
+"""Deduplication of lines, equal or a few edits apart, by segments."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import components, doc_key, stage, whole
 
-#: Lines this far apart are duplicates; a line has MAX_EDITS + 1 = 2 segments.
+#: Lines this far apart are duplicates at any length; for these a line has 2 segments.
 MAX_EDITS = 1
 
+#: Longer lines may differ by one edit per PER_EDIT characters, up to EDITS (defaults).
+EDITS, PER_EDIT = 3, 20
+
 #: Buckets up to this size are listed and paired at once, larger ones are divided first.
 PAIRED_BUCKET = 16
 
@@ -189,13 +192,94 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return close.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b")).where("a <> b")
 
 
+def segment_keys(edits: int, per_edit: int) -> tuple[Column, Column]:
+    """Index keys (own, probe) of column `line` for more than one edit: arrays of hashes.
+
+    A line of n characters with t = n div per_edit edits allowed (at most `edits`) has
+    t + 1 segments, its own keys. A line that is d = 0..t characters longer and within t
+    edits of it holds one of the segments at a place shifted by o, where the edits before
+    it and those after it suffice: -j <= o <= j and d - (t - j) <= o <= d + t - j for
+    segment j. These substrings are the probes.
+    """
+    def segment(size: str, t: str, shift: str) -> str:
+        start, end = f"(j * {size} div ({t} + 1))", f"((j + 1) * {size} div ({t} + 1))"
+        return (f"xxhash64(cast({size} as int), cast(j as int), substring(line, "
+                f"cast({start} + {shift} + 1 as int), cast({end} - {start} as int)))")
+
+    def most(size: str) -> str:
+        return f"cast(least({edits}, {size} div {per_edit}) as int)"
+
+    n = "length(line)"
+    own = F.expr(f"transform(sequence(0, {most(n)}), j -> {segment(n, most(n), '0')})")
+    probes = []
+    for d in range(edits + 1):
+        size = f"({n} - {d})"
+        t = most(size)
+        probes.append(f"""if({size} < {2 * per_edit} or {d} > {t}, cast(array() as array<bigint>),
+            flatten(transform(sequence(0, {t}), j -> transform(
+                sequence(greatest(-j, {d} - {t} + j), least(j, {d} + {t} - j)),
+                o -> {segment(size, t, 'o')}))))""")
+    return own, F.expr(f"concat({', '.join(probes)})")
+
+
+def far_pairs(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Links (a, b) that connect all lines within the edits that the shorter one allows.
+
+    Only for lines that allow two edits or more; `near_pairs` has those one edit apart.
+    Buckets with few own lines are paired with their probes. In one with many, all lines
+    are compared with its smallest own line first; two lines that are both close to it are
+    connected by it, and only the other pairs are compared. No bucket is cut short.
+    """
+    own, probe = segment_keys(edits, per_edit)
+    base = stage(lines.where(F.length("line") >= 2 * per_edit).groupBy(
+        F.xxhash64("line").alias("lid")).agg(F.first("line").alias("line")), "long-lines")
+    owns = base.select("lid", F.explode(own).alias("key"))
+    probes = base.select("lid", F.explode(probe).alias("key"))
+    hot = stage(owns.groupBy("key").agg(F.count("*").alias("n")).where(
+        F.col("n") > PAIRED_BUCKET).select("key"), "hot-segments")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.select("key", F.col("lid").alias("a")).join(
+            right.select("key", F.col("lid").alias("b")), "key").where("a <> b")
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def close(x: str, y: str) -> Column:
+        most = f"cast(least({edits}, least(length({x}), length({y})) div {per_edit}) as int)"
+        return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
+
+    def text(a: str, x: str) -> DataFrame:
+        return base.select(F.col("lid").alias(a), F.col("line").alias(x))
+
+    found = pairs(owns.join(hot, "key", "left_anti"), probes)
+    if not hot.isEmpty():
+        rows = owns.withColumn("own", F.lit(True)).union(
+            probes.withColumn("own", F.lit(False))).join(hot, "key", "left_semi")
+        rows = stage(rows.distinct(), "hot-rows")
+        first = rows.where("own").groupBy("key").agg(F.min("lid").alias("p"))
+        tried = stage(rows.join(first, "key").select("lid", "p").distinct(), "hot-tried")
+        tried = tried.join(text("lid", "x"), "lid").join(text("p", "y"), "p").where(
+            close("x", "y")).select("lid", "p")
+        tried = stage(tried, "hot-close")
+        marked = stage(rows.join(first, "key").join(tried.withColumn("near", F.lit(True)), ["lid", "p"], "left")
+                       .fillna(False, ["near"]), "hot-marked")
+        mine, other = marked.where("own"), marked.where("not own")
+        found = (found.union(pairs(mine.where("not near"), other))
+                 .union(pairs(mine.where("near"), other.where("not near")))
+                 .union(tried.where("lid <> p").select(F.col("p").alias("a"), F.col("lid").alias("b"))))
+    found = stage(found.distinct(), "far-pairs")
+    both = found.join(text("a", "x"), "a").join(text("b", "y"), "b").where(close("x", "y"))
+    return both.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"))
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_chars: int = 20) -> DataFrame:
+                    min_chars: int = 20, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """Lines to drop: (key, line_no, first_ord), key as in `doc_key`.
 
     Lines are cut at line feeds and trimmed; those of at least `min_chars` characters are
-    compared. Lines that are equal, or joined by a chain of single edits, are one class;
-    its first line stays, in order of id (missing ids last), then key, then position.
+    compared. Two lines are near when they are at most one edit apart, or as many as the
+    shorter one has whole `per_edit` (2 or more) characters, up to `edits`. Lines that are
+    equal, or joined by a chain of near lines, are one class; its first line stays, in
+    order of id (missing ids last), then key, then position.
 
     Classes meet in joins on the line's hash, which AQE splits where a line is in very
     many documents. NULL and empty texts have no lines to compare; rows that repeat id
@@ -204,7 +288,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = lines_of(docs, id_col, text_col, min_chars)
     found = stage(lines.select("key", "ord", "line_no", line_id(F.col("line")).alias("line"))
                   .distinct(), "line-places")
-    roots = stage(components(near_pairs(lines), name="line-classes").select(
+    links = near_pairs(lines)
+    if edits > MAX_EDITS:
+        links = links.union(far_pairs(lines, edits, per_edit))
+    roots = stage(components(links, name="line-classes").select(
         F.col("node").alias("line"), F.col("root")), "line-roots")
     placed = found.join(roots, "line", "left").select(
         "key", "ord", "line_no", F.coalesce("root", "line").alias("class"))
@@ -216,9 +303,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = 20) -> DataFrame:
+                min_chars: int = 20, edits: int = EDITS,
+                per_edit: int = PER_EDIT) -> DataFrame:
     """One row per document: id, n_lines, n_dropped, dropped (positions of dropped lines)."""
-    dropped = duplicate_lines(docs, id_col, text_col, min_chars).groupBy("key").agg(
+    dropped = duplicate_lines(docs, id_col, text_col, min_chars, edits, per_edit).groupBy("key").agg(
         F.sort_array(F.collect_list("line_no")).alias("dropped"))
     rows = docs.select(F.col(id_col), doc_key(id_col, text_col).alias("key"), F.when(
         whole(text_col) == "", 0).otherwise(F.size(F.split(whole(text_col), "\n"))).alias("n_lines"))
@@ -229,13 +317,14 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         min_chars: int = 20) -> DataFrame:
+                         min_chars: int = 20, edits: int = EDITS,
+                         per_edit: int = PER_EDIT) -> DataFrame:
     """The documents without their duplicate lines, all columns.
 
     A document keeps its other lines in order. One that had lines and loses all of them is
     left out, as its lines stand elsewhere; a text without comparable lines is unchanged.
     """
-    dropped = duplicate_lines(docs, id_col, text_col, min_chars).groupBy("key").agg(
+    dropped = duplicate_lines(docs, id_col, text_col, min_chars, edits, per_edit).groupBy("key").agg(
         F.collect_set("line_no").alias("_dropped")).withColumnRenamed("key", "_key")
     rows = docs.join(dropped, doc_key(id_col, text_col) == F.col("_key"), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"),

@@ -1,6 +1,7 @@
 """Line classes against all pairs of lines and a plain edit distance."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,36 @@ def test_defined_cases(spark):
     assert sorted((r.doc_id or 0, (r.text or "")[:8]) for r in kept.collect()) == [
         (0, "more"), (1, ""), (2, ""), (3, "short\nsh"), (4, "a line o"), (6, "word wor")]
     assert line_report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [16, 1])
+def test_longer_lines_may_differ_more(spark, monkeypatch, bucket):
+    monkeypatch.setattr(line_dedup, "PAIRED_BUCKET", bucket)
+    rng = random.Random(bucket)
+    bases = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (38, 41, 45, 61, 64, 83, 120)]
+    bases += [bases[3][:30] + bases[4][:32], bases[5][:50] + bases[3][:33]]
+    lines = []
+    for _ in range(150):
+        line = "x" + rng.choice(bases) + "x"
+        for _ in range(rng.choice([0, 2, 3, 4, 5, 6])):
+            line = edited(rng, line)
+        lines.append(line)
+    parts = {line: line for line in lines}
+
+    def root(x):
+        while parts[x] != x:
+            x = parts[x]
+        return x
+
+    for a, b in combinations(lines, 2):
+        most = max(1, min(3, min(len(a), len(b)) // 20))
+        if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+            parts[root(b)] = root(a)
+    seen, want = set(), []
+    for d, line in enumerate(lines):
+        want.append((d, 1, [0] if root(line) in seen else []))
+        seen.add(root(line))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert report(docs, 20) == want
+    single = line_report(docs, edits=1).where("n_dropped > 0").count()
+    assert 0 < single < sum(len(w[2]) for w in want)
