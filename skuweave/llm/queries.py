@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     line_dedup,
     mixing,
     ngram_join,
@@ -199,9 +200,60 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+masked AS (
+  SELECT doc_id, part,
+         (len(words) < 100)::INT
+         + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body))::INT
+         + 8 * regexp_matches(body, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)::INT AS mask
+  FROM split),
+marked AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good,
+         coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY 1),
+cells AS (
+  SELECT part, mask, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM masked m LEFT JOIN marked l ON m.doc_id = l.doc_id GROUP BY 1, 2),
+orders(filter_order, applied, path) AS (
+  SELECT '', 0, [0] UNION ALL
+  SELECT filter_order || letter, applied | bit, list_append(path, applied | bit)
+  FROM orders, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) l(letter, bit)
+  WHERE applied & bit = 0),
+steps AS (
+  SELECT filter_order, k AS step, path[k] AS before, path[k + 1] AS after,
+         path[k + 1] - path[k] AS bit
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS k) WHERE length(filter_order) = 5),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & after = 0 THEN docs ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN docs ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN docs ELSE 0 END)::BIGINT
+           AS redundant,
+         sum(CASE WHEN mask = bit THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT
+           AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT
+           AS toxic_lost
+  FROM cells, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
+
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_join": op2_ngram_join,
            "op3_repeats": op3_repeats,
            "op4_line_dedup": op4_line_dedup,
            "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
-           "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality}
-ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+           "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality,
+           "op12_filter_audit": op12_filter_audit}
+ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL,
+           "op12_filter_audit": OP12_SQL}
