@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    chat_format,
     decontaminate,
     exact_dedup,
     filter_audit,
@@ -200,6 +201,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+#: The conversation that op11 adds: texts that look like turns.
+PLANTED_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"),
+                (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(PLANTED_CHAT, rows.schema))
+    return chat_format.read_back(chat_format.format_chats(chat_format.log_of_rows(rows))).drop(
+        "n_documents")
+
+
+OP11_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+              ORDER BY turn NULLS FIRST, role || ':' || md5(body)) AS place,
+         length(regexp_replace(body, '(<)(\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|unk>'
+             || '|<SYS>>|</SYS>>))|(\[)(\\*(?:INST\]|/INST\]))', '\1\3\\\2\4', 'g')) AS chars
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(body)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(body, '' ORDER BY place) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + chars + length('<|im_end|>') + 1)::BIGINT
+         AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"),
                                      table(spark, sf_dir, "labels"))
@@ -254,6 +289,6 @@ QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_join": op2_ngram_joi
            "op4_line_dedup": op4_line_dedup,
            "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
            "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality,
-           "op12_filter_audit": op12_filter_audit}
+           "op11_chat_format": op11_chat_format, "op12_filter_audit": op12_filter_audit}
 ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL,
-           "op12_filter_audit": OP12_SQL}
+           "op11_chat_format": OP11_SQL, "op12_filter_audit": OP12_SQL}
