@@ -15,6 +15,7 @@ from . import (
     ngram_join,
     quality,
     repeats,
+    token_alignment,
     token_counts,
     toxicity,
     url_filter,
@@ -284,11 +285,21 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+#: The vocabularies of op13: byte-level BPE and pieces.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_VOCABULARY,
+                         b: str = PIECES) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_join": op2_ngram_join,
            "op3_repeats": op3_repeats,
            "op4_line_dedup": op4_line_dedup,
            "op5_mixture": op5_mixture, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter,
            "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality,
-           "op11_chat_format": op11_chat_format, "op12_filter_audit": op12_filter_audit}
+           "op11_chat_format": op11_chat_format, "op12_filter_audit": op12_filter_audit,
+           "op13_token_alignment": op13_token_alignment}
 ORACLES = {"op5_mixture": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL,
            "op11_chat_format": OP11_SQL, "op12_filter_audit": OP12_SQL}
