@@ -27,6 +27,8 @@ from .common import stage
 
 #: Bytes of text whose units are encoded together; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Units that are aligned, and that documents are expanded to, in one go.
+UNITS = 1 << 16
 
 # Fixed value: how byte-level BPE cuts a text into words.
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -115,6 +117,14 @@ def offsets_of(counts: np.ndarray) -> np.ndarray:
 
 
 def align(both: Tokenizers, units: pa.Array) -> dict:
+    """`align_some` over all units, `UNITS` of them at a time, which bounds the joins' memory."""
+    parts = [align_some(both, units.slice(i, UNITS))
+             for i in range(0, max(len(units), 1), UNITS)]
+    return {name: (pa.concat_arrays if isinstance(values, pa.Array) else np.concatenate)(
+        [p[name] for p in parts]) for name, values in parts[0].items()}
+
+
+def align_some(both: Tokenizers, units: pa.Array) -> dict:
     """The alignment of each unit: `ok`, `n_a`, `n_b`, `n_groups`, `groups`, and its links.
 
     A unit whose token bytes differ from its text is not ok and has no tokens. `links` holds one
@@ -197,9 +207,13 @@ def block_rows(both: Tokenizers, ids: pa.Array, texts: pa.Array, block: int,
     def total(name: str) -> np.ndarray:
         return np.where(ok, sums(found[name][codes], offsets), 0)
 
-    spelt = joined(pc.take(found["groups"], pa.array(codes)), offsets, ";")
-    digests = [hashlib.sha256(spelt[i].as_buffer()).hexdigest() if ok[i] and sizes[i] else ""
-               for i in range(len(ids))]
+    digests = []
+    for first, last in slices(offsets):
+        some = offsets[first:last + 1]
+        spelt = joined(pc.take(found["groups"], pa.array(codes[some[0]:some[-1]])),
+                       some - some[0], ";")
+        digests += [hashlib.sha256(text.as_buffer()).hexdigest() if ok[i] and sizes[i] else ""
+                    for i, text in enumerate(spelt, first)]
     kept = np.repeat(ok, sizes)
     units = pa.ListArray.from_arrays(
         pa.array(offsets_of(np.where(ok, sizes, 0)), pa.int32()), pa.array(codes[kept], pa.int32()))
@@ -213,18 +227,29 @@ def block_rows(both: Tokenizers, ids: pa.Array, texts: pa.Array, block: int,
         pa.array([0, len(per_unit)], pa.int32()), per_unit))
 
     # In how many documents a pair stands: distinct (document, unit), then distinct (document, pair).
-    many = max(len(coded.dictionary), 1)
-    owner = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-    held = _distinct(owner[kept] * many + codes[kept])
-    lists = pc.take(per_unit, pa.array(held % many))
-    many_pairs = max(len(pairs.dictionary), 1)
-    seen = (held // many)[pc.list_parent_indices(lists).to_numpy()]
-    seen = _distinct(seen * many_pairs + pc.list_flatten(lists).to_numpy())
-    counts = pa.table({"pair": seen % many_pairs}).group_by("pair", use_threads=False).aggregate(
-        [([], "count_all")])
-    names = pc.take(pairs.dictionary, counts["pair"].combine_chunks()).to_numpy()
-    yield rows("pair", len(names), pair=counts["pair"].combine_chunks().cast(pa.int32()),
-               a=names >> 32, b=names & 0xFFFFFFFF, docs=counts["count_all"].combine_chunks())
+    many, many_pairs = max(len(coded.dictionary), 1), max(len(pairs.dictionary), 1)
+    docs = np.zeros(many_pairs, np.int64)
+    for first, last in slices(offsets):
+        at = slice(offsets[first], offsets[last])
+        owner = np.repeat(np.arange(last - first), sizes[first:last])
+        held = _distinct((owner * many + codes[at])[kept[at]])
+        lists = pc.take(per_unit, pa.array(held % many))
+        seen = (held // many)[pc.list_parent_indices(lists).to_numpy()]
+        seen = _distinct(seen * many_pairs + pc.list_flatten(lists).to_numpy())
+        docs += np.bincount(seen % many_pairs, minlength=many_pairs)
+    counted = np.flatnonzero(docs)
+    names = pairs.dictionary.to_numpy()[counted]
+    yield rows("pair", len(names), pair=counted, a=names >> 32, b=names & 0xFFFFFFFF,
+               docs=docs[counted])
+
+
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with `UNITS` units or fewer between them; a longer text stands alone."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(int(np.searchsorted(offsets, offsets[first] + UNITS, "right")) - 1, first + 1)
+        yield first, min(last, len(offsets) - 1)
+        first = last
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -257,6 +282,7 @@ def _aligner(a_file: bytes, b_file: bytes, size: int,
                 block = (TaskContext.get().partitionId() << 32) + n
                 yield from block_rows(both, rows["doc_id"].combine_chunks(),
                                       rows["text"].combine_chunks(), block, schema)
+                pa.default_memory_pool().release_unused()
     return run
 
 
