@@ -55,11 +55,17 @@ def initial_shuffle_partitions(shuffle_bytes: int, target_bytes: int = 128 << 20
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in `spark.checkpoint.dir`; without one, a folder of the warehouse.
 
-    Both are places that the driver and all executors see, whatever the master.
+    A warehouse on the driver's own disk serves local sessions only: on a cluster the executors
+    would write to their disks, and later reads would miss those files. That is an error here.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    return (configured or f"{warehouse.rstrip('/')}/scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = warehouse.startswith(("file:", "/")) or "://" not in warehouse
+    if on_disk and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -87,6 +93,43 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one job, removed when it ends: `with Scratch(spark) as scratch:`.
+
+    For fits, whose result is a model: no lazy DataFrame over the tables may leave the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` to the shared folder and read it back with its column metadata."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self, n: int = 1) -> None:
+        """Remove all tables but the last `n`."""
+        for path in self.paths[:-n]:
+            self._remove(path)
+        self.paths = self.paths[-n:]
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            self._remove(path)
+        self.paths = []
+
+
 @contextmanager
 def staged_for(df: DataFrame) -> Iterator[DataFrame]:
     """`df` written to the shared folder for one block of code.
