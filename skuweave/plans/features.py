@@ -8,11 +8,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import ANCHOR
-from ..operators import (build_feature_table, fan_out, group_count, preview, rows_per_week,
+from ..operators import (PRICES, SALES, TRAFFIC, build_feature_table, continue_weeks, fan_out,
+                         feature_table_from_weekly, finished, group_count, preview, read_states, rows_per_week,
                          submitted_skus_per_week, submitted_units_per_week, year_over_year)
 from ..sources import read_raw, read_raw_tables, read_template, write_table, write_weeks
 
 
+ROLLUPS = {"sales": SALES, "prices": PRICES, "traffic": TRAFFIC}
+
+
 def daily_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sales, promotion prices and traffic; the other files of the folder are not needed."""
     raw = read_raw_tables(spark, folder)
@@ -32,6 +36,31 @@ def create_week_snapshots(spark: SparkSession, folder: str, out: str, weeks: Ite
     write_weeks(table, out)
 
 
+def continue_feature_table(spark: SparkSession, folder: str, out: str,
+                           anchor: dt.date = ANCHOR, again: str = "skip") -> list[int]:
+    """Add the days in `folder` to `<out>/states` and write the touched weeks of `<out>/features`.
+
+    The history is not read: only the new days, and the stored states and features of the weeks
+    that they fall into. Returns those weeks. Features are made from states alone, so a job that
+    broke off after the states is put right by `rebuild_weeks`.
+    """
+    tables = dict(zip(("sales", "prices", "traffic"), daily_tables(spark, folder)))
+    weeks: set[int] = set()
+    for name, rollup in ROLLUPS.items():
+        weeks |= set(continue_weeks(tables[name], f"{out}/states/{name}", rollup, anchor=anchor,
+                                    again=again))
+    if weeks:
+        rebuild_weeks(spark, out, weeks)
+    return sorted(weeks)
+
+
+def rebuild_weeks(spark: SparkSession, out: str, weeks: Iterable[int]) -> None:
+    """Write some weeks of `<out>/features` from the stored states."""
+    weekly = [finished(read_states(spark, f"{out}/states/{name}", weeks, empty=rollup), rollup)
+              for name, rollup in ROLLUPS.items()]
+    write_weeks(feature_table_from_weekly(*weekly), f"{out}/features")
+
+
 def create_year_over_year_set(spark: SparkSession, folder: str, out: str,
                               label_weeks: Iterable[int] = (7, 6), offset: int = 53,
                               anchor: dt.date = ANCHOR) -> None:
