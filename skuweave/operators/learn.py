@@ -104,10 +104,15 @@ def hash_split(df: DataFrame, keys: Iterable[str],
     recomputed partition gives the same two sides again. The hash is the start of md5 of
     the keys as text, joined by '|', so that other engines can repeat the split.
     """
+    side = in_train(keys, train_share)
+    return df.where(side), df.where(~side)
+
+
+def in_train(keys: Iterable[str], train_share: float = 0.8) -> Column:
+    """Whether a row is on the training side of `hash_split`."""
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    in_train = number % 1000 < int(round(train_share * 1000))
-    return df.where(in_train), df.where(~in_train)
+    return number % 1000 < int(round(train_share * 1000))
 
 
 def with_fold(df: DataFrame, keys: Iterable[str], folds: int = 4,
@@ -134,6 +139,8 @@ def tune_linear(train: DataFrame, features: str = "features", label: str = "good
 def predict(model: Model, df: DataFrame, features: str | None = None,
             out: str = "prediction") -> DataFrame:
     """Score rows; the input and output columns may differ from those of the fit."""
+    if not isinstance(model, Model):  # a BoostedModel, which is no Spark stage
+        return model.transform(df, out, features)
     params = {model.getParam("predictionCol"): out}
     if features is not None:
         params[model.getParam("featuresCol")] = features
@@ -151,6 +158,17 @@ def score_table(scored: DataFrame, label: str = "goods_num",
     return scored.agg(one_over_one_plus_rmse(label, prediction).alias("score"))
 
 
+def training_history_table(model: Model, train: DataFrame,
+                           held_out: DataFrame | None = None) -> DataFrame:
+    """`(round, train_rmse, valid_rmse)` of Spark's boosted trees, one row per round."""
+    errors = [list(model.evaluateEachIteration(part, "squared")) if part is not None else None
+              for part in (train, held_out)]
+    rows = [(k, float(e) ** 0.5, float(errors[1][k - 1]) ** 0.5 if errors[1] else None)
+            for k, e in enumerate(errors[0], 1)]
+    return train.sparkSession.createDataFrame(
+        rows, "round int, train_rmse double, valid_rmse double")
+
+
 def training_history(model: Model, df: DataFrame) -> list[float]:
     """The objective after each round, one number per round."""
     if hasattr(model, "evaluateEachIteration"):

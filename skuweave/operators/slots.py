@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def measure(col: str, nulls: str = "zero") -> Column:
 
 def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
                 duplicates: str = "last_goods", nulls: str = "zero",
-                goods_col: str = "goods_id") -> DataFrame:
+                goods_col: str = "goods_id", total_of: str | None = None) -> DataFrame:
     """`(id, slot int, values array<double>)`, unique on id and slot.
 
     `slot` is NULL for rows outside the wanted range. Their values are dropped
@@ -32,43 +34,48 @@ def slot_values(df: DataFrame, id_col: str, slot: Column, cols: list[str],
     Several goods may sell the same SKU in a week. `last_goods` takes the row of
     the highest goods id (ties: highest values), `sum` adds them up, `error`
     counts the rows and fails where an id has a second one in a slot. NULL values
-    count as 0, or fail with `nulls="error"`.
+    count as 0, or fail with `nulls="error"`. With `total_of`, a column `total` holds the sum of
+    that column over all rows of the id and slot, whichever row was taken.
     """
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates must be one of {DUPLICATES}")
     measures = [measure(c, nulls) for c in cols]
     rows = df.select(F.col(id_col).cast("string").alias("id"), slot.cast("int").alias("slot"),
                      *([F.col(goods_col).alias("goods")] if goods_col in df.columns else []),
-                     F.array(*measures).alias("values"))
+                     F.array(*measures).alias("values"),
+                     *([F.col(total_of).cast("double").alias("part")] if total_of else []))
+    total = [F.sum("part").alias("total")] if total_of else []
+    named = ["total"] if total_of else []
     if duplicates == "error":
         # Of fixed width and combined on the map side, like a sum.
         only = [F.max(F.when(F.col("slot").isNotNull(), F.col("values")[i])) for i in range(len(cols))]
         found = rows.groupBy("id", "slot").agg(F.array(*only).alias("values"),
-                                               F.count("slot").alias("found"))
+                                               F.count("slot").alias("found"), *total)
         twice = F.raise_error(F.concat(F.lit("duplicate row of "), F.col("id"), F.lit(" in slot "),
                                        F.col("slot").cast("string"))).cast("array<double>")
         return found.select("id", "slot", F.when(F.col("found") > 1, twice).when(
-            F.col("slot").isNotNull(), F.col("values")).alias("values"))
+            F.col("slot").isNotNull(), F.col("values")).alias("values"), *named)
     keys = rows.groupBy("id", "slot")
     if duplicates == "sum":
         sums = [F.coalesce(F.sum(F.col("values")[i]), F.lit(0.0)) for i in range(len(cols))]
-        return keys.agg(F.array(*sums).alias("values"))
+        return keys.agg(F.array(*sums).alias("values"), *total)
     order = ["goods", "values"] if "goods" in rows.columns else ["values"]
     # A NULL slot needs the id only; a constant keeps its partial rows small.
     ranked = F.when(F.col("slot").isNotNull(), F.struct(*order))
-    return keys.agg(F.max(ranked).alias("best")).select(
-        "id", "slot", F.col("best.values").alias("values"))
+    return keys.agg(F.max(ranked).alias("best"), *total).select(
+        "id", "slot", F.col("best.values").alias("values"), *named)
 
 
-def slots_by_id(slots: DataFrame, *keys: str) -> DataFrame:
+def slots_by_id(slots: DataFrame, *keys: str, also: Sequence[Column] = ()) -> DataFrame:
     """Collect the slots of each id as `by_slot`, a map from slot to values.
 
     There is at most one entry per slot of the range, so the collected state is
-    bounded. A duplicate slot makes the map fail, it is never picked silently.
+    bounded. A duplicate slot makes the map fail, it is never picked silently. `also` are further
+    aggregates over the slots of an id.
     """
     entry = F.when(F.col("slot").isNotNull(), F.struct("slot", "values"))
     return (slots.groupBy("id", *keys)
-            .agg(F.map_from_entries(F.collect_list(entry)).alias("by_slot")))
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("by_slot"), *also))
 
 
 def slot_or_zeros(by_slot: Column, slot: Column, width: int) -> Column:

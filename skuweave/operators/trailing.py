@@ -38,9 +38,36 @@ def trailing_sums(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: st
     cols = list(cols)
     slot = in_range(F.col(time_col), target - last_lag, target)
     collected = slots_by_id(slot_values(df, id_col, slot, cols, duplicates, nulls))
+    return collected.select(F.col("id").alias(out_id),
+                            _lags(target, last_lag, len(cols)).alias(out))
+
+
+def _lags(target: int, last_lag: int, width: int) -> Column:
+    """Running sums over the weeks of `by_slot`, from `target` backwards."""
     blocks = F.transform(F.sequence(F.lit(0), F.lit(last_lag)),
-                         lambda k: slot_or_zeros(F.col("by_slot"), F.lit(target) - k, len(cols)))
-    return collected.select(F.col("id").alias(out_id), _running(blocks, len(cols)).alias(out))
+                         lambda k: slot_or_zeros(F.col("by_slot"), F.lit(target) - k, width))
+    return _running(blocks, width)
+
+
+def trailing_sums_with_label(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: str,
+                             id_col: str, target: int, label_time: int, label_col: str,
+                             last_lag: int = LAST_LAG, duplicates: str = "last_goods",
+                             out_id: str = "id", out: str = "features",
+                             nulls: str = "zero") -> DataFrame:
+    """`trailing_sums` with the total of `label_col` at `label_time`: one scan, one grouping by id.
+
+    The label is summed over all goods of an id, 0 without a row; the features take one row per id
+    and time, as `duplicates` says. `label_time` lies after `target`.
+    """
+    if label_time <= target:
+        raise ValueError("the label lies after the features")
+    cols, time = list(cols), F.col(time_col)
+    slot = F.when(time.between(target - last_lag, target) | (time == label_time), time)
+    slots = slot_values(df, id_col, slot, cols, duplicates, nulls, total_of=label_col)
+    label = F.coalesce(F.sum(F.when(F.col("slot") == label_time, F.col("total"))), F.lit(0.0))
+    collected = slots_by_id(slots, also=[label.alias(label_col)])
+    return collected.select(F.col("id").alias(out_id),
+                            _lags(target, last_lag, len(cols)).alias(out), label_col)
 
 
 def trailing_sums_all_targets(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: str,

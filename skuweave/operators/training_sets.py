@@ -10,8 +10,7 @@ from ..sources.schemas import FEATURE_COLUMNS
 from .learn import with_array
 from .lookup import spread_join
 from .matrix import mask_block, week_matrix
-from .project import fill_missing, select_label
-from .trailing import LAST_LAG, trailing_sums
+from .trailing import LAST_LAG, trailing_sums_with_label
 
 MATRIX_COLUMNS = ("weekNum2",) + FEATURE_COLUMNS
 
@@ -24,15 +23,11 @@ def horizon_training_set(df: DataFrame, target: int = 33, horizon: int = 7,
     """Trailing sums up to `target`, with the units of week target + horizon as label.
 
     `(id, features array<double>, <label_col>)`; a SKU without sales in the label
-    week has label 0. The label is summed per SKU first, so that a SKU sold under
-    several goods stays one row.
+    week has label 0. The label is summed per SKU, so that a SKU sold under several
+    goods stays one row. Features and label come out of the same grouping.
     """
-    features = trailing_sums(df, cols, time_col, id_col, target, last_lag, duplicates)
-    label = (select_label(df, id_col, label_col, f"{time_col} = {int(target + horizon)}",
-                          id_as="id")
-             .groupBy(F.col("id").cast("string").alias("id"))
-             .agg(F.sum(label_col).alias(label_col)))
-    return fill_missing(features.join(label, "id", "left"), [label_col])
+    return trailing_sums_with_label(df, cols, time_col, id_col, target, target + horizon,
+                                    label_col, last_lag, duplicates)
 
 
 def target_week_rows(df: DataFrame, matrix: DataFrame | None = None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LAGS = range(31)
 
 FEATURES = ["goods_num", "goods_price", "orginal_shop_price", "shop_price", "promote_price",
@@ -215,6 +217,226 @@ asked AS (
          + bw * ({61 + k} - mw) + 0.5) AS {{kind}}) AS week{k}""" for k in range(1, 6)) + """{flag}
 FROM asked a LEFT JOIN past p ON a.sku_id = p.sku_id CROSS JOIN line"""
 
+# Ridge regression with any number of inputs and labels: the normal equations of the standardised
+# columns, solved by Gauss-Jordan elimination. `source` holds one row per observation, weighted
+# by `n`, with the lists x (inputs) and y (labels).
+def _solved(source: str, reg: float, weight: str = "1", gram: str | None = None,
+            prefix: str = "") -> list[str]:
+    """CTEs up to `fits(label, betas, intercept)`, their names with a prefix.
+
+    `gram(i, j, v)` may be given ready-made. A column that never changes gets 0.
+    """
+    cells = gram or f"""SELECT i, j, sum({weight} * z[i] * z[j]) AS v
+  FROM (SELECT *, unnest(range(1, len(z) + 1)) AS j FROM (
+    SELECT *, unnest(range(1, len(z) + 1)) AS i FROM (
+      SELECT *, [1e0] || x || y AS z FROM {source}))) GROUP BY 1, 2"""
+    found = [f"cells AS ({cells})", f"""sizes AS (
+  SELECT max(i) AS width, (SELECT max(len(y)) FROM {source}) AS labels,
+         (SELECT v FROM cells WHERE i = 1 AND j = 1) AS n FROM cells),
+means AS (SELECT j AS i, v / n AS m FROM cells, sizes WHERE i = 1),
+spread AS (
+  SELECT c.i, c.j, v / n - a.m * b.m AS v FROM cells c, sizes, means a, means b
+  WHERE a.i = c.i AND b.i = c.j),
+scale AS (SELECT i, CASE WHEN v <= 1e-18 * m * m THEN 1 ELSE sqrt(v) END AS s
+          FROM spread JOIN means USING (i) WHERE i = j),
+targets_ AS (SELECT width - labels + k AS pos, k FROM sizes, (SELECT unnest(range(1, 100)) AS k)
+           WHERE k <= labels),
+systems AS (
+  SELECT k, pos, list(line ORDER BY i) AS m FROM (
+    SELECT k, pos, c.i, list(CASE WHEN c.j = pos THEN c.v / a.s / b.s
+             ELSE c.v / a.s / b.s + CASE WHEN c.i = c.j THEN {reg}e0 / t.s ELSE 0 END END
+             ORDER BY c.j) AS line
+    FROM spread c, targets_, sizes, scale a, scale b, scale t
+    WHERE a.i = c.i AND b.i = c.j AND t.i = pos AND c.i > 1 AND c.i <= width - labels
+      AND c.j > 1 AND (c.j <= width - labels OR c.j = pos) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+steps AS (
+  SELECT k, pos, 0 AS done, m FROM systems UNION ALL
+  SELECT k, pos, done + 1, list_transform(range(1, len(m) + 1), lambda i:
+    CASE WHEN i = done + 1 THEN list_transform(m[i], lambda x: x / m[done + 1][done + 1])
+    ELSE list_transform(range(1, len(m) + 2), lambda j:
+           m[i][j] - m[i][done + 1] / m[done + 1][done + 1] * m[done + 1][j]) END)
+  FROM steps WHERE done < len(m)),
+weights_ AS (
+  SELECT k, t.pos, u.i, m[u.i - 1][len(m) + 1] * y.s / x.s AS beta
+  FROM steps t, (SELECT unnest(range(2, 1000)) AS i) u, scale x, scale y
+  WHERE done = len(m) AND u.i <= len(m) + 1 AND x.i = u.i AND y.i = t.pos),
+fits AS (
+  SELECT k AS label, list(beta ORDER BY b.i) AS betas,
+         any_value(y.m) - sum(beta * x.m) AS intercept
+  FROM weights_ b, means x, means y WHERE x.i = b.i AND y.i = b.pos GROUP BY 1)"""]
+    names = r"\b(cells|sizes|means|spread|scale|targets_|systems|steps|weights_|fits)\b"
+    return [re.sub(names, prefix + r"\1", part) for part in found]
+
+
+# One row per SKU: the matrix row x, and the sums of its label rows. The cells of the Gram matrix
+# follow from those: 1 and x weighted by the number of rows, week and label by their sums.
+FACTORISED = _with("RECURSIVE_MARK", *SALES_HISTORY, """one AS (
+  SELECT sku_id, "weekNum2" AS w, goods_num FROM h
+  QUALIFY row_number() OVER (PARTITION BY sku_id, "weekNum2" ORDER BY goods_id DESC) = 1),
+skus AS (
+  SELECT sku_id, count(*) AS n, sum("weekNum2") AS sw, sum(goods_num) AS sy,
+         sum("weekNum2" * "weekNum2") AS sww, sum("weekNum2" * goods_num) AS swy,
+         sum(goods_num * goods_num) AS syy FROM h GROUP BY 1),
+parts AS (
+  SELECT sku_id, 1 AS i, 1e0 AS x FROM skus UNION ALL
+  SELECT sku_id, 1 + w, goods_num FROM one WHERE w BETWEEN 1 AND 55),
+known AS (SELECT [0e0] AS y),
+half AS (
+  SELECT a.i, b.i AS j, sum(n * a.x * b.x) AS v FROM skus JOIN parts a USING (sku_id)
+  JOIN parts b USING (sku_id) GROUP BY 1, 2 UNION ALL
+  SELECT i, 57, sum(x * sw) FROM skus JOIN parts USING (sku_id) GROUP BY i UNION ALL
+  SELECT 57, i, sum(x * sw) FROM skus JOIN parts USING (sku_id) GROUP BY i UNION ALL
+  SELECT i, 58, sum(x * sy) FROM skus JOIN parts USING (sku_id) GROUP BY i UNION ALL
+  SELECT 58, i, sum(x * sy) FROM skus JOIN parts USING (sku_id) GROUP BY i UNION ALL
+  SELECT 57, 57, sum(sww) FROM skus UNION ALL SELECT 57, 58, sum(swy) FROM skus UNION ALL
+  SELECT 58, 57, sum(swy) FROM skus UNION ALL SELECT 58, 58, sum(syy) FROM skus)""", *_solved(
+    "known", 0.1, gram="""SELECT i, j, coalesce(v, 0) AS v
+  FROM (SELECT unnest(range(1, 59)) AS i) CROSS JOIN (SELECT unnest(range(1, 59)) AS j)
+  LEFT JOIN half USING (i, j)""")) + """
+SELECT CASE k WHEN 56 THEN 'target_week' ELSE 'week_' || k END AS name,
+       round(betas[k], 6) AS coefficient
+FROM fits, (SELECT unnest(range(1, 57)) AS k) UNION ALL
+SELECT 'intercept', round(intercept, 6) FROM fits"""
+
+YOY = _with("RECURSIVE_MARK", *BASE, "rows AS (SELECT [" + ", ".join(FEATURES) + """] AS x,
+         [label] AS y FROM (""" + _yoy("ft", "IN (6, 7)", FEATURES) + "))", *_solved("rows", 0.1),
+            "guess AS (SELECT sku_id, \"weekNum\", intercept + list_dot_product([" + ", ".join(
+                f"CAST({c} AS DOUBLE)" for c in FEATURES) + """], betas) AS p FROM ft, fits
+  WHERE "weekNum" BETWEEN 48 AND 52),
+wide AS (SELECT sku_id, """ + ", ".join(
+    f'round(avg(p) FILTER (WHERE "weekNum" = {53 - k}), 6) AS week{k}' for k in range(1, 6))
+            + " FROM guess GROUP BY 1)") + """SELECT CAST(p_partkey AS VARCHAR) AS sku_id,
+       week1, week2, week3, week4, week5
+FROM part LEFT JOIN wide ON CAST(p_partkey AS VARCHAR) = sku_id"""
+
+
+def _trailing_fit(regs: tuple[float, ...] = (0.1, 0.01), folds: int = 4) -> str:
+    """Each penalty scored by folds dealt by SKU number, the better one fitted on the training part."""
+    lags = ", ".join(f"{c}_{k}" for k in LAGS for c in ("goods_num", "goods_price"))
+    parts = [f"""rows AS MATERIALIZED (
+  SELECT id, [{lags}] AS x, [goods_num] AS y, CAST(id AS BIGINT) % {folds} AS fold,
+         CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 1000 < 800 AS train
+  FROM (""" + _lag_select("h", 33, ", coalesce(label, 0.0) AS goods_num",
+                          """LEFT JOIN (SELECT sku_id, sum(goods_num) AS label FROM h
+             WHERE "weekNum2" = 40 GROUP BY 1) l ON v.id = l.sku_id""") + "))"]
+    scores = []
+    for r, reg in enumerate(regs):
+        for fold in range(folds):
+            name = f"r{r}f{fold}_"
+            parts.append(f"{name}rows AS (SELECT * FROM rows WHERE train AND fold <> {fold})")
+            parts += _solved(f"{name}rows", reg, prefix=name)
+            scores.append(f"""SELECT {r} AS r, sqrt(avg(pow(y[1] - intercept
+                - list_dot_product(x, betas), 2))) AS e
+                FROM rows, {name}fits WHERE train AND fold = {fold}""")
+        parts.append(f"all{r}_rows AS (SELECT * FROM rows WHERE train)")
+        parts += _solved(f"all{r}_rows", reg, prefix=f"all{r}_")
+    parts.append("scores AS (" + " UNION ALL ".join(scores) + ")")
+    parts.append("best AS (SELECT r FROM scores GROUP BY 1 ORDER BY avg(e), r LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT {r} AS r, * FROM all{r}_fits" for r in range(len(regs)))
+    return _with("RECURSIVE_MARK", *SALES_HISTORY, *parts) + f"""SELECT id, y[1] AS goods_num,
+       round(intercept + list_dot_product(x, betas), 6) AS prediction
+FROM rows, (SELECT f.* FROM ({every}) f JOIN best USING (r))"""
+
+
+DIRECT_WEEKS = """weeks AS (
+  SELECT sku_id, "weekNum2" AS w, goods_num FROM h WHERE "weekNum2" BETWEEN 1 AND 55
+  QUALIFY row_number() OVER (PARTITION BY sku_id, "weekNum2" ORDER BY goods_id DESC) = 1)"""
+
+
+def _past(lag: int, target: str) -> str:
+    return f"coalesce(sum(b.goods_num) FILTER (b.w BETWEEN {target} - {lag} AND {target}), 0)"
+
+
+DIRECT = _with("RECURSIVE_MARK", *SALES_HISTORY, DIRECT_WEEKS, f"""rows AS (
+  SELECT a.sku_id, a.w, [{", ".join(_past(k, "a.w") for k in (0, 3, 12, 30))}] AS x,
+         [{", ".join(f"coalesce(sum(b.goods_num) FILTER (b.w = a.w + {k}), 0)"
+                     for k in range(6, 11))}] AS y
+  FROM weeks a JOIN weeks b USING (sku_id) WHERE a.w <= 45 GROUP BY 1, 2),
+last AS (
+  SELECT s.sku_id, [{", ".join(_past(k, "55") for k in (0, 3, 12, 30))}] AS x
+  FROM (SELECT DISTINCT sku_id FROM h) s LEFT JOIN weeks b USING (sku_id) GROUP BY 1)""",
+               *_solved("rows", 0.1)) + "SELECT a.sku_id, " + ", ".join(
+    f"""round((SELECT intercept FROM fits WHERE label = {k}) + coalesce(list_dot_product(x,
+       (SELECT betas FROM fits WHERE label = {k})), 0), 6) AS week{k}""" for k in range(1, 6)) + """,
+       l.sku_id IS NOT NULL AS has_history
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS sku_id FROM part) a LEFT JOIN last l USING (sku_id)"""
+
+ORIGINS = _with(*SALES_HISTORY, DIRECT_WEEKS, f"""rows AS (
+  SELECT a.sku_id, a.w + 7 AS week, {_past(30, "a.w")} AS x,
+         coalesce(sum(b.goods_num) FILTER (b.w = a.w + 7), 0) AS y
+  FROM weeks a JOIN weeks b USING (sku_id) WHERE a.w <= 48 GROUP BY 1, 2),
+origins AS (SELECT unnest(range(20, (SELECT max(week) FROM rows), 4)) AS origin),
+fits AS (
+  SELECT origin, reg, count(*) AS n, regr_slope(y, x) / (1 + reg / stddev_pop(y)) AS slope,
+         avg(x) AS mx, avg(y) AS my
+  FROM origins JOIN rows ON week <= origin CROSS JOIN (VALUES (1e0), (0.1e0), (0.01e0)) g(reg)
+  GROUP BY 1, 2)""") + """
+SELECT CAST(origin AS INTEGER) AS origin, reg, any_value(n) AS train_rows, count(*) AS test_rows,
+       round(sqrt(avg(pow(y - my - slope * (x - mx), 2))), 6) AS rmse
+FROM fits JOIN rows ON week > origin AND week <= origin + 4 GROUP BY 1, 2"""
+
+# Boosted stumps on two inputs with few values: every split between two values is tried.
+def _stumps(rounds: int, step: float, leaf_reg: float, held: str) -> list[str]:
+    """CTEs b0, b1, ...: the rows with `made_k`, their prediction after round k."""
+    out = [f"""b0 AS MATERIALIZED (
+  SELECT sku_id, "weekNum2", goods_num AS y, (("weekNum2" % 13) + 13) % 13 AS f1,
+         CAST(floor(orginal_shop_price / 100) AS INTEGER) AS f2, {held} AS held,
+         (SELECT avg(goods_num) FROM h WHERE NOT ({held})) AS made_0 FROM h)"""]
+    for k in range(1, rounds + 1):
+        rest = f"y - made_{k - 1}"
+        out.append(f"""s{k} AS MATERIALIZED (
+  SELECT f, v, count(*) AS n, sum(rest) AS s FROM (
+    SELECT 1 AS f, f1 AS v, {rest} AS rest FROM b{k - 1} WHERE NOT held UNION ALL
+    SELECT 2, f2, {rest} FROM b{k - 1} WHERE NOT held) GROUP BY 1, 2),
+c{k} AS (
+  SELECT f, v, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl, sum(n) OVER (PARTITION BY f) AS n,
+         sum(s) OVER (PARTITION BY f) AS s FROM s{k}
+  WINDOW upto AS (PARTITION BY f ORDER BY v)),
+t{k} AS MATERIALIZED (
+  SELECT f, v, sl / (nl + {leaf_reg}) AS low, (s - sl) / (n - nl + {leaf_reg}) AS high FROM c{k}
+  WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, v LIMIT 1),
+b{k} AS MATERIALIZED (
+  SELECT b.*, made_{k - 1} + {step} * CASE WHEN (CASE f WHEN 1 THEN f1 ELSE f2 END) <= v THEN low
+         ELSE high END AS made_{k} FROM b{k - 1} b, t{k})""")
+    return out
+
+
+def _rmse(k: int, held: str) -> str:
+    return f"sqrt(avg(pow(y - made_{k}, 2)) FILTER ({held}))"
+
+
+RIDGE_LEAVES = _with(*SALES_HISTORY, *_stumps(4, 0.5, 2.0, "false")) + """
+SELECT sku_id, "weekNum2", round(made_4, 6) AS prediction FROM b4"""
+
+HISTORY = _with(*SALES_HISTORY, *_stumps(4, 0.5, 2.0, f"NOT {IN_TRAIN}")) + " UNION ALL ".join(
+    f"""SELECT {k} AS round, round({_rmse(k, "NOT held")}, 6) AS train_rmse,
+       round({_rmse(k, "held")}, 6) AS valid_rmse FROM b4""" for k in range(1, 5))
+
+EARLY_STOP = _with(*SALES_HISTORY, *_stumps(5, 1.4, 2.0, f"NOT {IN_TRAIN}"), "errors AS (" +
+                   " UNION ALL ".join(f"SELECT {k} AS k, {_rmse(k, 'held')} AS e FROM b5"
+                                      for k in range(1, 6)) + ")", """
+best AS (SELECT k FROM errors ORDER BY e, k LIMIT 1)""") + """
+SELECT sku_id, "weekNum2", round([made_1, made_2, made_3, made_4, made_5][k], 6) AS prediction,
+       k AS trees FROM b5, best WHERE held"""
+
+# One stump on categories: bins in the order of their means, every cut of that order is tried.
+MISSING = _table("").rstrip() + """,
+bounds AS (SELECT list_sort(list_distinct(quantile_disc(goods_click, [""" + ", ".join(
+    repr(k / 6) for k in range(1, 6)) + """]))) AS b FROM ft WHERE goods_click <> 0),
+binned AS (SELECT goods_num, CASE WHEN goods_click = 0 THEN 0 ELSE
+             1 + len(list_filter(b, lambda x: goods_click > x)) END AS bin FROM ft, bounds),
+stats AS (SELECT bin, count(*) AS n, sum(goods_num) AS s FROM binned GROUP BY 1),
+cuts AS (
+  SELECT bin, s / n AS mean, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl,
+         sum(n) OVER () AS n, sum(s) OVER () AS s
+  FROM stats WINDOW upto AS (ORDER BY s / n, bin)),
+best AS (SELECT mean, sl / (nl + 2) AS low, (s - sl) / (n - nl + 2) AS high FROM cuts WHERE nl < n
+         ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+SELECT CAST(bin AS INTEGER) AS bin, t.n AS rows,
+       CASE WHEN t.s / t.n <= mean THEN 'left' ELSE 'right' END AS side,
+       round(CASE WHEN t.s / t.n <= mean THEN low ELSE high END, 6) AS prediction
+FROM stats t, best"""
+
 CHI = _table("").rstrip() + """,
 flags AS (
   SELECT CAST(goods_num >= 30 AS INTEGER) AS y, [CAST(orginal_shop_price >= 1000 AS INTEGER),
@@ -271,6 +493,10 @@ ORACLES: dict[str, str] = {
         goods_price, orginal_shop_price FROM sales""",
     "weekly_traffic": _with(DAILY, TRAFFIC) + "SELECT * FROM traffic",
     "weekly_prices": _with(LINES, PRICES) + "SELECT * FROM prices",
+    "weekly_sales_continued": _with(LINES, SALES) + """SELECT goods_id, sku_id, "weekNum",
+        goods_num, goods_price, orginal_shop_price FROM sales""",
+    "weekly_prices_continued": _with(LINES, PRICES) + "SELECT * FROM prices",
+    "weekly_traffic_continued": _with(DAILY, TRAFFIC) + "SELECT * FROM traffic",
     "rows_per_week": _with(LINES) + f"""SELECT {_week('data_date')} AS "weekNum",
         count(*) AS count FROM lines GROUP BY 1 ORDER BY 1""",
     "newest_weeks_preview": _with(LINES) + f"""SELECT {_week('data_date')} AS "weekNum",
@@ -338,10 +564,27 @@ ORACLES: dict[str, str] = {
     "poly_expand": _with(*SALES_HISTORY) + """SELECT sku_id, "weekNum2", goods_num AS p0,
         goods_num * goods_num AS p1, CAST("weekNum2" AS DOUBLE) AS p2,
         goods_num * "weekNum2" AS p3, CAST("weekNum2" AS DOUBLE) * "weekNum2" AS p4 FROM h""",
+    "poly_sparse": _with(*SALES_HISTORY) + """SELECT sku_id, "weekNum2", goods_num AS p0,
+        goods_num * goods_num AS p1, CAST("weekNum2" AS DOUBLE) AS p2,
+        goods_num * "weekNum2" AS p3, CAST("weekNum2" AS DOUBLE) * "weekNum2" AS p4 FROM h""",
     "chi_select": CHI,
     "linear_fit": LINEAR,
     "model_roundtrip": LINEAR,
     "cv_fit": CROSS_VALIDATION,
+    "linear_fit_factorised": FACTORISED.replace("WITH RECURSIVE_MARK,", "WITH RECURSIVE"),
+    "cv_one_pass": CROSS_VALIDATION,
+    "yoy_forecast": YOY.replace("WITH RECURSIVE_MARK,", "WITH RECURSIVE"),
+    "trailing_fit": _trailing_fit().replace("WITH RECURSIVE_MARK,", "WITH RECURSIVE"),
+    "features_roundtrip": _table(ALL_COLUMNS),
+    "local_rows": _with(LINES, SALES) + """SELECT "weekNum", kind, count(*) AS sold,
+        sum(goods_num) AS units FROM sales JOIN (VALUES (6, 'spring'), (7, 'spring'), (59, 'autumn'))
+        AS named("week", kind) ON "weekNum" = "week" GROUP BY 1, 2""",
+    "origin_scores": ORIGINS,
+    "forecast_direct": DIRECT.replace("WITH RECURSIVE_MARK,", "WITH RECURSIVE"),
+    "gbt_ridge_leaves": RIDGE_LEAVES,
+    "gbt_missing": MISSING,
+    "training_history": HISTORY,
+    "early_stop": EARLY_STOP,
     "score_metric": _with(*SALES_HISTORY) + """SELECT round(1 / (1 + sqrt(avg(
         pow(goods_num - abs("weekNum2" % 50), 2)))), 9) AS score FROM h""",
     "forecast_grid": f"""SELECT CAST(p_partkey AS VARCHAR) AS sku_id, CAST(k AS INTEGER) AS horizon,

@@ -2,6 +2,7 @@
 
     python -m skuweave features  <folder> <out>
     python -m skuweave snapshots <folder> <out> --weeks 48 49 50 51 52
+    python -m skuweave continue  <folder of new days> <out>
     python -m skuweave analyse   <folder> [--out <folder>] [--rows 20]
     python -m skuweave yoy-set   <folder> <out>
     python -m skuweave train     <filePath> <modelSavePath> <numRound> [--kind linear]
@@ -38,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument(arg)
         return sub
 
-    for name in ("features", "yoy-set", "snapshots", "analyse"):
+    for name in ("features", "yoy-set", "snapshots", "continue", "analyse"):
         sub = job(name, "folder", *(() if name == "analyse" else ("out",)))
         sub.add_argument("--anchor", type=dt.date.fromisoformat, default=ANCHOR)
         if name == "snapshots":
@@ -50,6 +51,10 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument("--out", help="folder for the full tables")
             sub.add_argument("--rows", type=int, default=20, help="rows shown of each table")
 
+        if name == "continue":
+            sub.add_argument("--again", choices=("skip", "error"), default="skip",
+                             help="what to do with days that are covered already")
+
     train = job("train")
     train.add_argument("args", nargs="*")
     train.add_argument("--kind", choices=("gbt", "linear"), default="gbt")
@@ -59,6 +64,11 @@ def _parser() -> argparse.ArgumentParser:
     train.add_argument("--depth", type=int, default=7)
     train.add_argument("--min-gain", type=float, default=0.1)
     train.add_argument("--column-share", type=float, default=0.8)
+    train.add_argument("--factorised", action="store_true",
+                       help="linear fit from one row per SKU, the wide rows are not made")
+    train.add_argument("--leaf-reg", type=float, help="L2 term on the leaves of boosted trees")
+    train.add_argument("--patience", type=int,
+                       help="stop after so many rounds without a better held-out error")
 
     sales = job("train-sales", "path", "model")
     sales.add_argument("--matrix")
@@ -72,7 +82,8 @@ def _parser() -> argparse.ArgumentParser:
     yoy.add_argument("--rounds", type=int, default=7)
 
     forecast = job("forecast", "matrix", "template", "model", "out")
-    forecast.add_argument("--kind", choices=("gbt", "linear"), default="gbt")
+    forecast.add_argument("--kind", choices=("gbt", "linear", "boosted"), default="gbt",
+                          help="boosted: trained with --leaf-reg or --patience")
     forecast.add_argument("--single-file", action="store_true")
     forecast.add_argument("--sales-only", action="store_true",
                           help="matrix and model of train-sales")
@@ -93,6 +104,9 @@ def main(argv: list[str] | None = None) -> int:
         features.create_feature_table(spark, args.folder, args.out, args.anchor)
     elif args.job == "snapshots":
         features.create_week_snapshots(spark, args.folder, args.out, args.weeks, args.anchor)
+    elif args.job == "continue":
+        print(*features.continue_feature_table(spark, args.folder, args.out, args.anchor,
+                                               args.again))
     elif args.job == "yoy-set":
         features.create_year_over_year_set(spark, args.folder, args.out, args.weeks,
                                            anchor=args.anchor)
@@ -108,7 +122,8 @@ def main(argv: list[str] | None = None) -> int:
         fit = training.train_all_weeks(spark, path, model, int(rounds),
                                        args.matrix or f"{model}-matrix", args.kind,
                                        args.step, args.depth, args.min_gain, args.column_share,
-                                       mask_target=args.mask_target)
+                                       mask_target=args.mask_target, factorised=args.factorised,
+                                       leaf_reg=args.leaf_reg, patience=args.patience)
         print(fit.score)
     elif args.job == "train-sales":
         fit = training.train_sales_weeks(spark, args.path, args.model,

@@ -9,10 +9,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import with_reverse_week
-from ..operators import (MATRIX_COLUMNS, assemble, boosted_trees, expand, feature_names,
-                         hash_split, horizon_training_set, linear, matrix_width, predict, rmse,
-                         sales_matrix, target_week_rows, training_history, tune_linear,
-                         week_matrix, with_fold, with_vector)
+from ..operators import (MATRIX_COLUMNS, BoostedModel, RidgeBoosting, assemble, boosted_trees,
+                         collect_gram, expand, factorised_rows, feature_names, gram_blocks,
+                         hash_split, horizon_training_set, in_train, linear, matrix_width, predict,
+                         ridge, rmse, sales_matrix, squared_error, target_week_rows,
+                         training_history, tune_linear, week_matrix, with_fold, with_vector)
 from ..operators.trailing import LAST_LAG
 from ..session import ensure_checkpoint_dir, staged_for
 from ..sources import check_feature_table, read_features, write_model, write_table
@@ -22,7 +23,7 @@ from ..sources import check_feature_table, read_features, write_model, write_tab
 class Fit:
     """A fitted model with its held-out score, 1 / (1 + RMSE)."""
 
-    model: Model
+    model: Model | BoostedModel
     score: float
     history: list[float] = field(default_factory=list)
     params: str = ""
@@ -60,23 +61,71 @@ def train_year_over_year(spark: SparkSession, path: str, model_path: str,
     return fit
 
 
+def fit_factorised_and_score(table: DataFrame, matrix: DataFrame, reg: float = 0.1,
+                             train_share: float = 0.8) -> Fit:
+    """The linear fit on all target-week rows and its held-out score, without making the rows.
+
+    Label rows are dealt to the two sides by the same hash as in `fit_and_score`; both sides'
+    matrices come from one pass, and the error on the held-out side from its matrix.
+    """
+    side = {"in_train": in_train(["sku_id", "weekNum2"], train_share)}
+    rows = factorised_rows(table, matrix, keys=side)
+    sums = {key[0]: gram for key, gram in
+            collect_gram(gram_blocks(rows, ["in_train"]), ["in_train"]).items()}
+    if True not in sums:
+        raise ValueError("no rows to fit on")
+    label = len(sums[True]) - 1
+    fit = ridge(sums[True], range(1, label), label, reg)
+    held = sums.get(False)
+    score = float("nan")
+    if held is not None:
+        error = squared_error(held, fit, range(1, label), label) / held[0, 0]
+        score = 1.0 / (1.0 + error ** 0.5)
+    return Fit(fit.model(table.sparkSession, "features2"), score)
+
+
+def fit_boosted_and_score(rows: DataFrame, boosting: RidgeBoosting, keys: Iterable[str],
+                          features: str = "features2", label: str = "goods_num",
+                          train_share: float = 0.8) -> Fit:
+    """Boosting with an L2 term; rounds are stopped by the held-out side if it has `patience`."""
+    model = boosting.fit(rows, features, label, ~in_train(list(keys), train_share))
+    valid = [v for _, _, v in model.history if v is not None]
+    score = 1.0 / (1.0 + valid[-1]) if valid else float("nan")
+    return Fit(model, score, [train for _, train, _ in model.history])
+
+
 def train_all_weeks(spark: SparkSession, path: str, model_path: str, rounds: int,
                     matrix_path: str, kind: str = "gbt", step: float = 0.01,
                     depth: int = 7, min_gain: float = 0.1, column_share: float = 0.8,
-                    mask_target: bool = False, spread: int = 1) -> Fit:
+                    mask_target: bool = False, spread: int = 1, factorised: bool = False,
+                    leaf_reg: float | None = None, patience: int | None = None) -> Fit:
     """All features of all weeks, plus the target week, against that week's units.
 
     The matrix is stored at `matrix_path`, for this job and for the forecast: the
-    join with the labels starts from the stored table.
+    join with the labels starts from the stored table. `factorised` fits the linear model from
+    one row per SKU. With `leaf_reg` (or `patience`, rounds without a better held-out error) the
+    trees get that L2 term on their leaves, and columns are drawn per tree, not per node.
     """
+    if factorised and (kind != "linear" or mask_target):
+        raise ValueError("only the linear fit without masking can be factorised")
     ensure_checkpoint_dir(spark)
     table = with_reverse_week(read_features(spark, path), drop=("weekNum",))
     width = matrix_width(len(MATRIX_COLUMNS))
     write_table(with_vector(week_matrix(table), width), matrix_path)
+    if factorised:
+        fit = fit_factorised_and_score(table, spark.read.parquet(matrix_path))
+        write_model(fit.model, model_path)
+        return fit
     rows = target_week_rows(table, spark.read.parquet(matrix_path), mask_target=mask_target,
                             spread=spread)
     rows = with_vector(rows, width)
     rows = assemble(rows, ["features", "weekNum2"], "features2")
+    if kind == "gbt" and (leaf_reg is not None or patience is not None):
+        boosting = RidgeBoosting(rounds, step, depth, leaf_reg or 0.0, min_gain=min_gain,
+                                 column_share=column_share, patience=patience)
+        fit = fit_boosted_and_score(rows, boosting, ["sku_id", "weekNum2"])
+        fit.model.save(spark, model_path)
+        return fit
     if kind == "linear":
         estimator = linear("features2", reg=0.1, rounds=rounds)
     elif kind == "gbt":

@@ -7,6 +7,7 @@ the SQL that must give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -17,8 +18,8 @@ from . import operators as op
 from .functions import (restrict_weeks, round_half_up_trunc, target_week, with_reverse_week,
                         with_week)
 from .session import scratch_path, staged
-from .sources import (FEATURE_COLUMNS, RAW_COLUMNS, load_model, read_raw,
-                      read_weeks, write_csv, write_model, write_table, write_weeks)
+from .sources import (FEATURE_COLUMNS, RAW_COLUMNS, from_rows, load_model, read_features,
+                      read_raw, read_weeks, write_csv, write_model, write_table, write_weeks)
 from .sources import testtables as tt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +115,30 @@ def weekly_prices(spark, sf_dir):
                             PLACES)
 
 
+def _continued(spark, daily: DataFrame, rollup: op.Rollup) -> DataFrame:
+    """The rollup from three deliveries: early days, late days of the same weeks, days once more."""
+    path, late = scratch_path(spark, "states"), F.dayofmonth("data_date") > 20
+    for part in (daily.where(~late), daily.where(late), daily.where(F.dayofmonth("data_date") == 25)):
+        op.continue_weeks(part, path, rollup, anchor=ANCHOR)
+    return op.finished(op.read_states(spark, path), rollup)
+
+
+@query
+def weekly_prices_continued(spark, sf_dir):
+    prices = replace(op.PRICES, places=PLACES)
+    return _continued(spark, tt.goods_promote_price(spark, sf_dir), prices)
+
+
+@query
+def weekly_sales_continued(spark, sf_dir):
+    return _continued(spark, tt.goodsale(spark, sf_dir), replace(op.SALES, places=PLACES))
+
+
+@query
+def weekly_traffic_continued(spark, sf_dir):
+    return _continued(spark, staged(tt.goodsdaily(spark, sf_dir), "daily"), op.TRAFFIC)
+
+
 @query
 def rows_per_week(spark, sf_dir):
     return op.rows_per_week(tt.goodsale(spark, sf_dir), ANCHOR)
@@ -364,6 +389,16 @@ def poly_expand(spark, sf_dir):
                                   *[values[i].alias(f"p{i}") for i in range(5)])
 
 
+@query
+def poly_sparse(spark, sf_dir):
+    """The same products from the inputs that are not zero, as sparse vectors."""
+    rows = sales_history(spark, sf_dir).select("sku_id", "weekNum2", F.array(
+        "goods_num", F.col("weekNum2").cast("double")).alias("features2"))
+    values = vector_to_array(F.col("polyfeatures"))
+    return op.expand_sparse(rows, 2, "features2").select(
+        "sku_id", "weekNum2", *[values[i].alias(f"p{i}") for i in range(5)])
+
+
 @query
 def chi_select(spark, sf_dir):
     """The one of three yes/no features that says most about a good sales week."""
@@ -420,6 +455,46 @@ def cv_fit(spark, sf_dir):
         "reg double, rmse double")
 
 
+@query
+def linear_fit_factorised(spark, sf_dir):
+    """Coefficients of the fit on 55 weeks and the target week, from one row per SKU."""
+    table = staged(sales_history(spark, sf_dir).select("sku_id", "goods_id", "weekNum2",
+                                                       "goods_num"), "sales")
+    fit = op.fit_factorised(table, op.sales_matrix(table), reg=0.1)
+    names = [f"week_{w}" for w in range(1, 56)] + ["target_week"]
+    found = [*zip(names, map(float, fit.coefficients)), ("intercept", fit.intercept)]
+    return spark.createDataFrame([(n, round(v, 6)) for n, v in found],
+                                 "name string, coefficient double")
+
+
+@query
+def cv_one_pass(spark, sf_dir):
+    """The candidates of `cv_fit` from one Gram matrix per fold."""
+    rows = _one_feature(spark, sf_dir).withColumn("fold", F.col("id").cast("int") % 4)
+    scores, _ = op.cross_validate(rows, regs=[0.1, 0.01])
+    return spark.createDataFrame([(r, round(m, 6)) for r, m in scores], "reg double, rmse double")
+
+
+@query
+def origin_scores(spark, sf_dir):
+    """Validation by time: units seven weeks ahead from the sum over 31 weeks."""
+    rows = op.direct_rows(sales_history(spark, sf_dir), lags=[30], ahead=[7])
+    rows = rows.withColumn("label_week", F.col("target") + 7)
+    scores = op.origin_scores(rows, regs=[1.0, 0.1, 0.01], first=20, label="ahead_7")
+    return scores.withColumn("rmse", F.round("rmse", 6))
+
+
+@query
+def forecast_direct(spark, sf_dir):
+    """Units six to ten weeks after the last known week: five labels, one Gram matrix."""
+    table = staged(sales_history(spark, sf_dir).select("sku_id", "goods_id", "weekNum2",
+                                                       "goods_num"), "sales")
+    models = op.fit_direct(op.direct_rows(table))
+    forecast = op.forecast_direct(table, tt.submit_example(spark, sf_dir), models)
+    return forecast.select("sku_id", *[F.round(f"week{k}", 6).alias(f"week{k}")
+                                       for k in range(1, 6)], "has_history")
+
+
 @query
 def score_metric(spark, sf_dir):
     """Score of the rule "as many units as the week number modulo 50"."""
@@ -430,12 +505,12 @@ def score_metric(spark, sf_dir):
 
 @query
 def trailing_fit(spark, sf_dir):
-    """Linear regression on all 62 trailing sums, tuned by four folds."""
-    table = staged(sales_history(spark, sf_dir), "sales")
-    rows = staged(op.with_vector(op.horizon_training_set(table), 62), "rows")
+    """Linear regression on all 62 trailing sums, tuned by four folds dealt by SKU number."""
+    rows = op.with_vector(op.horizon_training_set(sales_history(spark, sf_dir)), 62)
+    rows = staged(rows.withColumn("fold", F.col("id").cast("int") % 4), "rows")
     train, _ = op.hash_split(rows, ["id"])
-    search = op.tune_linear(train)
-    return op.predict(search.bestModel, rows).select("id", "goods_num", "prediction")
+    search = op.tune_linear(train, fold_col="fold")
+    return _fitted(rows, search.bestModel)
 
 
 def _boosted(spark, sf_dir):
@@ -455,6 +530,65 @@ def gbt_fit(spark, sf_dir):
     return op.predict(model, rows).select("sku_id", "weekNum2", "goods_num", "prediction")
 
 
+def _stump_rows(spark, sf_dir) -> DataFrame:
+    """Units against the season (thirteenths of a year) and the price class of the SKU."""
+    rows = sales_history(spark, sf_dir).select(
+        "sku_id", "weekNum2", "goods_num", F.pmod("weekNum2", F.lit(13)).alias("season"),
+        F.floor(F.col("orginal_shop_price") / 100).cast("int").alias("price_class"))
+    return staged(op.assemble(rows, ["season", "price_class"]), "stumps")
+
+
+def _held_out(rows: DataFrame, keys) -> DataFrame:
+    train, test = op.hash_split(rows, keys)
+    return train.withColumn("held", F.lit(False)).union(test.withColumn("held", F.lit(True)))
+
+
+STUMPS = op.RidgeBoosting(rounds=4, step=0.5, depth=1, leaf_reg=2.0)
+
+
+@query
+def gbt_ridge_leaves(spark, sf_dir):
+    """Boosted stumps whose leaves are sums of residuals over rows + 2."""
+    rows = _stump_rows(spark, sf_dir)
+    scored = STUMPS.fit(rows, "features", "goods_num").transform(rows)
+    return scored.select("sku_id", "weekNum2", F.round("prediction", 6).alias("prediction"))
+
+
+@query
+def gbt_missing(spark, sf_dir):
+    """One stump on the clicks, 0 clicks being absent: the side of each bin, and what it adds."""
+    table = features(spark, sf_dir).select("goods_num", "goods_click")
+    bins = op.AbsentBins.fit(table, ["goods_click"], bins=6)
+    rows = staged(bins.transform(table), "bins")
+    model = op.RidgeBoosting(rounds=1, step=1.0, depth=1, base=0.0).fit(rows, "features",
+                                                                        "goods_num")
+    side = spark.createDataFrame(list(op.sides(model.trees[0].model)), "bin int, side string")
+    scored = model.transform(rows).groupBy(
+        vector_to_array("features")[0].cast("int").alias("bin")).agg(
+        F.count("*").alias("rows"), F.round(F.max("prediction"), 6).alias("prediction"))
+    return scored.join(side, "bin")
+
+
+@query
+def training_history(spark, sf_dir):
+    """Error after each round, on the training part and on the part held out by hash."""
+    rows = _held_out(_stump_rows(spark, sf_dir), ["sku_id", "weekNum2"])
+    model = STUMPS.fit(rows, "features", "goods_num", F.col("held"))
+    return model.history_table(spark).select(
+        "round", *[F.round(c, 6).alias(c) for c in ("train_rmse", "valid_rmse")])
+
+
+@query
+def early_stop(spark, sf_dir):
+    """Predictions of the held-out rows by the model cut at its best round."""
+    rows = _held_out(_stump_rows(spark, sf_dir), ["sku_id", "weekNum2"])
+    model = op.early_stop(rows, op.RidgeBoosting(rounds=5, step=1.4, depth=1), "features",
+                          "goods_num", F.col("held"))
+    scored = model.transform(rows.where("held"))
+    return scored.select("sku_id", "weekNum2", F.round("prediction", 6).alias("prediction"),
+                         F.lit(len(model.trees)).alias("trees"))
+
+
 # ---- forecasts
 
 def _sold_in_history(spark, sf_dir) -> DataFrame:
@@ -487,7 +621,9 @@ def _yoy_forecast(spark, sf_dir) -> DataFrame:
 @query
 def yoy_forecast(spark, sf_dir):
     """Forecast from all features of the weeks a year before."""
-    return _yoy_forecast(spark, sf_dir)
+    forecast = _yoy_forecast(spark, sf_dir)
+    return forecast.select("sku_id", *[F.round(f"week{k}", 6).alias(f"week{k}")
+                                       for k in range(1, 6)])
 
 
 @query
@@ -566,6 +702,24 @@ def week_folders_roundtrip(spark, sf_dir):
                                                                    "sku_id", *FEATURE_COLUMNS)
 
 
+@query
+def features_roundtrip(spark, sf_dir):
+    """The feature table stored, and read with its columns and types checked."""
+    path = scratch_path(spark, "features")
+    write_table(features(spark, sf_dir), path)
+    return read_features(spark, path).select("weekNum", "goods_id", "sku_id", *FEATURE_COLUMNS)
+
+
+@query
+def local_rows(spark, sf_dir):
+    """Weekly sales next to a few rows stated in code."""
+    named = from_rows(spark, [(6, "spring"), (7, "spring"), (59, "autumn")],
+                      "weekNum int, kind string")
+    sales = _units(spark, sf_dir, [6, 7, 59])
+    return sales.join(named, "weekNum").groupBy("weekNum", "kind").agg(
+        F.count("*").alias("sold"), F.sum("goods_num").alias("units"))
+
+
 @query
 def matrix_roundtrip(spark, sf_dir):
     """The week matrix stored as ML vectors and read back."""

@@ -33,6 +33,43 @@ def test_assembled_width_and_expansion(rows):
     assert (first.features2.size, first.polyfeatures.size) == (56, 1652)
 
 
+def test_sparse_products(spark, rows):
+    """The same cells as the dense expansion, and no more than those of the inputs that are not 0."""
+    got = op.expand_sparse(rows.select("sku_id", "weekNum2", "goods_num", "features2"), 56, "features2")
+    want = {(r.sku_id, r.weekNum2): r.polyfeatures for r in op.expand(rows).collect()}
+    seen = 0
+    for r in got.collect():
+        dense = want[r.sku_id, r.weekNum2]
+        given = r.features2.numNonzeros()
+        assert r.polyfeatures.size == dense.size == 1652
+        assert len(r.polyfeatures.indices) == given * (given + 3) // 2
+        assert np.array_equal(r.polyfeatures.toArray(), dense.toArray())
+        seen += 1
+    assert seen == len(want)
+    model = op.linear("polyfeatures", rounds=3).fit(got)  # an ML vector like any other
+    assert model.numFeatures == 1652
+    wide = spark.createDataFrame([([0.0] * 600 + [2.0] + [0.0] * 5, ), ([0.0] * 606,)],
+                                 "features array<double>")
+    first, empty = op.expand_sparse(wide, 606).select("polyfeatures").collect()
+    if not len(first.polyfeatures.indices):
+        first, empty = empty, first
+    at = 600 * 603 // 2
+    assert first.polyfeatures.size == 184_527 and list(first.polyfeatures.indices) == [at, at + 601]
+    assert list(first.polyfeatures.values) == [2.0, 4.0] and not len(empty.polyfeatures.indices)
+    null = spark.createDataFrame([([1.0, None],)], "features array<double>")
+    with pytest.raises(Exception, match="an input is NULL"):
+        op.expand_sparse(null, 2)
+
+
+def test_history_of_sparks_trees(rows):
+    train, test = op.hash_split(rows, ["sku_id", "weekNum2"])
+    model = op.boosted_trees(rounds=3, depth=3).fit(train)
+    table = op.training_history_table(model, train, test).orderBy("round").collect()
+    assert [r.round for r in table] == [1, 2, 3]
+    assert table[-1].valid_rmse == pytest.approx(op.rmse(model.transform(test)))
+    assert table[0].train_rmse > table[-1].train_rmse
+
+
 def test_missing_input_is_an_error(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     with pytest.raises(Exception, match="null"):
@@ -72,10 +109,10 @@ def test_hash_split_is_complete_and_stable(rows):
     assert 0.7 < len(keys) / rows.count() < 0.9
 
 
-def test_random_split_repeats_with_the_seed(rows):
-    counts = {op.random_split(rows.select("sku_id", "weekNum2"), seed=5)[0].count()
-              for _ in range(2)}
-    assert len(counts) == 1 and 0 < counts.pop() < rows.count()
+def test_split_shares_follow_the_request(rows):
+    train, test = op.hash_split(rows.select("sku_id", "weekNum2"), ["sku_id", "weekNum2"], 0.3)
+    assert 0 < train.count() < test.count()
+    assert train.join(test, ["sku_id", "weekNum2"]).count() == 0
 
 
 def test_folds(rows):

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from skuweave import operators as op
 from skuweave.functions import with_reverse_week
 from skuweave.sources import FEATURE_COLUMNS, FEATURE_TABLE_COLUMNS, check_feature_table
@@ -147,8 +148,12 @@ def test_duplicates_can_be_refused(spark):
     unique = spark.createDataFrame([("s1", "g1", 5, 2.0), ("s1", "g2", 6, 7.0)], HISTORY)
     assert op.sales_matrix(unique, duplicates="error").first().features[4:6] == [2.0, 7.0]
     twice = spark.createDataFrame([("s1", "g1", 5, 2.0), ("s1", "g2", 5, 7.0)], HISTORY)
-    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
-        op.sales_matrix(twice, duplicates="error").collect()
+    sums = ["goods_num"], "weekNum2", "sku_id"
+    for refused in (op.sales_matrix(twice, duplicates="error"),
+                    op.trailing_sums(twice, *sums, 5, duplicates="error"),
+                    op.trailing_sums_all_targets(twice, *sums, duplicates="error")):
+        with pytest.raises(Exception, match="duplicate row of s1 in slot 5"):
+            refused.collect()
 
 
 def test_null_and_text_measures(spark):
@@ -309,3 +314,20 @@ def test_horizon_set(random_history):
 def test_reverse_week_drops_what_it_replaces(daily_tables):
     out = with_reverse_week(op.build_feature_table(*daily_tables))
     assert "weekNum" not in out.columns and "goods_id" not in out.columns
+
+
+@pytest.mark.parametrize("duplicates", ["last_goods", "sum"])
+def test_label_and_lags_from_one_grouping(spark, duplicates):
+    rows = [("s1", "g1", 33, 2.0), ("s1", "g2", 33, 3.0), ("s1", "g1", 30, 5.0), ("s1", "g1", 40, 7.0),
+            ("s1", "g2", 40, 8.0), ("s2", "g1", 36, 4.0), ("s3", "g1", 40, None), ("s4", "g1", 2, 9.0)]
+    df = spark.createDataFrame(rows, HISTORY)
+    got = {r.id: r for r in op.horizon_training_set(df, cols=["goods_num"],
+                                                    duplicates=duplicates).collect()}
+    assert {k: r.goods_num for k, r in got.items()} == {"s1": 15.0, "s2": 0.0, "s3": 0.0, "s4": 0.0}
+    week = 5.0 if duplicates == "sum" else 3.0
+    assert got["s1"].features[:4] == [week, week, week, week + 5.0]
+    assert all(sum(got[k].features) == 0 for k in ("s2", "s3", "s4"))
+    plan = plan_of(op.horizon_training_set(df, cols=["goods_num"]))
+    assert "Join" not in plan and plan.count("Scan") == 1
+    with pytest.raises(ValueError, match="after the features"):
+        op.horizon_training_set(df, cols=["goods_num"], horizon=0)
