@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,8 @@ class CountOnlyViterbi:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
-        self.automaton.make_automaton()
+        if pieces:
+            self.automaton.make_automaton()
         inside = {c for p in pieces if len(p) > 1 for c in p}
         spaced = any(" " in p.lstrip(" ") for p in pieces)
         joined = "".join(re.escape(c) for c in sorted(inside - (set() if spaced else {" "})))
@@ -66,27 +69,35 @@ class CountOnlyViterbi:
         self.known: dict[str, tuple[int, float]] = {}
 
     def __call__(self, text: str | None) -> tuple[int, float]:
-        if not text:
-            return 0, 0.0
-        text = text.replace(SPACE, " ")
-        if self.dummy_prefix:
-            text = " " + text
-        count, score = 0, 0.0
-        for part, times in Counter(self.parts.findall(text)).items():
-            found = self.known.get(part)
-            if found is None:
-                if len(self.known) >= self.remember:
-                    self.known.clear()
-                found = self.known[part] = self.best(part)
-            count += times * found[0]
-            score += times * found[1]
-        return count, score
+        counts, scores = self.batch([text])
+        return int(counts[0]), float(scores[0])
+
+    def batch(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and scores of many texts: their parts are coded, each distinct one is solved once."""
+        prefix = " " if self.dummy_prefix else ""
+        cut = [self.parts.findall(prefix + t.replace(SPACE, " ")) if t else () for t in texts]
+        coded = pa.array(itertools.chain.from_iterable(cut), pa.string()).dictionary_encode()
+        solved = np.array([self.remembered(p) for p in coded.dictionary.to_pylist()],
+                          float).reshape(-1, 2)
+        codes = coded.indices.to_numpy()
+        owner = np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
+        counts, scores = (np.bincount(owner, weights=solved[codes, k], minlength=len(cut))
+                          for k in (0, 1))
+        return counts.astype(np.int64), scores
+
+    def remembered(self, part: str) -> tuple[int, float]:
+        found = self.known.get(part)
+        if found is None:
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            found = self.known[part] = self.best(part)
+        return found
 
     def best(self, part: str) -> tuple[int, float]:
         """The dynamic program over one part, in a ring as long as the longest piece."""
         size = self.longest + 1
         best, count = [0.0] * size, [0] * size
-        matches = self.automaton.iter(part)
+        matches = self.automaton.iter(part) if len(self.automaton) else iter(())
         end, found = next(matches, (len(part), None))
         for at, char in enumerate(part):
             top, pieces = None, 0
@@ -121,7 +132,8 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_i
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = CountOnlyViterbi(pieces, byte_fallback, dummy_prefix)
         for batch in texts:
-            yield pd.DataFrame([counter(t) for t in batch], columns=["n_tokens", "score"])
+            counts, scores = counter.batch(batch)
+            yield pd.DataFrame({"n_tokens": counts, "score": scores})
 
     counted = F.pandas_udf(count, "n_tokens long, score double",
                            F.PandasUDFType.SCALAR_ITER)
