@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage, whole
+from .common import free_name, held_out, stage, whole
 from .quality import labelled_sample, logistic_fit
 
 #: Letters that a digit or sign may stand for.
@@ -33,8 +33,8 @@ DROP_LIKELY, DROP_UNLIKELY = -0.5, -16.0  # of separators, of signs that look li
 TOKEN = re.compile(r"\S+")
 #: Single letters (or signs for letters) with one separator between each two.
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$])(?:[ .\-_*~/](?:[^\W_]|[@$])){2,}(?![^\s.,;:?!])")
-LEADING = re.compile(r"^(?:([^\w\s])\1+|[^\w$@!|+(<]+)+")
-TRAILING = re.compile(r"(?:([^\w\s])\1+|[^\w$@!|+]+|(?<=\w)[!]+)+$")
+#: Signs that may stand for a letter at the start, at the end of a token.
+OPENING, CLOSING = frozenset("$@!|+(<"), frozenset("$@!|+")
 RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
 
 
@@ -43,14 +43,42 @@ def core(token: str) -> str:
     plain = token.strip(".,;:?\"'")
     if plain.isalpha():
         return plain.lower()
-    return TRAILING.sub("", LEADING.sub("", token.lower()))
+    return _stripped(token.lower())
+
+
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+def _stripped(token: str) -> str:
+    """Without the punctuation around it; a single sign that may stand for a letter stays.
+
+    Two of the same sign in a row are punctuation. One pass from either end.
+    """
+    first, last = 0, len(token)
+    while first < last and not _is_word(token[first]):
+        char, run = token[first], 1
+        while first + run < last and token[first + run] == char:
+            run += 1
+        if char in OPENING and run == 1:
+            break
+        first += run
+    while last > first and not _is_word(token[last - 1]):
+        char, run = token[last - 1], 1
+        while last - run > first and token[last - run - 1] == char:
+            run += 1
+        before = token[last - 2] if last - 2 >= first else ""
+        if char in CLOSING and run == 1 and not (char == "!" and before and _is_word(before)):
+            break
+        last -= run
+    return token[first:last]
 
 
 def grams(counts: dict[str, int]) -> Counter:
     """Sequences of three letters with the edges, for words of letters only."""
     found: dict[str, int] = defaultdict(int)
     for word, n in counts.items():
-        if word.isalpha() and len(word) <= 40:
+        if word.isalpha():
             padded = EDGE * 2 + word + EDGE
             for i in range(len(word) + 1):
                 found[padded[i:i + 3]] += n
@@ -115,18 +143,18 @@ class Restorer:
     def _token(self, word: str) -> str:
         if word.isalpha() and not RUN.search(word):
             return word
-        if len(word) > 60 or not any(c.isalpha() for c in word):
-            return word if not self.spelt(word) else self.decode(word)
-        return self.decode(word)
+        if any(c.isalpha() for c in word) or self.spelt(word):
+            return self.decode(word)
+        return word
 
     @staticmethod
     def spelt(word: str) -> bool:
         """Signs only, but not a number: at least one is not a digit and all stand for letters."""
-        return 3 <= len(word) <= 60 and all(c in LEET for c in word) and not all(
+        return len(word) >= 3 and all(c in LEET for c in word) and not all(
             c.isdigit() for c in word) and any(c.isdigit() or c in "@$" for c in word)
 
     def decode(self, word: str) -> str:
-        states = {EDGE * 2: (0.0, "")}
+        states = {EDGE * 2: (0.0, None)}
         i = 0
         while i < len(word):
             char, run = word[i], 1
@@ -141,19 +169,25 @@ class Restorer:
                 choices.append(("", DROP_UNLIKELY if char in LEET else DROP_LIKELY))
             states = self._step(states, choices)
             i += run
-        ends = [(score + self.model.log_p(last, EDGE), out) for last, (score, out) in states.items()]
-        return max(ends)[1] or word
+        _, path = max(((score + self.model.log_p(last, EDGE), path)
+                       for last, (score, path) in states.items()), key=lambda end: end[0])
+        letters = []
+        while path is not None:
+            path, piece = path
+            letters.append(piece)
+        return "".join(reversed(letters)) or word
 
     def _step(self, states, choices):
-        after: dict[str, tuple[float, str]] = {}
-        for last, (score, out) in states.items():
+        """The best path to each state; a path is (the path before, what it adds)."""
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for last, (score, path) in states.items():
             for letters, cost in choices:
                 s, ctx = score + cost, last
                 for c in letters:
                     s += self.model.log_p(ctx, c)
                     ctx = ctx[1] + c
-                if ctx not in after or after[ctx] < (s, out + letters):
-                    after[ctx] = (s, out + letters)
+                if ctx not in after or after[ctx][0] < s:
+                    after[ctx] = (s, (path, letters))
         return after
 
     def joined(self, text: str) -> list[str]:
@@ -164,7 +198,7 @@ class Restorer:
             word = "".join(letters)
             word = word if word.isalpha() else self._token(word)
             apart = sum(self.model.word(c) for c in letters if c.isalpha())
-            if len(letters) <= 40 and self.model.word(word) + JOIN > apart:
+            if self.model.word(word) + JOIN > apart:
                 words.append(word)
         return words
 
@@ -339,8 +373,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
                threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, all their columns."""
     cut = math.log(threshold / (1 - threshold))
-    scored = _evidence(docs, model, text_col, "_toxic_evidence")
-    return scored.where(F.col("_toxic_evidence") * model.slope + model.intercept < cut).select(
+    evidence = free_name(docs, "_toxic_evidence")
+    scored = _evidence(docs, model, text_col, evidence)
+    return scored.where(F.col(evidence) * model.slope + model.intercept < cut).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 

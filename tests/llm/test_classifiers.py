@@ -56,6 +56,48 @@ def test_disguises_are_undone(spark):
     assert toxicity.restored_texts(new, model).count() == 7
 
 
+@pytest.fixture(scope="module")
+def restore():
+    counts = toxicity.grams({w: 50 for w in "idiot better letter chapter you friend moron".split()})
+    return toxicity.Restorer(toxicity.LetterModel(counts))
+
+
+@pytest.mark.parametrize("token", ["Chapter" + "." * 100_000 + "5", "!" * 100_000 + "x", "." * 100_000,
+                                   "a!" * 50_000, "$" * 100_000, "1a" * 50_000, "(" * 50_000 + "a" * 50_000])
+def test_one_very_long_token(restore, token):
+    import time
+    began = time.time()
+    restore.token(token)
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("token, want", [
+    ("idi" + "o" * 60 + "t", "idiot"), ("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("[better]", "better"),
+    ("...friend!!!", "friend"), ("you!", "you"), ("$$moron", "moron"), ("letter", "letter"),
+    ("1234567", "1234567"), ("", "")])
+def test_tokens(restore, token, want):
+    assert restore.token(token) == want
+
+
+def test_viterbi_against_all_paths(restore):
+    """The best of all ways to read a short token, tried one by one."""
+    import itertools
+    model = restore.model
+    for word in ("1d10t", "m0r0n", "y0u", "b3tt3r", "id!ot", "fr13nd"):
+        options = []
+        for char, run in ((c, len(list(g))) for c, g in itertools.groupby(word)):
+            if char.isalpha():
+                options.append([(char * run, toxicity.KEEP), *([(char, toxicity.HALVE)] * (run == 2))])
+            else:
+                read = [(x * k, toxicity.SWAP) for x in toxicity.LEET.get(char, "")
+                        for k in sorted({1, min(run, 2)})]
+                drop = toxicity.DROP_UNLIKELY if char in toxicity.LEET else toxicity.DROP_LIKELY
+                options.append([*read, ("", drop)])
+        best = max((sum(c for _, c in path) + model.word("".join(x for x, _ in path)),
+                    "".join(x for x, _ in path)) for path in itertools.product(*options))
+        assert restore.decode(word) == best[1]
+
+
 @pytest.mark.parametrize("labels", ["none", "one kind"])
 def test_models_without_labels_of_both_kinds(spark, labels):
     docs, known = labelled(spark, 40)
