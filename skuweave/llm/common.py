@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,11 +60,59 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths staged in the blocks of `transient` that are open, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here."""
+    """Write a table to the shared folder and read it back: lineage ends here.
+
+    Inside a block of `transient` the table goes when the block ends.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged in the block are removed when it ends, but for those that are kept.
+
+    Yields `keep`, for a DataFrame that `stage` has returned. Whatever leaves the block may only
+    read kept tables.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df.staged_at)
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(df.staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            remove(spark, path)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -72,9 +122,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     (large star), then those that are smaller (small star), to the smallest node it
     knows. Links are grouped by node with a minimum that is combined before the
     shuffle, and joined, so that a hub is split like any hot join key. Every round
-    is written to the shared folder; the rounds grow with the logarithm of the
-    longest chain. Only nodes with a link are returned.
+    is written to the shared folder, and goes when the next one is there; the rounds grow
+    with the logarithm of the longest chain. Only nodes with a link are returned.
     """
+    spark = links.sparkSession
     edges = stage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(),
                   name)
     before = None
@@ -89,7 +140,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         small = down.join(first, down.u == first.k).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        last, edges = edges, stage(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        remove(spark, last.staged_at)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

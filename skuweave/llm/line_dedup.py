@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, doc_key, stage, whole
+from .common import components, doc_key, free_name, stage, transient, whole
 
 #: Lines this far apart are duplicates at any length; for these a line has 2 segments.
 MAX_EDITS = 1
@@ -16,6 +19,9 @@ EDITS, PER_EDIT = 3, 20
 #: Buckets up to this size are listed and paired at once, larger ones are divided first.
 PAIRED_BUCKET = 16
 
+#: Longest combinations of segments that lines in large buckets are divided by.
+LEVELS = 3
+
 #: Line ids are broadcast up to this number (8 bytes each); beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,8 +34,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     rows = docs.select(doc_key(id_col, text_col).alias("key"),
                        F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("ord"),
                        F.posexplode(F.split(whole(text_col), "\n")).alias("line_no", "raw"))
-    return rows.select("key", "ord", "line_no", F.trim(F.regexp_replace("raw", "\r", "")).alias(
-        "line")).where(F.length("line") >= min_chars)
+    return rows.select("key", "ord", "line_no", F.trim(F.replace(
+        "raw", F.lit("\r"), F.lit(""))).alias("line")).where(F.length("line") >= min_chars)
 
 
 def line_id(line: Column) -> Column:
@@ -192,83 +198,146 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return close.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b")).where("a <> b")
 
 
-def segment_keys(edits: int, per_edit: int) -> tuple[Column, Column]:
-    """Index keys (own, probe) of column `line` for more than one edit: arrays of hashes.
+def segment_plan(t: int, k: int, probes: bool) -> list[tuple[int, ...]]:
+    """Which `k` of the t + k segments of a line are hashed together, and where they are looked for.
 
-    A line of n characters with t = n div per_edit edits allowed (at most `edits`) has
-    t + 1 segments, its own keys. A line that is d = 0..t characters longer and within t
-    edits of it holds one of the segments at a place shifted by o, where the edits before
-    it and those after it suffice: -j <= o <= j and d - (t - j) <= o <= d + t - j for
-    segment j. These substrings are the probes.
+    Each entry is (t, d, s1, o1, s2, o2, ...): in a line that is d characters longer, segment s
+    is looked for o places on. Own entries have d = 0 and no shifts, probes are all the others.
+    Of t + k segments, t edits leave k whole. They can be chosen so that between two of them (and
+    before the first) there are as many edits as segments, and behind the last no more: count
+    edits less segments from the left, and take the segments at which this falls below each of
+    0, -1, ... for the last time. That bounds the shifts.
     """
-    def segment(size: str, t: str, shift: str) -> str:
-        start, end = f"(j * {size} div ({t} + 1))", f"((j + 1) * {size} div ({t} + 1))"
-        return (f"xxhash64(cast({size} as int), cast(j as int), substring(line, "
-                f"cast({start} + {shift} + 1 as int), cast({end} - {start} as int)))")
-
-    def most(size: str) -> str:
-        return f"cast(least({edits}, {size} div {per_edit}) as int)"
-
-    n = "length(line)"
-    own = F.expr(f"transform(sequence(0, {most(n)}), j -> {segment(n, most(n), '0')})")
-    probes = []
-    for d in range(edits + 1):
-        size = f"({n} - {d})"
-        t = most(size)
-        probes.append(f"""if({size} < {2 * per_edit} or {d} > {t}, cast(array() as array<bigint>),
-            flatten(transform(sequence(0, {t}), j -> transform(
-                sequence(greatest(-j, {d} - {t} + j), least(j, {d} + {t} - j)),
-                o -> {segment(size, t, 'o')}))))""")
-    return own, F.expr(f"concat({', '.join(probes)})")
-
-
-def far_pairs(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """Links (a, b) that connect all lines within the edits that the shorter one allows.
-
-    Only for lines that allow two edits or more; `near_pairs` has those one edit apart.
-    Buckets with few own lines are paired with their probes. In one with many, all lines
-    are compared with its smallest own line first; two lines that are both close to it are
-    connected by it, and only the other pairs are compared. No bucket is cut short.
+    found = []
+    for chosen in combinations(range(t + k), k):
+        gaps = [chosen[0], *[b - a - 1 for a, b in zip(chosen, chosen[1:])]]
+        paths = [()]
+        for gap in gaps:
+            paths = [(*path, (path[-1] if path else 0) + o) for path in paths
+                     for o in range(-gap, gap + 1)]
+        behind = t + k - 1 - chosen[-1]
+        for path in paths:
+            for d in range(t + 1):
+                if abs(d - path[-1]) <= behind and (d > 0 or any(path)) == probes:
+                    found.append((t, d, *[x for pair in zip(chosen, path) for x in pair]))
+    return found
+
+
+def allowed(length: str, edits: int, per_edit: int) -> str:
+    """SQL: the edits that a line of this length allows."""
+    return f"cast(least({edits}, {length} div {per_edit}) as int)"
+
+
+def segment_keys(base: DataFrame, k: int, edits: int, per_edit: int, probes: bool) -> DataFrame:
+    """Index entries (key, lid) of lines (lid, line, n): own ones, or probes.
+
+    The places are a constant table that is put next to every line; those for another number of
+    edits than the (shorter) length allows are dropped at once, and a key is one hash of what is
+    left, so that the whole step is generated code.
+    """
+    names = ["t", "d", *[f"{x}{i}" for i in range(k) for x in "so"]]
+    plan = [entry for t in range(MAX_EDITS + 1, edits + 1) for entry in segment_plan(t, k, probes)]
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, entry)])
+                       for entry in plan])
+    rows = base.select("lid", "line", "n", F.inline(places)).withColumn("size", F.expr("n - d"))
+    rows = rows.where(f"size >= {2 * per_edit} AND t = {allowed('size', edits, per_edit)}")
+    parts = []
+    for i in range(k):
+        start, end = (f"((s{i} + {x}) * size div (t + {k}))" for x in (0, 1))
+        parts += [f"s{i}", f"substring(line, cast({start} + o{i} + 1 as int), "
+                           f"cast({end} - {start} as int))"]
+    return rows.select(F.expr(f"xxhash64({k}, size, {', '.join(parts)})").alias("key"), "lid")
+
+
+def close_pairs(pairs: DataFrame, base: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """The pairs (a, b) of different lines that are within the edits that the shorter one allows.
+
+    Few rows with much work each: dealt to all tasks, and compared by a generator, which the
+    optimizer leaves where it is.
     """
-    own, probe = segment_keys(edits, per_edit)
-    base = stage(lines.where(F.length("line") >= 2 * per_edit).groupBy(
-        F.xxhash64("line").alias("lid")).agg(F.first("line").alias("line")), "long-lines")
-    owns = base.select("lid", F.explode(own).alias("key"))
-    probes = base.select("lid", F.explode(probe).alias("key"))
-    hot = stage(owns.groupBy("key").agg(F.count("*").alias("n")).where(
-        F.col("n") > PAIRED_BUCKET).select("key"), "hot-segments")
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        both = left.select("key", F.col("lid").alias("a")).join(
-            right.select("key", F.col("lid").alias("b")), "key").where("a <> b")
-        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def close(x: str, y: str) -> Column:
-        most = f"cast(least({edits}, least(length({x}), length({y})) div {per_edit}) as int)"
-        return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
-
     def text(a: str, x: str) -> DataFrame:
         return base.select(F.col("lid").alias(a), F.col("line").alias(x))
 
-    found = pairs(owns.join(hot, "key", "left_anti"), probes)
-    if not hot.isEmpty():
-        rows = owns.withColumn("own", F.lit(True)).union(
-            probes.withColumn("own", F.lit(False))).join(hot, "key", "left_semi")
-        rows = stage(rows.distinct(), "hot-rows")
-        first = rows.where("own").groupBy("key").agg(F.min("lid").alias("p"))
-        tried = stage(rows.join(first, "key").select("lid", "p").distinct(), "hot-tried")
-        tried = tried.join(text("lid", "x"), "lid").join(text("p", "y"), "p").where(
-            close("x", "y")).select("lid", "p")
-        tried = stage(tried, "hot-close")
-        marked = stage(rows.join(first, "key").join(tried.withColumn("near", F.lit(True)), ["lid", "p"], "left")
-                       .fillna(False, ["near"]), "hot-marked")
-        mine, other = marked.where("own"), marked.where("not own")
-        found = (found.union(pairs(mine.where("not near"), other))
-                 .union(pairs(mine.where("near"), other.where("not near")))
-                 .union(tried.where("lid <> p").select(F.col("p").alias("a"), F.col("lid").alias("b"))))
-    found = stage(found.distinct(), "far-pairs")
-    both = found.join(text("a", "x"), "a").join(text("b", "y"), "b").where(close("x", "y"))
-    return both.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"))
+    both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b")
+    dealt = both.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = F.expr(allowed("least(length(x), length(y))", edits, per_edit))
+    near = F.lit(False)
+    for t in range(MAX_EDITS + 1, edits + 1):
+        near = F.when(most == t, within_edits(F.col("x"), F.col("y"), t)).otherwise(near)
+    return dealt.select("a", "b", F.explode_outer(F.array(near)).alias("close")).where(
+        "close").select("a", "b")
+
+
+def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Links (a, b) that connect all lines within the edits that the shorter one allows.
+
+    base: (lid, line, n), lines that allow two edits or more; `near_pairs` has the shorter ones.
+    A bucket with few own lines is paired with its probes. In one with many, all lines are
+    compared with its smallest own line; where all are close to it, that connects them, and the
+    bucket is done. The lines of the other large buckets go on to longer hashes: k + 1 segments of
+    t + k + 1 instead of k of t + k. A pair that meets in large buckets only goes on in both its
+    lines, so none is lost. What is still in large buckets after `LEVELS` such steps agrees in
+    most of the line; there, pairs of which one line is far from the smallest are compared.
+    """
+    found, lines = [], base
+    for k in range(1, LEVELS + 1):
+        owns = segment_keys(lines, k, edits, per_edit, probes=False)
+        stats = stage(owns.groupBy("key").agg(F.count("*").alias("owns"), F.min("lid").alias("first")),
+                      "segments")
+        rows = owns.select("key", "lid", F.lit(True).alias("own")).union(segment_keys(
+            lines, k, edits, per_edit, probes=True).select("key", "lid", F.lit(False).alias("own")))
+        members = stage(rows.join(stats, "key").where("owns > 1 OR first <> lid"), "segment-members")
+        single = members.where("owns = 1").select(F.col("first").alias("a"), F.col("lid").alias("b"))
+        few = members.where(F.col("owns").between(2, PAIRED_BUCKET))
+        found += [single, _own_pairs(few.where("own"), few)]
+        many = members.where(F.col("owns") > PAIRED_BUCKET)
+        tried = stage(many.where("lid <> first").select(
+            F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), "segment-tried")
+        if tried.isEmpty():
+            break
+        near = stage(close_pairs(tried, base, edits, per_edit), "segment-stars")
+        found.append(near)
+        marked = many.join(near.select(F.col("a").alias("first"), F.col("b").alias("lid"),
+                                       F.lit(True).alias("near")), ["first", "lid"], "left")
+        marked = stage(marked.withColumn("near", F.coalesce("near", F.col("lid") == F.col("first"))),
+                       "segment-marked")
+        open_keys = stage(marked.where("NOT near").select("key").distinct(), "segments-open")
+        pending = marked.join(open_keys, "key", "left_semi")
+        if k == LEVELS:
+            mine = pending.where("own")
+            found += [_own_pairs(mine.where("NOT near"), pending),
+                      _own_pairs(mine.where("near"), pending.where("NOT near"))]
+        else:
+            lines = stage(lines.join(pending.select("lid").distinct(), "lid", "left_semi"),
+                          "segment-lines")
+    pairs = reduce(DataFrame.union, [f.select("a", "b") for f in found]).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return close_pairs(pairs, base, edits, per_edit)
+
+
+def _own_pairs(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each own line of a bucket with each of the rows of the bucket."""
+    return own.select("key", F.col("lid").alias("a")).join(
+        rows.select("key", F.col("lid").alias("b")), "key").where("a <> b").select("a", "b")
+
+
+def line_links(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Links (a, b) between line ids that connect all near lines; lines: column `line`.
+
+    Where lines may differ in two places or more, those go by longer segments; the others, and
+    lines of one character more, are compared with one edit.
+    """
+    if edits <= MAX_EDITS:
+        return near_pairs(lines)
+    texts = stage(lines.groupBy(F.xxhash64("line").alias("lid")).agg(
+        F.first("line").alias("line")).withColumn("n", F.length("line")), "line-texts")
+    short = near_pairs(texts.where(F.col("n") <= 2 * per_edit).select("line"))
+    base = texts.where(F.col("n") >= 2 * per_edit)
+    named = texts.select("lid", line_id(F.col("line")).alias("id"))
+    far = far_pairs(base, edits, per_edit)
+    return short.union(far.join(named.select(F.col("lid").alias("a"), F.col("id").alias("x")), "a").join(
+        named.select(F.col("lid").alias("b"), F.col("id").alias("y")), "b").select(
+        F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -285,21 +354,22 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many documents. NULL and empty texts have no lines to compare; rows that repeat id
     and text are one document. Only the two named columns are read.
     """
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    found = stage(lines.select("key", "ord", "line_no", line_id(F.col("line")).alias("line"))
-                  .distinct(), "line-places")
-    links = near_pairs(lines)
-    if edits > MAX_EDITS:
-        links = links.union(far_pairs(lines, edits, per_edit))
-    roots = stage(components(links, name="line-classes").select(
-        F.col("node").alias("line"), F.col("root")), "line-roots")
-    placed = found.join(roots, "line", "left").select(
-        "key", "ord", "line_no", F.coalesce("root", "line").alias("class"))
-    place = F.struct("ord", "key", "line_no")
-    classes = placed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(
-        "n > 1").select(F.col("class").alias("c"), "first")
-    return placed.join(classes, F.col("class") == F.col("c")).where(place != F.col("first")).select(
-        "key", "line_no", F.col("first.ord").alias("first_ord"))
+    with transient(docs.sparkSession) as keep:
+        lines = lines_of(docs, id_col, text_col, min_chars)
+        found = stage(lines.select("key", "ord", "line_no", line_id(F.col("line")).alias("line"))
+                      .distinct(), "line-places")
+        roots = stage(components(line_links(lines, edits, per_edit), name="line-classes").select(
+            F.col("node").alias("line"), F.col("root")), "line-roots")
+        placed = found.join(roots, "line", "left").select(
+            "key", "ord", "line_no", F.coalesce("root", "line").alias("class"))
+        place = F.struct("ord", "key", "line_no")
+        # Written before the join, so that the lines of a hot class are split.
+        classes = stage(placed.groupBy("class").agg(
+            F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+            F.col("class").alias("c"), "first"), "line-firsts")
+        return keep(stage(placed.join(classes, F.col("class") == F.col("c")).where(
+            place != F.col("first")).select(
+            "key", "line_no", F.col("first.ord").alias("first_ord")), "lines-dropped"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -324,13 +394,14 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document keeps its other lines in order. One that had lines and loses all of them is
     left out, as its lines stand elsewhere; a text without comparable lines is unchanged.
     """
-    dropped = duplicate_lines(docs, id_col, text_col, min_chars, edits, per_edit).groupBy("key").agg(
-        F.collect_set("line_no").alias("_dropped")).withColumnRenamed("key", "_key")
-    rows = docs.join(dropped, doc_key(id_col, text_col) == F.col("_key"), "left")
+    key, gone, left = (free_name(docs, n) for n in ("_key", "_dropped", "_left"))
+    dropped = duplicate_lines(docs, id_col, text_col, min_chars, edits, per_edit).groupBy(
+        F.col("key").alias(key)).agg(F.collect_set("line_no").alias(gone))
+    rows = docs.join(dropped, doc_key(id_col, text_col) == F.col(key), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"),
-                    lambda line, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return (rows.withColumn("_text", text)
-            .where(F.col("_dropped").isNull() | (F.trim(F.col("_text")) != ""))
-            .select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`")
+                    lambda line, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return (rows.withColumn(left, text)
+            .where(F.col(gone).isNull() | (F.trim(F.col(left)) != ""))
+            .select(*[F.col(left).alias(c) if c == text_col else F.col(f"`{c}`")
                       for c in docs.columns]))

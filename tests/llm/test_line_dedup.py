@@ -153,3 +153,47 @@ def test_longer_lines_may_differ_more(spark, monkeypatch, bucket):
     assert report(docs, 20) == want
     single = line_report(docs, edits=1).where("n_dropped > 0").count()
     assert 0 < single < sum(len(w[2]) for w in want)
+
+
+@pytest.mark.parametrize("t,k", [(1, 1), (2, 1), (3, 1), (2, 2), (3, 2), (2, 3)])
+def test_every_pair_keeps_a_combination_of_segments(t, k):
+    """Whatever t edits do, one of the planned combinations stands where it is looked for."""
+    rng = random.Random(10 * t + k)
+    plan = line_dedup.segment_plan(t, k, False) + line_dedup.segment_plan(t, k, True)
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(6 * (t + k), 9 * (t + k))))
+        b = a
+        for _ in range(t):
+            b = edited(rng, b)
+        if len(b) < len(a):
+            a, b = b, a
+        n, m = len(a), t + k
+
+        def stands(entry):
+            for s, o in zip(entry[2::2], entry[3::2]):
+                start, end = s * n // m, (s + 1) * n // m
+                if start + o < 0 or a[start:end] != b[start + o:end + o]:
+                    return False
+            return True
+
+        assert any(e[1] == len(b) - n and stands(e) for e in plan)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_with_one_opening_are_not_paired(spark, monkeypatch, edits):
+    """Many lines share an opening and go on differently: candidates don't grow with the square."""
+    made = []
+    compare = line_dedup.close_pairs
+    monkeypatch.setattr(line_dedup, "close_pairs", lambda pairs, *rest: (
+        made.append(pairs.count()), compare(pairs, *rest))[1])
+    rng = random.Random(edits)
+    opening = "this opening stands before every line "
+    for n in (100, 200):
+        made.clear()
+        lines = [opening + "".join(rng.choice("abcdefgh") for _ in range(42)) for _ in range(n)]
+        lines += [edited(rng, lines[0]), edited(rng, edited(rng, lines[1]))]
+        docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        got = line_report(docs, edits=edits)
+        assert {r.doc_id for r in got.where("n_dropped > 0").collect()} == (
+            {n, n + 1} if edits > 1 else {n})
+        assert sum(made) < 30 * n
