@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, whole
+from .common import doc_key, free_name, whole
 
 #: A token for matching: letters and digits, in lower case; punctuation doesn't count.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -110,6 +110,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text") -> DataFrame:
     """The documents that leak no item, all their columns."""
+    key = free_name(docs, "_leak")
     found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select(
-        F.col("key").alias("_leak")).distinct()
-    return docs.join(found, doc_key(id_col, text_col) == found["_leak"], "left_anti")
+        F.col("key").alias(key)).distinct()
+    return docs.join(found, doc_key(id_col, text_col) == found[key], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole
+from .common import free_name, lower_ascii, whole
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -41,10 +41,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           keep: str = "smallest", fold_case: bool = True) -> DataFrame:
     """The documents that stay, all their columns."""
+    stays, digest = free_name(docs, "_stay"), free_name(docs, "_sha")
     kept = exact_duplicates(docs, id_col, text_col, keep, fold_case).where("kept").select(
-        F.col(id_col).alias("_stay"), "text_sha256").distinct()
+        F.col(id_col).alias(stays), F.col("text_sha256").alias(f"{digest}_kept")).distinct()
     text = whole(text_col)
-    sha = F.sha2(lower_ascii(text) if fold_case else text, 256)
-    rows = docs.withColumn("_sha", sha)
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["_stay"])
-                     & (rows["_sha"] == kept["text_sha256"]), "left_semi").drop("_sha")
+    rows = docs.withColumn(digest, F.sha2(lower_ascii(text) if fold_case else text, 256))
+    return rows.join(kept, rows[id_col].eqNullSafe(kept[stays])
+                     & (rows[digest] == kept[f"{digest}_kept"]), "left_semi").drop(digest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count, whole
+from .common import free_name, stage, whole, word_count
 
 #: The hash has 60 bits; every level of the histogram looks at ten more of them.
 HASH_BITS, LEVEL_BITS = 60, 10
@@ -135,13 +135,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents that the mixture takes, all columns and `copies`, how often each is taken.
 
     Texts are not moved: whether a document is taken follows from its own id and its
-    source's row of the plan.
+    source's row of the plan. A column `copies` that the documents have already is replaced.
     """
+    source, base, limit = (free_name(docs, f"_mix_{n}") for n in ("source", "base", "threshold"))
     rows = stage(sized(docs, id_col, text_col, source_col), "mix-sizes")
     plan = stage(plan_of(rows, weights, share_percent, cap), "mix-plan").select(
-        F.col("s").alias("_mix_source"), F.col("base").alias("_mix_base"),
-        F.col("threshold").alias("_mix_threshold"))
-    copies = F.col("_mix_base") + (hash_of_id(id_col) <= F.col("_mix_threshold")).cast("long")
-    return docs.join(plan, docs[source_col].eqNullSafe(plan["_mix_source"])).select(
+        F.col("s").alias(source), F.col("base").alias(base), F.col("threshold").alias(limit))
+    copies = F.col(base) + (hash_of_id(id_col) <= F.col(limit)).cast("long")
+    return docs.join(plan, docs[source_col].eqNullSafe(plan[source])).select(
         *[docs[f"`{c}`"] for c in docs.columns if c != "copies"], copies.alias("copies")).where(
         "copies > 0")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, doc_key, stage, whole
+from .common import components, doc_key, free_name, stage, transient, whole
 
 #: A block of documents that is compared at once has at most so many shingles or documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 1_000
@@ -285,28 +285,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are never the smallest if the component has another. Only the two named columns
     are read.
     """
-    found = stage(profiles(docs, id_col, text_col, words), "join-profiles")
-    members = stage(clusters_of(kept_prefixes(found)), "join-members")
-    links = verified_links(docs, found.select("set_id", "key"), assignments(members), id_col,
-                           text_col, words)
-    roots = stage(components(links, name="join-components"), "join-roots")
-    placed = found.select("id", "key", "n", "set_id").join(
-        roots, F.col("set_id") == F.col("node"), "left").select(
-        "id", "key", "n", F.coalesce("root", "set_id").alias("component"))
-    least = placed.where("component is not null").groupBy("component").agg(
-        F.min("id").alias("least")).withColumnRenamed("component", "c")
-    return placed.join(least, F.col("component") == F.col("c"), "left").select(
-        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"),
-        F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return _placed(docs, id_col, text_col, words).select(
+        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, key, n, component, component_id, stays) of every document.
+
+    `component` names its component (NULL without shingles); `stays` marks the document that
+    stands for it: the smallest id, missing ids last, then the smallest key.
+    """
+    with transient(docs.sparkSession) as keep:
+        found = stage(profiles(docs, id_col, text_col, words), "join-profiles")
+        members = stage(clusters_of(kept_prefixes(found)), "join-members")
+        links = verified_links(docs, found.select("set_id", "key"), assignments(members), id_col,
+                               text_col, words)
+        roots = stage(components(links, name="join-components"), "join-roots")
+        placed = found.select("id", "key", "n", "set_id").join(
+            roots, F.col("set_id") == F.col("node"), "left").select(
+            "id", "key", "n", F.coalesce("root", "set_id").alias("component"))
+        # Written before the join, so that a large component is split.
+        least = stage(placed.where("component IS NOT NULL").groupBy("component").agg(
+            F.min("id").alias("least"),
+            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
+            .withColumnRenamed("component", "c"), "join-firsts")
+        return keep(stage(placed.join(least, F.col("component") == F.col("c"), "left").select(
+            "id", "key", "n", "component",
+            F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+            (F.col("c").isNull() | (F.col("key") == F.col("first.key"))).alias("stays")),
+            "join-placed"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          words: int = 5) -> DataFrame:
-    """One document of each component stays (its smallest id), all columns.
+    """One document of each component stays (its smallest id, then key), all columns.
 
+    Of rows that repeat that document's id and text one stays, whichever Spark meets first.
     Documents without shingles all stay.
     """
-    stay = near_duplicates(docs, id_col, text_col, words).where(
-        F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col("key").alias("_key")).distinct()
-    return docs.join(stay, doc_key(id_col, text_col) == F.col("_key"), "left_semi")
+    placed = _placed(docs, id_col, text_col, words).where("stays")
+    key, n = free_name(docs, "_key"), free_name(docs, "_rows")
+    stay = placed.groupBy(F.col("key").alias(key)).agg(
+        F.count("component").alias(n))  # 0 without shingles
+    rows = docs.withColumn(free_name(docs, "_of"), doc_key(id_col, text_col))
+    of = rows.columns[-1]
+
+    def kept(some: DataFrame) -> DataFrame:
+        return rows.join(some.select(key), F.col(of) == F.col(key), "left_semi")
+
+    once = kept(stay.where(F.col(n) <= 1))
+    return once.union(kept(stay.where(F.col(n) > 1)).dropDuplicates([of])).drop(of)
