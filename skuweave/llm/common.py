@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A word: a maximal run of bytes other than space, tab, line feed, VT, FF, CR.
@@ -54,10 +56,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; without one, below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all nodes share (`skuweave.session.checkpoint_root`)."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Paths staged in the blocks of `transient` that are open, innermost last.
