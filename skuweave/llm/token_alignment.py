@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Bytes of text whose units are encoded together; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Units that are aligned, and that documents are expanded to, in one go.
 UNITS = 1 << 16
 
