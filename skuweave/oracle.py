@@ -376,12 +376,14 @@ SELECT CAST(origin AS INTEGER) AS origin, reg, any_value(n) AS train_rows, count
 FROM fits JOIN rows ON week > origin AND week <= origin + 4 GROUP BY 1, 2"""
 
 # Boosted stumps on two inputs with few values: every split between two values is tried.
-def _stumps(rounds: int, step: float, leaf_reg: float, held: str) -> list[str]:
+def _stumps(rounds: int, step: float | list[float], leaf_reg: float, held: str,
+            base: str | None = None) -> list[str]:
     """CTEs b0, b1, ...: the rows with `made_k`, their prediction after round k."""
+    steps = step if isinstance(step, list) else [step] * rounds
     out = [f"""b0 AS MATERIALIZED (
   SELECT sku_id, "weekNum2", goods_num AS y, (("weekNum2" % 13) + 13) % 13 AS f1,
          CAST(floor(orginal_shop_price / 100) AS INTEGER) AS f2, {held} AS held,
-         (SELECT avg(goods_num) FROM h WHERE NOT ({held})) AS made_0 FROM h)"""]
+         {base or f"(SELECT avg(goods_num) FROM h WHERE NOT ({held}))"} AS made_0 FROM h)"""]
     for k in range(1, rounds + 1):
         rest = f"y - made_{k - 1}"
         out.append(f"""s{k} AS MATERIALIZED (
@@ -396,7 +398,7 @@ t{k} AS MATERIALIZED (
   SELECT f, v, sl / (nl + {leaf_reg}) AS low, (s - sl) / (n - nl + {leaf_reg}) AS high FROM c{k}
   WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, v LIMIT 1),
 b{k} AS MATERIALIZED (
-  SELECT b.*, made_{k - 1} + {step} * CASE WHEN (CASE f WHEN 1 THEN f1 ELSE f2 END) <= v THEN low
+  SELECT b.*, made_{k - 1} + {steps[k - 1]} * CASE WHEN (CASE f WHEN 1 THEN f1 ELSE f2 END) <= v THEN low
          ELSE high END AS made_{k} FROM b{k - 1} b, t{k})""")
     return out
 
@@ -408,6 +410,10 @@ def _rmse(k: int, held: str) -> str:
 RIDGE_LEAVES = _with(*SALES_HISTORY, *_stumps(4, 0.5, 2.0, "false")) + """
 SELECT sku_id, "weekNum2", round(made_4, 6) AS prediction FROM b4"""
 
+# Spark's trees: the first one is the first prediction, later ones are fitted to twice the residuals.
+STUMPS = _with(*SALES_HISTORY, *_stumps(4, [1.0, 0.4, 0.4, 0.4], 0.0, f"NOT {IN_TRAIN}", "0e0")) + """
+SELECT sku_id, "weekNum2", round(made_4, 6) AS prediction FROM b4"""
+
 HISTORY = _with(*SALES_HISTORY, *_stumps(4, 0.5, 2.0, f"NOT {IN_TRAIN}")) + " UNION ALL ".join(
     f"""SELECT {k} AS round, round({_rmse(k, "NOT held")}, 6) AS train_rmse,
        round({_rmse(k, "held")}, 6) AS valid_rmse FROM b4""" for k in range(1, 5))
@@ -581,6 +587,7 @@ ORACLES: dict[str, str] = {
         AS named("week", kind) ON "weekNum" = "week" GROUP BY 1, 2""",
     "origin_scores": ORIGINS,
     "forecast_direct": DIRECT.replace("WITH RECURSIVE_MARK,", "WITH RECURSIVE"),
+    "gbt_stumps": STUMPS,
     "gbt_ridge_leaves": RIDGE_LEAVES,
     "gbt_missing": MISSING,
     "training_history": HISTORY,

@@ -554,6 +554,17 @@ def gbt_ridge_leaves(spark, sf_dir):
     return scored.select("sku_id", "weekNum2", F.round("prediction", 6).alias("prediction"))
 
 
+@query
+def gbt_stumps(spark, sf_dir):
+    """Spark's boosted trees as stumps, fitted on the training side, for all rows."""
+    rows = _stump_rows(spark, sf_dir)
+    train, _ = op.hash_split(rows, ["sku_id", "weekNum2"])
+    model = op.boosted_trees("features", rounds=4, step=0.2, depth=1, min_rows=1,
+                             min_gain=0.0).fit(train)
+    return op.predict(model, rows).select("sku_id", "weekNum2",
+                                          F.round("prediction", 6).alias("prediction"))
+
+
 @query
 def gbt_missing(spark, sf_dir):
     """One stump on the clicks, 0 clicks being absent: the side of each bin, and what it adds."""
