@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, stage, whole
+from .common import doc_key, stage, transient, whole
 from .suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes that one suffix array is made of, about; an anchor beyond it is taken apart.
@@ -29,6 +29,17 @@ def _odd_powers(base: int, count: int) -> np.ndarray:
     return np.multiply.accumulate(powers)
 
 
+#: A number for each byte, and another.
+_NUMBERS = np.frombuffer(b"".join(hashlib.blake2b(bytes([i])).digest() for i in range(256)),
+                         dtype=np.uint64).reshape(256, 8)
+BYTE_NUMBERS = _NUMBERS[:, 1].copy()
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Running sums modulo 2 to the 64, with 0 in front (a plain 0 would make them floats)."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+
+
 class Anchors:
     """Cut the windows of a text by anchors that depend on their content alone.
 
@@ -42,9 +53,7 @@ class Anchors:
 
     def __init__(self, length: int):
         self.length, self.gram = length, max(1, length // 4)
-        table = np.frombuffer(b"".join(hashlib.blake2b(bytes([i])).digest() for i in range(256)),
-                              dtype=np.uint64).reshape(256, 8)
-        self.for_gram, self.for_bytes = table[:, 0].copy(), table[:, 1].copy()
+        self.for_gram, self.for_bytes = _NUMBERS[:, 0].copy(), BYTE_NUMBERS
         size = 2 * PIECE + length + 1
         self.powers = _odd_powers(self.BASE, size)
         self.inverse = _odd_powers(pow(self.BASE, -1, 1 << 64), size)
@@ -106,8 +115,7 @@ class Anchors:
             [[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]))
         last = np.append(first[1:], len(of)) - 1
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[0], np.cumsum(self.for_bytes[raw] * self.powers[:len(raw)],
-                                                  dtype=np.uint64)]).astype(np.uint64)
+            sums = _running(self.for_bytes[raw] * self.powers[:len(raw)])
             a, b = place[first], place[last] + self.length
             content = (sums[b] - sums[a]) * self.inverse[a]
             content ^= (b - a).astype(np.uint64) * np.uint64(self.BASE)
@@ -175,12 +183,73 @@ def anchor_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> Dat
                                 "anchor array<long>, content array<long>")
 
 
+def marked_ranges(bodies: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(body, first, last): runs of window starts whose hash stands at another place too.
+
+    Equal windows have equal hashes, so no repeated window is left out; what two windows with one
+    hash have in common is for the suffix array to say. Hashes of all windows come from running
+    sums. Most of them are alone in a table of counts by their upper bits, and only the others
+    are sorted.
+    """
+    raw = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+    sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - length + 1, 0)
+    starts = int(counts.sum())
+    if not starts:
+        return []
+    with np.errstate(over="ignore"):
+        powers = _odd_powers(Anchors.BASE, len(raw) + 1)
+        sums = _running(BYTE_NUMBERS[raw] * powers[:-1])
+        at = np.arange(starts) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+        inverse = _odd_powers(pow(Anchors.BASE, -1, 1 << 64), len(raw) + 1)
+        hashes = (sums[at + length] - sums[at]) * inverse[at]
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(32)
+    bits = max(8, min(26, int(starts).bit_length() + 2))
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << bits)[bucket] > 1)
+    order = maybe[np.argsort(hashes[maybe], kind="stable")]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    marked = np.zeros(starts, bool)
+    marked[order[1:][same]] = True
+    marked[order[:-1][same]] = True
+    places = np.flatnonzero(marked)
+    if not len(places):
+        return []
+    owner = np.repeat(np.arange(len(bodies)), counts)[places]
+    new = np.concatenate([[True], (np.diff(places) > 1) | (np.diff(owner) > 0)])
+    first, last = places[new], np.append(places[np.flatnonzero(new)[1:] - 1], places[-1])
+    of, shift = owner[new], (np.cumsum(counts) - counts)[owner[new]]
+    return list(zip(of.tolist(), (first - shift).tolist(), (last - shift).tolist()))
+
+
 def repeated_starts(bodies: list[bytes], copies: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For the segments of one shard, the runs of starts whose window stands elsewhere too.
 
-    The segments are joined with a separator; a window inside a segment repeats if its
-    suffix has `length` symbols in common with a neighbour in the suffix array, or if
-    its segment has several copies.
+    A segment with several copies repeats as a whole. Of the others, ranges of windows that may
+    repeat are taken out; equal ranges are one, with its number, and the different ones go to
+    the suffix array.
+    """
+    runs = [[(0, len(b) - length)] if n > 1 else [] for b, n in zip(bodies, copies)]
+    held: dict[bytes, list[tuple[int, int]]] = {}
+    for of, first, last in marked_ranges(bodies, length):
+        held.setdefault(bodies[of][first:last + length], []).append((of, first))
+    if held:
+        number = np.array([len(places) for places in held.values()])
+        for places, found in zip(held.values(), suffix_runs(list(held), number, length)):
+            for of, first in places:
+                if copies[of] <= 1:
+                    runs[of] += [(first + a, first + b) for a, b in found]
+    return [sorted(r) for r in runs]
+
+
+def suffix_runs(bodies: list[bytes], copies: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """Runs of window starts in each body whose window stands in another place of the bodies.
+
+    The bodies are joined with a separator; a window inside one repeats if its suffix has
+    `length` symbols in common with a neighbour in the suffix array, or if its body has
+    several copies.
     """
     runs = [[(0, len(b) - length)] if n > 1 else [] for b, n in zip(bodies, copies)]
     raw = np.frombuffer(b"\0".join(bodies) + b"\0", dtype=np.uint8)
@@ -365,7 +434,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     NULL counts as empty. Rows that repeat id and text each count as a place, so their
     texts of at least `length` bytes go. Only the two named columns are read.
     """
-    spans = stage(repeated_spans(docs, id_col, text_col, length), "repeat-spans")
+    with transient(docs.sparkSession) as keep:
+        spans = keep(stage(repeated_spans(docs, id_col, text_col, length), "repeat-spans"))
     spans = spans.select("key", _joined("spans", length).alias("spans"))
     pieces = spans.select(F.explode("spans"))
     rows = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("key"),

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,36 @@ def test_long_texts_and_no_rows(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert got(docs, 200) == brute(data, 200)
     assert without_repeats(docs.limit(0)).count() == 0
+
+
+def test_equal_segments_have_equal_hashes():
+    """Wherever they stand: else no two copies of a segment would be taken as one."""
+    rng = random.Random(3)
+    passage = bytes(rng.randrange(256) for _ in range(3000))
+    anchors = repeats.Anchors(200)
+    found = []
+    for lead in (0, 17, 5000):
+        text = bytes(rng.randrange(256) for _ in range(lead)) + passage
+        _, first, anchor, content = anchors.segments([text])
+        inner = [(a, c) for f, a, c in zip(first[1:-1], anchor[1:-1], content[1:-1]) if f > lead + 400]
+        found.append(inner[:5] if lead else inner)
+    assert set(found[1]) <= set(found[0]) and set(found[2]) <= set(found[0]) and found[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_marked_windows_against_all_windows(seed):
+    """Every window that stands twice is marked, and only such windows end up in the runs."""
+    rng = random.Random(seed)
+    length = rng.choice([1, 2, 7, 20])
+    base = bytes(rng.choice(b"ab") for _ in range(60))
+    bodies = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 70))) for _ in range(30)]
+    bodies += [base[rng.randrange(30):][:rng.randrange(60)] for _ in range(10)]
+    bodies = [b for b in dict.fromkeys(bodies) if len(b) >= length]
+    counts = Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1))
+    want = [{i for i in range(len(b) - length + 1) if counts[b[i:i + length]] > 1} for b in bodies]
+    marked = [set() for _ in bodies]
+    for of, first, last in repeats.marked_ranges(bodies, length):
+        marked[of] |= set(range(first, last + 1))
+    assert marked == want
+    found = repeats.repeated_starts(bodies, np.ones(len(bodies), int), length)
+    assert [{i for a, b in runs for i in range(a, b + 1)} for runs in found] == want
