@@ -64,13 +64,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 _OPEN: list[list[str]] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here.
 
     Inside a block of `transient` the table goes when the block ends.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if _OPEN:
         _OPEN[-1].append(path)
     found = spark.read.schema(df.schema).parquet(path)

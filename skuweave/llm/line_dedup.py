@@ -30,12 +30,14 @@ NO_ID = (1 << 63) - 1
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(key, ord, line_no, line): the trimmed lines long enough to be compared."""
+    """(key, ord, line_no, line, lid, n): the trimmed lines long enough to be compared."""
     rows = docs.select(doc_key(id_col, text_col).alias("key"),
                        F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("ord"),
                        F.posexplode(F.split(whole(text_col), "\n")).alias("line_no", "raw"))
     return rows.select("key", "ord", "line_no", F.trim(F.replace(
-        "raw", F.lit("\r"), F.lit(""))).alias("line")).where(F.length("line") >= min_chars)
+        "raw", F.lit("\r"), F.lit(""))).alias("line")).select(
+        "*", F.xxhash64("line").alias("lid"), F.length("line").alias("n")).where(
+        F.col("n") >= min_chars)
 
 
 def line_id(line: Column) -> Column:
@@ -249,70 +251,115 @@ def segment_keys(base: DataFrame, k: int, edits: int, per_edit: int, probes: boo
     return rows.select(F.expr(f"xxhash64({k}, size, {', '.join(parts)})").alias("key"), "lid")
 
 
+def texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, line) of the wanted line ids, one row each. Only their texts are shuffled."""
+    wanted = stage(wanted.select("lid").distinct(), "lines-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return stage(base.select("lid", "line").join(wanted, "lid").groupBy("lid").agg(
+        F.first("line").alias("line")), "line-texts")
+
+
 def close_pairs(pairs: DataFrame, base: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """The pairs (a, b) of different lines that are within the edits that the shorter one allows.
+    """The pairs (a, b) of lines that are within the edits that the shorter one allows: (a, b, x, y).
 
-    Few rows with much work each: dealt to all tasks, and compared by a generator, which the
-    optimizer leaves where it is.
+    x and y are the lines. Few rows with much work each: dealt to all tasks. Pairs without enough
+    whole segments in common go first; of the others, what is equal at both ends is left out,
+    and the rest is compared by a generator, which the optimizer leaves where it is.
     """
-    def text(a: str, x: str) -> DataFrame:
-        return base.select(F.col("lid").alias(a), F.col("line").alias(x))
-
-    both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b")
+    pairs = stage(pairs, "line-candidates")
+    texts = texts_of(base, pairs.select(F.explode(F.array("a", "b")).alias("lid")))
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     dealt = both.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     most = F.expr(allowed("least(length(x), length(y))", edits, per_edit))
-    near = F.lit(False)
+    whole_segments, near = F.lit(False), F.lit(False)
     for t in range(MAX_EDITS + 1, edits + 1):
-        near = F.when(most == t, within_edits(F.col("x"), F.col("y"), t)).otherwise(near)
-    return dealt.select("a", "b", F.explode_outer(F.array(near)).alias("close")).where(
-        "close").select("a", "b")
+        whole_segments = F.when(most == t, F.expr(enough_segments(t))).otherwise(whole_segments)
+        near = F.when(most == t, within_edits(F.col("p"), F.col("q"), t)).otherwise(near)
+    cut = dealt.where(whole_segments).withColumn("at", _alike("x", "y", F.left)).select(
+        "a", "b", "x", "y", F.expr("substring(x, at + 1)").alias("p"),
+        F.expr("substring(y, at + 1)").alias("q")).withColumn("at", _alike("p", "q", F.right)).select(
+        "a", "b", "x", "y", F.expr("left(p, length(p) - at)").alias("p"),
+        F.expr("left(q, length(q) - at)").alias("q"))
+    return cut.select("a", "b", "x", "y", F.explode_outer(F.array(near)).alias("close")).where(
+        "close").select("a", "b", "x", "y")
+
+
+def enough_segments(t: int, more: int = 5) -> str:
+    """SQL: of t + `more` segments of x, `more` at least stand in y, at most t places away.
+
+    True wherever y is within t edits of x, as each edit breaks one segment at most.
+    """
+    found = []
+    for i in range(t + more):
+        start, end = (f"({i + k} * length(x) div {t + more})" for k in (0, 1))
+        begin = f"greatest({start} - {t}, 0)"
+        found.append(f"cast(contains(substring(y, cast({begin} + 1 as int), "
+                     f"cast({end} + {t} - {begin} as int)), substring(x, cast({start} + 1 as int), "
+                     f"cast({end} - {start} as int))) as int)")
+    return f"{' + '.join(found)} >= {more}"
+
+
+def _alike(x: str, y: str, side) -> Column:
+    """How many characters two different texts have in common at the start (F.left) or end."""
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        side(F.col(x), n + step) == side(F.col(y), n + step), n + step).otherwise(n))
 
 
 def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """Links (a, b) that connect all lines within the edits that the shorter one allows.
-
-    base: (lid, line, n), lines that allow two edits or more; `near_pairs` has the shorter ones.
-    A bucket with few own lines is paired with its probes. In one with many, all lines are
-    compared with its smallest own line; where all are close to it, that connects them, and the
-    bucket is done. The lines of the other large buckets go on to longer hashes: k + 1 segments of
-    t + k + 1 instead of k of t + k. A pair that meets in large buckets only goes on in both its
-    lines, so none is lost. What is still in large buckets after `LEVELS` such steps agrees in
-    most of the line; there, pairs of which one line is far from the smallest are compared.
+    """Links (a, b) of line ids that connect all lines within the edits that the shorter one allows.
+
+    base: (lid, line, n), lines that allow two edits or more, repeated ones too; `near_pairs` has
+    the shorter ones. Own entries are counted by bucket, and of the probes only those go on that
+    meet another line's entry; both are 16 bytes a row, texts stay where they are. A bucket with
+    few own lines is paired with its probes. In one with many, all lines are compared with its
+    smallest own line; where all are close to it, that connects them, and the bucket is done. The
+    lines of the other large buckets go on to longer hashes: k + 1 segments of t + k + 1 instead
+    of k of t + k. A pair that meets in large buckets only goes on in both its lines, so none is
+    lost. What is still in large buckets after `LEVELS` such steps agrees in most of the line;
+    there, pairs of which one line is far from the smallest are compared.
     """
     found, lines = [], base
     for k in range(1, LEVELS + 1):
-        owns = segment_keys(lines, k, edits, per_edit, probes=False)
+        owns = stage(segment_keys(lines, k, edits, per_edit, probes=False).distinct(), "segments")
         stats = stage(owns.groupBy("key").agg(F.count("*").alias("owns"), F.min("lid").alias("first")),
-                      "segments")
-        rows = owns.select("key", "lid", F.lit(True).alias("own")).union(segment_keys(
-            lines, k, edits, per_edit, probes=True).select("key", "lid", F.lit(False).alias("own")))
-        members = stage(rows.join(stats, "key").where("owns > 1 OR first <> lid"), "segment-members")
-        single = members.where("owns = 1").select(F.col("first").alias("a"), F.col("lid").alias("b"))
-        few = members.where(F.col("owns").between(2, PAIRED_BUCKET))
-        found += [single, _own_pairs(few.where("own"), few)]
-        many = members.where(F.col("owns") > PAIRED_BUCKET)
-        tried = stage(many.where("lid <> first").select(
+                      "segment-counts")
+        probes = segment_keys(lines, k, edits, per_edit, probes=True)
+        hits = stage(probes.join(stats, "key").where("owns > 1 OR first <> lid").distinct(),
+                     "segment-hits")
+        single = hits.where("owns = 1").select(F.col("first").alias("a"), F.col("lid").alias("b"))
+        mine = stage(owns.join(stats.where("owns > 1"), "key"), "segment-owns")
+        every = mine.select("key", "lid", "owns", "first").union(
+            hits.where("owns > 1").select("key", "lid", "owns", "first"))
+        found += [single, _own_pairs(mine.where(F.col("owns") <= PAIRED_BUCKET),
+                                     every.where(F.col("owns") <= PAIRED_BUCKET))]
+        large = F.col("owns") > PAIRED_BUCKET
+        tried = stage(every.where(large).where("lid <> first").select(
             F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), "segment-tried")
         if tried.isEmpty():
             break
-        near = stage(close_pairs(tried, base, edits, per_edit), "segment-stars")
+        near = stage(close_pairs(tried, base, edits, per_edit).select("a", "b"), "segment-stars")
         found.append(near)
-        marked = many.join(near.select(F.col("a").alias("first"), F.col("b").alias("lid"),
-                                       F.lit(True).alias("near")), ["first", "lid"], "left")
-        marked = stage(marked.withColumn("near", F.coalesce("near", F.col("lid") == F.col("first"))),
-                       "segment-marked")
-        open_keys = stage(marked.where("NOT near").select("key").distinct(), "segments-open")
-        pending = marked.join(open_keys, "key", "left_semi")
+        close = near.select(F.col("a").alias("first"), F.col("b").alias("lid"),
+                            F.lit(True).alias("near"))
+        marked = stage(every.where(large).join(close, ["first", "lid"], "left").withColumn(
+            "near", F.coalesce("near", F.col("lid") == F.col("first"))).distinct(), "segment-marked")
+        pending = stage(marked.join(marked.where("NOT near").select("key").distinct(), "key",
+                                    "left_semi"), "segments-open")
         if k == LEVELS:
-            mine = pending.where("own")
-            found += [_own_pairs(mine.where("NOT near"), pending),
-                      _own_pairs(mine.where("near"), pending.where("NOT near"))]
+            left = mine.where(large).select("key", "lid").join(
+                pending.select("key", "lid", "near").distinct(), ["key", "lid"])
+            found += [_own_pairs(left.where("NOT near"), pending),
+                      _own_pairs(left.where("near"), pending.where("NOT near"))]
         else:
-            lines = stage(lines.join(pending.select("lid").distinct(), "lid", "left_semi"),
-                          "segment-lines")
+            wanted = stage(pending.select("lid").distinct(), "segment-lines")
+            lines = texts_of(base, wanted).withColumn("n", F.length("line"))
     pairs = reduce(DataFrame.union, [f.select("a", "b") for f in found]).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return close_pairs(pairs, base, edits, per_edit)
+    return close_pairs(pairs, base, edits, per_edit).select(
+        line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"))
 
 
 def _own_pairs(own: DataFrame, rows: DataFrame) -> DataFrame:
@@ -322,22 +369,16 @@ def _own_pairs(own: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def line_links(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """Links (a, b) between line ids that connect all near lines; lines: column `line`.
+    """Links (a, b) between line ids that connect all near lines; lines: (line, lid, n).
 
     Where lines may differ in two places or more, those go by longer segments; the others, and
     lines of one character more, are compared with one edit.
     """
     if edits <= MAX_EDITS:
-        return near_pairs(lines)
-    texts = stage(lines.groupBy(F.xxhash64("line").alias("lid")).agg(
-        F.first("line").alias("line")).withColumn("n", F.length("line")), "line-texts")
-    short = near_pairs(texts.where(F.col("n") <= 2 * per_edit).select("line"))
-    base = texts.where(F.col("n") >= 2 * per_edit)
-    named = texts.select("lid", line_id(F.col("line")).alias("id"))
-    far = far_pairs(base, edits, per_edit)
-    return short.union(far.join(named.select(F.col("lid").alias("a"), F.col("id").alias("x")), "a").join(
-        named.select(F.col("lid").alias("b"), F.col("id").alias("y")), "b").select(
-        F.col("x").alias("a"), F.col("y").alias("b")))
+        return near_pairs(lines.select("line"))
+    short = near_pairs(lines.where(F.col("n") <= 2 * per_edit).select("line"))
+    base = lines.where(F.col("n") >= 2 * per_edit).select("lid", "line", "n")
+    return short.union(far_pairs(base, edits, per_edit))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -355,7 +396,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and text are one document. Only the two named columns are read.
     """
     with transient(docs.sparkSession) as keep:
-        lines = lines_of(docs, id_col, text_col, min_chars)
+        # Written once: texts are cut into lines here only, and don't move.
+        lines = stage(lines_of(docs, id_col, text_col, min_chars), "lines", compression="zstd")
         found = stage(lines.select("key", "ord", "line_no", line_id(F.col("line")).alias("line"))
                       .distinct(), "line-places")
         roots = stage(components(line_links(lines, edits, per_edit), name="line-classes").select(
