@@ -89,32 +89,39 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     """Whether two texts are at most `edits` apart, by a banded bit-parallel automaton.
 
     Bit k of row d says that the part of `a` read so far can be made, with d edits, the
-    part of `b` that is k - edits characters longer. One step per character of `a` moves
-    all diagonals of the band together. The characters are bound to a variable, so that
-    they are listed once per pair.
+    part of `b` that is k - edits characters longer. The rows stand side by side in one number,
+    and one step per character of `a` moves all diagonals of the band together. Which diagonals
+    match at a character is worked out once per character, before the steps.
     """
-    band = (1 << (2 * edits + 1)) - 1
-    first = [1 << edits]
+    width = 2 * edits + 1
+    band = (1 << width) - 1
+    rows = [1 << edits]
     for _ in range(edits):
-        first.append((first[-1] | first[-1] << 1) & band)
-
-    def step(rows: Column, char: Column, i: Column, other: Column) -> Column:
-        match = F.lit(0)
-        for k in range(2 * edits + 1):
-            match = match + F.when(F.coalesce(
-                F.get(other, i + (k - edits)) == char, F.lit(False)), 1 << k).otherwise(0)
-        old = [F.get(rows["bits"], F.lit(d)) for d in range(edits + 1)]
+        rows.append((rows[-1] | rows[-1] << 1) & band)
+
+    def packed(parts: list) -> Column:
+        return reduce(lambda x, y: x.bitwiseOR(y),
+                      [F.shiftleft(part, d * width) for d, part in enumerate(parts)])
+
+    def matches(char: Column, i: Column, other: Column) -> Column:
+        return sum([F.when(F.coalesce(F.get(other, i + (k - edits)) == char, F.lit(False)),
+                           F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, width)],
+                   F.when(F.coalesce(F.get(other, i - edits) == char, F.lit(False)),
+                          F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+    def step(state: Column, match: Column) -> Column:
+        old = [F.shiftright(state, d * width).bitwiseAND(F.lit(band)) for d in range(edits + 1)]
         new = [old[0].bitwiseAND(match)]
         for d in range(1, edits + 1):
             new.append(old[d].bitwiseAND(match).bitwiseOR(old[d - 1]).bitwiseOR(
                 F.shiftright(old[d - 1], 1)).bitwiseOR(F.shiftleft(new[d - 1], 1)).bitwiseAND(
                 F.lit(band)))
-        return F.struct(F.array(*new).alias("bits"), (i + 1).alias("i"))
+        return packed(new)
 
     def close(pair: Column) -> Column:
-        start = F.struct(F.array(*[F.lit(x) for x in first]).alias("bits"), F.lit(0).alias("i"))
-        last = F.aggregate(pair["a"], start, lambda rows, char: step(rows, char, rows["i"], pair["b"]),
-                           lambda rows: F.get(rows["bits"], F.lit(edits)))
+        start = F.lit(sum(row << d * width for d, row in enumerate(rows))).cast("long")
+        found = F.transform(pair["a"], lambda char, i: matches(char, i, pair["b"]))
+        last = F.shiftright(F.aggregate(found, start, step), edits * width)
         place = F.size(pair["b"]) - F.size(pair["a"]) + edits
         return F.when(place.between(0, 2 * edits), F.pmod(F.floor(
             last / F.pow(F.lit(2.0), place)), F.lit(2)) == 1).otherwise(False)
