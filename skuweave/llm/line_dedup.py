@@ -22,7 +22,7 @@ PAIRED_BUCKET = 16
 #: Longest combinations of segments that lines in large buckets are divided by.
 LEVELS = 3
 
-#: Line ids are broadcast up to this number (8 bytes each); beyond, joined by shuffle.
+#: Line ids (8 bytes) and buckets (24) are broadcast up to this number; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 #: Where the missing id of a document stands in the order of documents: last.
@@ -319,7 +319,8 @@ def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Links (a, b) of line ids that connect all lines within the edits that the shorter one allows.
 
     base: (lid, line, n), lines that allow two edits or more, repeated ones too; `near_pairs` has
-    the shorter ones. Own entries are counted by bucket, and of the probes only those go on that
+    the shorter ones. Own entries are counted by bucket (with repetitions: a bucket of a line that
+    repeats often may count as large, which is only slower), and of the probes only those go on that
     meet another line's entry; both are 16 bytes a row, texts stay where they are. A bucket with
     few own lines is paired with its probes. In one with many, all lines are compared with its
     smallest own line; where all are close to it, that connects them, and the bucket is done. The
@@ -330,16 +331,20 @@ def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """
     found, lines = [], base
     for k in range(1, LEVELS + 1):
-        owns = stage(segment_keys(lines, k, edits, per_edit, probes=False).distinct(), "segments")
-        stats = stage(owns.groupBy("key").agg(F.count("*").alias("owns"), F.min("lid").alias("first")),
-                      "segment-counts")
+        owns = stage(segment_keys(lines, k, edits, per_edit, probes=False), "segments")
+        stats = stage(owns.groupBy("key").agg(
+            F.count("*").alias("owns"), F.min("lid").alias("first"), F.max("lid").alias("last")),
+            "segment-counts")
         probes = segment_keys(lines, k, edits, per_edit, probes=True)
-        hits = stage(probes.join(stats, "key").where("owns > 1 OR first <> lid").distinct(),
+        hits = stage(probes.join(stats, "key").where("first <> last OR first <> lid").distinct(),
                      "segment-hits")
-        single = hits.where("owns = 1").select(F.col("first").alias("a"), F.col("lid").alias("b"))
-        mine = stage(owns.join(stats.where("owns > 1"), "key"), "segment-owns")
+        single = hits.where("first = last").select(F.col("first").alias("a"), F.col("lid").alias("b"))
+        several = stage(stats.where("first <> last").select("key", "owns", "first"), "segments-several")
+        if several.count() <= BROADCAST_ROWS:
+            several = F.broadcast(several)
+        mine = stage(owns.join(several, "key").distinct(), "segment-owns")
         every = mine.select("key", "lid", "owns", "first").union(
-            hits.where("owns > 1").select("key", "lid", "owns", "first"))
+            hits.where("first <> last").select("key", "lid", "owns", "first"))
         found += [single, _own_pairs(mine.where(F.col("owns") <= PAIRED_BUCKET),
                                      every.where(F.col("owns") <= PAIRED_BUCKET))]
         large = F.col("owns") > PAIRED_BUCKET
