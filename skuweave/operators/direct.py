@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import HISTORY_WEEKS
 from .gram import LinearFit, collect_gram, gram_blocks, ridge, single_rows
 from .matrix import in_range
-from .slots import slot_or_zeros, slot_values, slots_by_id
+from .slots import slot_blocks, slot_values, slots_by_id
 
 #: Weeks ahead of the last known week, and the sums that describe the weeks before.
 AHEAD = (6, 7, 8, 9, 10)
@@ -25,17 +25,17 @@ def _by_week(df: DataFrame, cols: Sequence[str], id_col: str, time_col: str, wee
     most one entry per week is collected.
     """
     slots = slot_values(df, id_col, in_range(F.col(time_col), 1, weeks), list(cols), duplicates)
-    blocks = F.transform(F.sequence(F.lit(1), F.lit(weeks)),
-                         lambda w: slot_or_zeros(F.col("by_slot"), w, len(cols)))
+    blocks = slot_blocks(F.sequence(F.lit(1), F.lit(weeks)), len(cols))
     zeros = F.array(*[F.lit(0.0)] * len(cols))
 
-    def upto(w: Column) -> Column:
-        return F.aggregate(F.slice("blocks", F.lit(1), w), zeros,
-                           lambda s, b: F.zip_with(s, b, lambda x, y: x + y))
+    def running(total: Column, block: Column) -> Column:
+        last = F.element_at(total, -1)
+        return F.concat(total, F.array(F.zip_with(last, block, lambda x, y: x + y)))
 
-    dense = slots_by_id(slots).withColumn("blocks", blocks)
-    return dense.select("id", F.map_keys("by_slot").alias("seen"),
-                        F.transform(F.sequence(F.lit(0), F.lit(weeks)), upto).alias("total"))
+    # One pass over the weeks. The blocks are an argument of it, never part of its lambda, where
+    # they would be made again for every week.
+    return slots_by_id(slots).select("id", F.map_keys("by_slot").alias("seen"),
+                                     F.aggregate(blocks, F.array(zeros), running).alias("total"))
 
 
 def _between(after: Column, upto: Column, col: int) -> Column:

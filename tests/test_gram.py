@@ -151,3 +151,15 @@ def test_direct_rows_and_forecast(spark, history):
             assert r[f"week{i}"] == pytest.approx(models[k].intercept + base)
     plan = plan_of(op.direct_rows(history, cols))
     assert "Join" not in plan
+
+
+def test_totals_by_week_take_one_pass(spark):
+    """No week starts again at the first one, and no block is made inside the running sum."""
+    df = spark.createDataFrame([("a", "g", w, float(w)) for w in range(1, 11)],
+                               "sku_id string, goods_id string, weekNum2 int, goods_num double")
+    found = op.direct_rows(df, lags=[0, 3], ahead=[2], weeks=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan
+    assert "element_at(map_from_entries" not in plan
+    rows = {r.target: (list(r.features), r.ahead_2) for r in found.collect()}
+    assert rows == {w: ([w, sum(range(max(1, w - 3), w + 1))], w + 2) for w in range(1, 9)}
