@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matrix import in_range
-from .slots import slot_or_zeros, slot_values, slots_by_id
+from .slots import slot_blocks, slot_values, slots_by_id
 
 LAST_LAG = 30
 
@@ -44,9 +44,8 @@ def trailing_sums(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: st
 
 def _lags(target: int, last_lag: int, width: int) -> Column:
     """Running sums over the weeks of `by_slot`, from `target` backwards."""
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(last_lag)),
-                         lambda k: slot_or_zeros(F.col("by_slot"), F.lit(target) - k, width))
-    return _running(blocks, width)
+    weeks = F.sequence(F.lit(target), F.lit(target - last_lag), F.lit(-1))
+    return _running(slot_blocks(weeks, width), width)
 
 
 def trailing_sums_with_label(df: DataFrame, cols: list[str] | tuple[str, ...], time_col: str,

@@ -331,3 +331,14 @@ def test_label_and_lags_from_one_grouping(spark, duplicates):
     assert "Join" not in plan and plan.count("Scan") == 1
     with pytest.raises(ValueError, match="after the features"):
         op.horizon_training_set(df, cols=["goods_num"], horizon=0)
+
+
+def test_the_slots_of_an_id_become_a_map_once(spark):
+    """Not once per week, inside the lambda over the weeks."""
+    df = spark.createDataFrame([("a", "g", 3, 2.0), ("a", "g", 5, 1.0)], HISTORY)
+    for table, features in ((op.sales_matrix(df, weeks=5), [0, 0, 2, 0, 1]),
+                            (op.trailing_sums(df, ["goods_num"], "weekNum2", "sku_id", 5, 3),
+                             [1, 1, 3, 3])):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "element_at(map_from_entries" not in plan
+        assert [list(r.features) for r in table.collect()] == [features]
