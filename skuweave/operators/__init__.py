@@ -11,8 +11,8 @@ from .forecast import (HORIZONS, YEAR_BEFORE, forecast_coverage, forecast_grid,
 from .gram import (LinearFit, collect_gram, cross_validate, factorised_rows, fit_factorised,
                    fold_scores, gram_blocks, label_sums, origin_scores, ridge, single_rows,
                    squared_error)
-from .learn import (assemble, boosted_trees, expand, hash_split, in_train, linear, predict,
-                    rmse, score_table, sized, top_categorical, training_history,
+from .learn import (assemble, boosted_trees, expand, hash_split, in_train, linear, mark_held,
+                    predict, rmse, score_table, sized, top_categorical, training_history,
                     training_history_table, tune_linear, with_array, with_fold, with_vector)
 from .lookup import spread_join
 from .matrix import (mask_block, matrix_cells, sales_matrix, value_keyed_matrix, week_matrix)
@@ -37,8 +37,8 @@ __all__ = [
     "fit_direct", "fit_factorised", "fold_scores", "forecast_coverage", "forecast_direct",
     "forecast_grid", "forecast_weeks", "forecast_year_over_year", "goods_week_lookup",
     "gram_blocks", "group_count", "hash_split", "horizon_training_set", "in_train",
-    "label_sums", "lag_columns", "linear", "mask_block", "matrix_cells", "matrix_width",
-    "merge_states", "only_week", "origin_scores", "partial_states", "predict", "preview",
+    "label_sums", "lag_columns", "linear", "mark_held", "mask_block", "matrix_cells",
+    "matrix_width", "merge_states", "only_week", "origin_scores", "partial_states", "predict", "preview",
     "read_states", "ridge", "rmse", "row_count", "rows_per_week", "sales_matrix",
     "score_table", "select_label", "sides", "single_rows", "sized", "spread_join",
     "squared_error", "stack_sets", "submitted_skus_per_week", "submitted_units_per_week",
