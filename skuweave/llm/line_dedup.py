@@ -258,6 +258,18 @@ def segment_keys(base: DataFrame, k: int, edits: int, per_edit: int, probes: boo
     return rows.select(F.expr(f"xxhash64({k}, size, {', '.join(parts)})").alias("key"), "lid")
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(lid, line, n), one row per line. Of the texts, only those of repeated lines are shuffled."""
+    several = stage(lines.groupBy("lid").agg(F.count("*").alias("places")).where(
+        "places > 1").select("lid"), "lines-repeated")
+    if several.count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
+    once = stage(lines.join(several, "lid", "left_semi").groupBy("lid").agg(
+        F.first("line").alias("line")), "lines-once")
+    return lines.join(several, "lid", "left_anti").select("lid", "line", "n").union(
+        once.select("lid", "line", F.length("line").alias("n")))
+
+
 def texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lid, line) of the wanted line ids, one row each. Only their texts are shuffled."""
     wanted = stage(wanted.select("lid").distinct(), "lines-wanted")
@@ -318,10 +330,10 @@ def _alike(x: str, y: str, side) -> Column:
 def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Links (a, b) of line ids that connect all lines within the edits that the shorter one allows.
 
-    base: (lid, line, n), lines that allow two edits or more, repeated ones too; `near_pairs` has
-    the shorter ones. Own entries are counted by bucket (with repetitions: a bucket of a line that
-    repeats often may count as large, which is only slower), and of the probes only those go on that
-    meet another line's entry; both are 16 bytes a row, texts stay where they are. A bucket with
+    base: (lid, line, n), lines that allow two edits or more, each once: repeated ones would send
+    their probes again and again into the same buckets; `near_pairs` has the shorter ones. Own
+    entries are counted by bucket, and of the probes only those go on that meet another line's
+    entry; both are 16 bytes a row, texts stay where they are. A bucket with
     few own lines is paired with its probes. In one with many, all lines are compared with its
     smallest own line; where all are close to it, that connects them, and the bucket is done. The
     lines of the other large buckets go on to longer hashes: k + 1 segments of t + k + 1 instead
@@ -389,7 +401,7 @@ def line_links(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     if edits <= MAX_EDITS:
         return near_pairs(lines.select("line"))
     short = near_pairs(lines.where(F.col("n") <= 2 * per_edit).select("line"))
-    base = lines.where(F.col("n") >= 2 * per_edit).select("lid", "line", "n")
+    base = distinct_lines(lines.where(F.col("n") >= 2 * per_edit).select("lid", "line", "n"))
     return short.union(far_pairs(base, edits, per_edit))
 
 

@@ -197,3 +197,21 @@ def test_lines_with_one_opening_are_not_paired(spark, monkeypatch, edits):
         assert {r.doc_id for r in got.where("n_dropped > 0").collect()} == (
             {n, n + 1} if edits > 1 else {n})
         assert sum(made) < 30 * n
+
+
+def test_a_repeated_line_is_looked_for_once(spark, monkeypatch):
+    """Copies of near lines sent their probes into the same buckets copy by copy."""
+    line = "the quick brown fox jumps over the lazy dog and runs far away from the old red barn"
+    docs = spark.createDataFrame(
+        [(i, line if i % 2 else line.replace("lazy dog", "lacy fog")) for i in range(60)],
+        "doc_id long, text string")
+    entered, real = [], line_dedup.segment_keys
+
+    def counted(base, *args, **kwargs):
+        entered.append(base.count())
+        return real(base, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "segment_keys", counted)
+    report = line_report(docs).collect()
+    assert set(entered) == {2}
+    assert {r.doc_id: r.n_dropped for r in report} == {i: int(i > 0) for i in range(60)}
