@@ -14,13 +14,13 @@ from .common import doc_key, stage, transient, whole
 from .suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes that one suffix array is made of, about; an anchor beyond it is taken apart.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 
 #: Segments and removed spans are broadcast up to this number; beyond, they are joined.
 BROADCAST_ROWS = 1_500_000
 
-#: Bytes hashed at once; longer texts are read in overlapping pieces.
-PIECE = 1 << 20
+#: Bytes hashed at once; longer texts are read in overlapping pieces. A task holds some 100 times as much.
+PIECE = 1 << 18
 
 
 def _odd_powers(base: int, count: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -103,3 +104,19 @@ def test_marked_windows_against_all_windows(seed):
     assert marked == want
     found = repeats.repeated_starts(bodies, np.ones(len(bodies), int), length)
     assert [{i for a, b in runs for i in range(a, b + 1)} for runs in found] == want
+
+
+def test_a_task_holds_little_at_once():
+    """A piece is hashed and a shard is searched in some tens of MB: two tasks share an executor's rest."""
+    raw = np.random.default_rng(5).integers(97, 120, repeats.SHARD_BYTES, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        repeats.Anchors(200).segments([raw[:repeats.PIECE]])
+        hashed = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        repeats.marked_ranges([raw[i:i + 400] for i in range(0, len(raw), 400)], 200)
+        searched = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print(hashed, searched)
+    assert hashed < 50 << 20 and searched < 150 << 20
