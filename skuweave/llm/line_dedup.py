@@ -19,8 +19,8 @@ EDITS, PER_EDIT = 3, 20
 #: Buckets up to this size are listed and paired at once, larger ones are divided first.
 PAIRED_BUCKET = 16
 
-#: Longest combinations of segments that lines in large buckets are divided by.
-LEVELS = 3
+#: How often the lines of large buckets are divided by the counts of their pairs of characters.
+DIVISIONS = 2
 
 #: Line ids (8 bytes) and buckets (24) are broadcast up to this number; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -85,8 +85,8 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return listed.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b")
 
 
-def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
-    """Whether two texts are at most `edits` apart, by a banded bit-parallel automaton.
+def within_edits(a: Column, b: Column, edits: int = MAX_EDITS, most: Column | None = None) -> Column:
+    """Whether two texts are at most `edits` apart (or `most`, 1 to `edits`), by a banded bit-parallel automaton.
 
     Bit k of row d says that the part of `a` read so far can be made, with d edits, the
     part of `b` that is k - edits characters longer. The rows stand side by side in one number,
@@ -121,7 +121,13 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     def close(pair: Column) -> Column:
         start = F.lit(sum(row << d * width for d, row in enumerate(rows))).cast("long")
         found = F.transform(pair["a"], lambda char, i: matches(char, i, pair["b"]))
-        last = F.shiftright(F.aggregate(found, start, step), edits * width)
+        def row(state: Column) -> Column:
+            chosen = F.shiftright(state, edits * width)
+            for d in range(1, edits) if most is not None else ():
+                chosen = F.when(most == d, F.shiftright(state, d * width)).otherwise(chosen)
+            return chosen
+
+        last = F.aggregate(found, start, step, row)
         place = F.size(pair["b"]) - F.size(pair["a"]) + edits
         return F.when(place.between(0, 2 * edits), F.pmod(F.floor(
             last / F.pow(F.lit(2.0), place)), F.lit(2)) == 1).otherwise(False)
@@ -237,33 +243,57 @@ def allowed(length: str, edits: int, per_edit: int) -> str:
     return f"cast(least({edits}, {length} div {per_edit}) as int)"
 
 
-def segment_keys(base: DataFrame, k: int, edits: int, per_edit: int, probes: bool) -> DataFrame:
+def segment_length(size: str, t: int | str) -> str:
+    """SQL: the length of each of the t + 1 segments of a line, rounded down by up to an eighth.
+
+    Lines that differ by a few characters then nearly always have segments of one length.
+    """
+    return f"({size} div ({t} + 1) - ({size} div ({t} + 1)) % greatest({size} div ({t} + 1) div 8, 1))"
+
+
+def segment_places(edits: int, probes: bool) -> list[tuple[int, int, int, int, int]]:
+    """(t, before, d, s, o): segment s of t + 1 is looked for o places on in a line d longer.
+
+    `before` is the next smaller d with the same s and o, own entries included, or -1.
+    """
+    plans = [entry for t in range(MAX_EDITS + 1, edits + 1)
+             for own in (False, True) for entry in segment_plan(t, 1, own)]
+    known = set(plans)
+    return [(t, d - 1 if (t, d - 1, s, o) in known else -1, d, s, o)
+            for t, d, s, o in plans if (d > 0 or o != 0) == probes]
+
+
+def segment_keys(base: DataFrame, edits: int, per_edit: int, probes: bool) -> DataFrame:
     """Index entries (key, lid) of lines (lid, line, n): own ones, or probes.
 
     The places are a constant table that is put next to every line; those for another number of
-    edits than the (shorter) length allows are dropped at once, and a key is one hash of what is
-    left, so that the whole step is generated code.
+    edits than the (shorter) length allows are dropped at once, and of those that differ in the
+    shorter length only, the ones whose segments have the same length: their key is the same.
+    What lies behind the last segment counts as its part but is not hashed.
     """
-    names = ["t", "d", *[f"{x}{i}" for i in range(k) for x in "so"]]
-    plan = [entry for t in range(MAX_EDITS + 1, edits + 1) for entry in segment_plan(t, k, probes)]
-    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, entry)])
-                       for entry in plan])
-    rows = base.select("lid", "line", "n", F.inline(places)).withColumn("size", F.expr("n - d"))
-    rows = rows.where(f"size >= {2 * per_edit} AND t = {allowed('size', edits, per_edit)}")
-    parts = []
-    for i in range(k):
-        start, end = (f"((s{i} + {x}) * size div (t + {k}))" for x in (0, 1))
-        parts += [f"s{i}", f"substring(line, cast({start} + o{i} + 1 as int), "
-                           f"cast({end} - {start} as int))"]
-    return rows.select(F.expr(f"xxhash64({k}, size, {', '.join(parts)})").alias("key"), "lid")
-
-
-def distinct_lines(lines: DataFrame) -> DataFrame:
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("t", "e", "d", "s", "o"), entry)])
+                       for entry in segment_places(edits, probes)])
+    rows = base.select("lid", "line", "n", F.inline(places)).where(
+        f"n - d >= {2 * per_edit} AND t = {allowed('(n - d)', edits, per_edit)}")
+    rows = rows.where(f"e < 0 OR t <> {allowed('(n - e)', edits, per_edit)} OR "
+                      f"{segment_length('(n - e)', 't')} <> {segment_length('(n - d)', 't')}")
+    rows = rows.withColumn("size", F.expr(f"cast({segment_length('(n - d)', 't')} as int)"))
+    return rows.select(F.expr("xxhash64(t, s, substring(line, s * size + o + 1, size))").alias("key"), "lid")
+
+
+def limited(df: DataFrame) -> DataFrame:
+    """A broadcast of a staged table if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(lid) of the lines that stand in several places."""
+    return limited(stage(lines.groupBy("lid").agg(F.count("*").alias("places")).where(
+        "places > 1").select("lid"), "lines-repeated"))
+
+
+def distinct_lines(lines: DataFrame, several: DataFrame) -> DataFrame:
     """(lid, line, n), one row per line. Of the texts, only those of repeated lines are shuffled."""
-    several = stage(lines.groupBy("lid").agg(F.count("*").alias("places")).where(
-        "places > 1").select("lid"), "lines-repeated")
-    if several.count() <= BROADCAST_ROWS:
-        several = F.broadcast(several)
     once = stage(lines.join(several, "lid", "left_semi").groupBy("lid").agg(
         F.first("line").alias("line")), "lines-once")
     return lines.join(several, "lid", "left_anti").select("lid", "line", "n").union(
@@ -272,9 +302,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 def texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lid, line) of the wanted line ids, one row each. Only their texts are shuffled."""
-    wanted = stage(wanted.select("lid").distinct(), "lines-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = limited(stage(wanted.select("lid").distinct(), "lines-wanted"))
     return stage(base.select("lid", "line").join(wanted, "lid").groupBy("lid").agg(
         F.first("line").alias("line")), "line-texts")
 
@@ -290,13 +318,11 @@ def close_pairs(pairs: DataFrame, base: DataFrame, edits: int, per_edit: int) ->
     texts = texts_of(base, pairs.select(F.explode(F.array("a", "b")).alias("lid")))
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    dealt = both.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     most = F.expr(allowed("least(length(x), length(y))", edits, per_edit))
-    whole_segments, near = F.lit(False), F.lit(False)
-    for t in range(MAX_EDITS + 1, edits + 1):
-        whole_segments = F.when(most == t, F.expr(enough_segments(t))).otherwise(whole_segments)
-        near = F.when(most == t, within_edits(F.col("p"), F.col("q"), t)).otherwise(near)
-    cut = dealt.where(whole_segments).withColumn("at", _alike("x", "y", F.left)).select(
+    dealt = both.where(F.abs(F.length("x") - F.length("y")) <= most).repartition(
+        int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = within_edits(F.col("p"), F.col("q"), edits, most)
+    cut = dealt.where(enough_segments(edits)).withColumn("at", _alike("x", "y", F.left)).select(
         "a", "b", "x", "y", F.expr("substring(x, at + 1)").alias("p"),
         F.expr("substring(y, at + 1)").alias("q")).withColumn("at", _alike("p", "q", F.right)).select(
         "a", "b", "x", "y", F.expr("left(p, length(p) - at)").alias("p"),
@@ -305,7 +331,7 @@ def close_pairs(pairs: DataFrame, base: DataFrame, edits: int, per_edit: int) ->
         "close").select("a", "b", "x", "y")
 
 
-def enough_segments(t: int, more: int = 5) -> str:
+def enough_segments(t: int, more: int = 14) -> str:
     """SQL: of t + `more` segments of x, `more` at least stand in y, at most t places away.
 
     True wherever y is within t edits of x, as each edit breaks one segment at most.
@@ -327,81 +353,109 @@ def _alike(x: str, y: str, side) -> Column:
         side(F.col(x), n + step) == side(F.col(y), n + step), n + step).otherwise(n))
 
 
+def pair_counts(texts: DataFrame, edits: int, seed: int) -> DataFrame:
+    """(lid, part, mark): the pairs of neighbouring characters of a line, dealt to 4 * edits + 1 parts.
+
+    A mark is one hash of the pairs of a part, in any order. An edit takes two pairs away and brings
+    two at most, and each is in one part: lines within `edits` of each other have a part in common.
+    """
+    parts = 4 * edits + 1
+    chars = texts.select("lid", F.regexp_extract_all("line", F.lit("(?s)."), 0).alias("c"))
+    pairs = chars.select("lid", F.explode(F.transform(
+        "c", lambda char, i: F.concat(F.coalesce(F.get("c", i - 1), F.lit("")), char))).alias("two"))
+    hashed = pairs.select("lid", F.pmod(F.xxhash64("two", F.lit(seed)), F.lit(parts)).alias("part"),
+                          F.xxhash64(F.lit(seed), "two").bitwiseAND(F.lit((1 << 40) - 1)).alias("h"))
+    marks = hashed.groupBy("lid").agg(*[F.coalesce(F.sum(F.when(F.col("part") == i, F.col("h"))), F.lit(0))
+                                        .alias(f"m{i}") for i in range(parts)])
+    return marks.select("lid", F.posexplode(F.array(*[f"m{i}" for i in range(parts)])).alias("part", "mark"))
+
+
 def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Links (a, b) of line ids that connect all lines within the edits that the shorter one allows.
 
     base: (lid, line, n), lines that allow two edits or more, each once: repeated ones would send
     their probes again and again into the same buckets; `near_pairs` has the shorter ones. Own
     entries are counted by bucket, and of the probes only those go on that meet another line's
-    entry; both are 16 bytes a row, texts stay where they are. A bucket with
-    few own lines is paired with its probes. In one with many, all lines are compared with its
-    smallest own line; where all are close to it, that connects them, and the bucket is done. The
-    lines of the other large buckets go on to longer hashes: k + 1 segments of t + k + 1 instead
-    of k of t + k. A pair that meets in large buckets only goes on in both its lines, so none is
-    lost. What is still in large buckets after `LEVELS` such steps agrees in most of the line;
-    there, pairs of which one line is far from the smallest are compared.
+    entry; both are 16 bytes a row. Of the texts, those of lines that met another are
+    written once. A bucket with few own lines is paired with its probes. In one with many, all lines
+    are compared with its smallest own line; where all are close to it, that connects them, and the
+    bucket is done. The lines of the other large buckets are divided by their lengths and by what
+    they have in common all over the line (`pair_counts`), by which lines part that agree in long
+    pieces only.
+    A near pair stays together in one part of the bucket at least. What is still in large
+    buckets after `DIVISIONS` such steps is paired but for lines that are both near the smallest.
     """
-    found, lines = [], base
-    for k in range(1, LEVELS + 1):
-        owns = stage(segment_keys(lines, k, edits, per_edit, probes=False), "segments")
-        stats = stage(owns.groupBy("key").agg(
-            F.count("*").alias("owns"), F.min("lid").alias("first"), F.max("lid").alias("last")),
-            "segment-counts")
-        probes = segment_keys(lines, k, edits, per_edit, probes=True)
-        hits = stage(probes.join(stats, "key").where("first <> last OR first <> lid").distinct(),
-                     "segment-hits")
-        single = hits.where("first = last").select(F.col("first").alias("a"), F.col("lid").alias("b"))
-        several = stage(stats.where("first <> last").select("key", "owns", "first"), "segments-several")
-        if several.count() <= BROADCAST_ROWS:
-            several = F.broadcast(several)
-        mine = stage(owns.join(several, "key").distinct(), "segment-owns")
-        every = mine.select("key", "lid", "owns", "first").union(
-            hits.where("first <> last").select("key", "lid", "owns", "first"))
-        found += [single, _own_pairs(mine.where(F.col("owns") <= PAIRED_BUCKET),
-                                     every.where(F.col("owns") <= PAIRED_BUCKET))]
-        large = F.col("owns") > PAIRED_BUCKET
-        tried = stage(every.where(large).where("lid <> first").select(
+    owns = segment_keys(base, edits, per_edit, probes=False)
+    stats = owns.groupBy("key").agg(
+        F.count("*").alias("owns"), F.min("lid").alias("first"), F.max("lid").alias("last"))
+    met = segment_keys(base, edits, per_edit, probes=True).join(stats, "key").where(
+        "first <> last OR first <> lid").select("key", "owns", "first", "last", "lid")
+    hits = stage(met.union(stats.where("first <> last").select(
+        "key", "owns", "first", "last", F.lit(None).cast("long"))), "segment-hits")
+    found = [hits.where("first = last").select(F.col("first").alias("a"), F.col("lid").alias("b"))]
+    several = limited(hits.where("lid IS NULL").select("key", "owns", "first"))
+    rows = stage(owns.join(several, "key").select("key", "lid", F.lit(True).alias("own"), "owns", "first").union(
+        hits.where("first <> last AND lid IS NOT NULL").select(
+            "key", "lid", F.lit(False), "owns", "first")).distinct(), "segment-rows")
+    texts = texts_of(base, found[0].select(F.explode(F.array("a", "b")).alias("lid")).union(rows.select("lid")))
+
+    for division in range(DIVISIONS + 1):
+        few = rows.where(F.col("owns") <= PAIRED_BUCKET)
+        found.append(_own_pairs(few.withColumn("near", F.lit(False))))
+        large = rows.where(F.col("owns") > PAIRED_BUCKET)
+        tried = stage(large.where("lid <> first").select(
             F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), "segment-tried")
         if tried.isEmpty():
             break
-        near = stage(close_pairs(tried, base, edits, per_edit).select("a", "b"), "segment-stars")
+        near = stage(close_pairs(tried, texts, edits, per_edit).select("a", "b"), "segment-stars")
         found.append(near)
-        close = near.select(F.col("a").alias("first"), F.col("b").alias("lid"),
-                            F.lit(True).alias("near"))
-        marked = stage(every.where(large).join(close, ["first", "lid"], "left").withColumn(
-            "near", F.coalesce("near", F.col("lid") == F.col("first"))).distinct(), "segment-marked")
+        close = near.select(F.col("a").alias("first"), F.col("b").alias("lid"), F.lit(True).alias("near"))
+        marked = stage(large.join(close, ["first", "lid"], "left").withColumn(
+            "near", F.coalesce("near", F.col("lid") == F.col("first"))), "segment-marked")
         pending = stage(marked.join(marked.where("NOT near").select("key").distinct(), "key",
                                     "left_semi"), "segments-open")
-        if k == LEVELS:
-            left = mine.where(large).select("key", "lid").join(
-                pending.select("key", "lid", "near").distinct(), ["key", "lid"])
-            found += [_own_pairs(left.where("NOT near"), pending),
-                      _own_pairs(left.where("near"), pending.where("NOT near"))]
-        else:
-            wanted = stage(pending.select("lid").distinct(), "segment-lines")
-            lines = texts_of(base, wanted).withColumn("n", F.length("line"))
+        if division == DIVISIONS:
+            found.append(_own_pairs(pending))
+            break
+        open_lines = texts.join(pending.select("lid").distinct(), "lid", "left_semi")
+        if not division:  # the longer line of a pair finds the length of the shorter one
+            shorter = F.explode(F.array(*[F.lit(d) for d in range(edits + 1)])).alias("d")
+            sized = open_lines.select("lid", F.length("line").alias("n"), shorter)
+            pending = pending.join(sized, "lid").select(
+                F.xxhash64("key", F.col("n") - F.col("d")).alias("key"), "lid", F.expr("own AND d = 0").alias("own"))
+        parts = stage(pending.join(pair_counts(open_lines, edits, division), "lid").select(
+            F.xxhash64("key", "part", "mark").alias("key"), "lid", "own"), "segment-parts")
+        mine = F.when(F.col("own"), F.col("lid"))
+        sizes = stage(parts.groupBy("key").agg(
+            F.count(mine).alias("owns"), F.min(mine).alias("first"), F.min("lid").alias("x"),
+            F.max("lid").alias("y")).where("owns > 0 AND x <> y").select("key", "owns", "first"), "part-sizes")
+        rows = stage(parts.join(sizes, "key").select("key", "lid", "own", "owns", "first"), "segment-rows")
     pairs = reduce(DataFrame.union, [f.select("a", "b") for f in found]).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return close_pairs(pairs, base, edits, per_edit).select(
+    return close_pairs(pairs, texts, edits, per_edit).select(
         line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"))
 
 
-def _own_pairs(own: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each own line of a bucket with each of the rows of the bucket."""
-    return own.select("key", F.col("lid").alias("a")).join(
-        rows.select("key", F.col("lid").alias("b")), "key").where("a <> b").select("a", "b")
+def _own_pairs(rows: DataFrame) -> DataFrame:
+    """Each own line of a bucket with each other row of it, once; lines that are both near go without."""
+    a = rows.where("own").select("key", F.col("lid").alias("a"), F.col("near").alias("near_a"))
+    b = rows.select("key", F.col("lid").alias("b"), F.col("near").alias("near_b"), F.col("own").alias("own_b"))
+    return a.join(b, "key").where(
+        "a <> b AND NOT (near_a AND near_b) AND (a < b OR NOT own_b)").select("a", "b")
 
 
-def line_links(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+def line_links(lines: DataFrame, several: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Links (a, b) between line ids that connect all near lines; lines: (line, lid, n).
 
+    several: (lid) of the repeated ones.
+
     Where lines may differ in two places or more, those go by longer segments; the others, and
     lines of one character more, are compared with one edit.
     """
     if edits <= MAX_EDITS:
         return near_pairs(lines.select("line"))
     short = near_pairs(lines.where(F.col("n") <= 2 * per_edit).select("line"))
-    base = distinct_lines(lines.where(F.col("n") >= 2 * per_edit).select("lid", "line", "n"))
+    base = distinct_lines(lines.where(F.col("n") >= 2 * per_edit).select("lid", "line", "n"), several)
     return short.union(far_pairs(base, edits, per_edit))
 
 
@@ -422,12 +476,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with transient(docs.sparkSession) as keep:
         # Written once: texts are cut into lines here only, and don't move.
         lines = stage(lines_of(docs, id_col, text_col, min_chars), "lines", compression="zstd")
-        found = stage(lines.select("key", "ord", "line_no", line_id(F.col("line")).alias("line"))
-                      .distinct(), "line-places")
-        roots = stage(components(line_links(lines, edits, per_edit), name="line-classes").select(
+        several = repeated_lines(lines)
+        roots = stage(components(line_links(lines, several, edits, per_edit), name="line-classes").select(
             F.col("node").alias("line"), F.col("root")), "line-roots")
-        placed = found.join(roots, "line", "left").select(
-            "key", "ord", "line_no", F.coalesce("root", "line").alias("class"))
+        # A line that stands once and is near no other is alone in its class.
+        placed = lines.select("key", "ord", "line_no", "lid", line_id(F.col("line")).alias("line")).join(
+            several.withColumn("again", F.lit(True)), "lid", "left").join(
+            limited(roots), "line", "left").where("again OR root IS NOT NULL")
+        placed = stage(placed.select("key", "ord", "line_no", F.coalesce("root", "line").alias("class"))
+                       .distinct(), "line-places")
         place = F.struct("ord", "key", "line_no")
         # Written before the join, so that the lines of a hot class are split.
         classes = stage(placed.groupBy("class").agg(

@@ -215,3 +215,34 @@ def test_a_repeated_line_is_looked_for_once(spark, monkeypatch):
     report = line_report(docs).collect()
     assert set(entered) == {2}
     assert {r.doc_id: r.n_dropped for r in report} == {i: int(i > 0) for i in range(60)}
+
+
+def test_a_line_sends_few_probes(spark):
+    """Lengths that differ by a few characters share their segments, so a line is not sent once for each."""
+    base = spark.createDataFrame([(n, "x" * n, n) for n in range(60, 260)], "lid long, line string, n int")
+    probes = line_dedup.segment_keys(base, edits=3, per_edit=20, probes=True).count()
+    assert probes < 12 * 200
+
+
+def test_lines_within_edits_share_a_part(spark):
+    """Near lines have one part of their pairs of characters in common; a number of other words leaves few."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(40)]
+    line = " ".join(words)
+    other = " ".join("".join(rng.choice("pqrstuvw") for _ in range(6)) if i % 4 == 0 else w
+                     for i, w in enumerate(words))
+    rows = [(0, line), (1, other)]
+    for i in range(2, 60):
+        near = line
+        for _ in range(3):
+            near = edited(rng, near)
+        rows.append((i, near))
+    texts = spark.createDataFrame(rows, "lid long, line string")
+    for seed in (0, 1):
+        marks = {}
+        for r in line_dedup.pair_counts(texts, 3, seed).collect():
+            marks.setdefault(r.lid, {})[r.part] = r.mark
+        shared = {i: sum(marks[i][p] == m for p, m in marks[0].items()) for i in marks}
+        assert all(len(m) == 13 for m in marks.values())
+        assert min(n for i, n in shared.items() if i > 1) >= 1
+        assert shared[1] <= 3
