@@ -19,8 +19,8 @@ EDITS, PER_EDIT = 3, 20
 #: Buckets up to this size are listed and paired at once, larger ones are divided first.
 PAIRED_BUCKET = 16
 
-#: How often the lines of large buckets are divided by the counts of their pairs of characters.
-DIVISIONS = 2
+#: Behind how many characters two lines are cut to compare their heads and their tails.
+CUTS = [int(40 * 1.4 ** i) for i in range(12)]
 
 #: Line ids (8 bytes) and buckets (24) are broadcast up to this number; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -31,12 +31,11 @@ NO_ID = (1 << 63) - 1
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(key, ord, line_no, line, lid, n): the trimmed lines long enough to be compared."""
+    cut = F.split(F.regexp_replace(whole(text_col), "\r", ""), "\n")
     rows = docs.select(doc_key(id_col, text_col).alias("key"),
                        F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("ord"),
-                       F.posexplode(F.split(whole(text_col), "\n")).alias("line_no", "raw"))
-    return rows.select("key", "ord", "line_no", F.trim(F.replace(
-        "raw", F.lit("\r"), F.lit(""))).alias("line")).select(
-        "*", F.xxhash64("line").alias("lid"), F.length("line").alias("n")).where(
+                       F.posexplode(F.transform(cut, lambda line: F.trim(line))).alias("line_no", "line"))
+    return rows.select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n")).where(
         F.col("n") >= min_chars)
 
 
@@ -353,21 +352,66 @@ def _alike(x: str, y: str, side) -> Column:
         side(F.col(x), n + step) == side(F.col(y), n + step), n + step).otherwise(n))
 
 
-def pair_counts(texts: DataFrame, edits: int, seed: int) -> DataFrame:
-    """(lid, part, mark): the pairs of neighbouring characters of a line, dealt to 4 * edits + 1 parts.
+def sketches(texts: DataFrame, edits: int, seed: int = 0) -> DataFrame:
+    """(lid, n, m0, ..., total, heads): the pairs of neighbouring characters of a line, as bits that say
+    whether they have met an odd number of pairs.
 
-    A mark is one hash of the pairs of a part, in any order. An edit takes two pairs away and brings
-    two at most, and each is in one part: lines within `edits` of each other have a part in common.
+    m: 4 * edits + 1 parts of 16 bits, four parts a number, to which the pairs are dealt. An edit takes
+    two pairs away and brings two at most, so that lines `edits` apart differ in 4 * edits bits at
+    most, however long they are. total: all pairs in 64 bits; heads: those before each of `CUTS`.
     """
-    parts = 4 * edits + 1
-    chars = texts.select("lid", F.regexp_extract_all("line", F.lit("(?s)."), 0).alias("c"))
-    pairs = chars.select("lid", F.explode(F.transform(
-        "c", lambda char, i: F.concat(F.coalesce(F.get("c", i - 1), F.lit("")), char))).alias("two"))
-    hashed = pairs.select("lid", F.pmod(F.xxhash64("two", F.lit(seed)), F.lit(parts)).alias("part"),
-                          F.xxhash64(F.lit(seed), "two").bitwiseAND(F.lit((1 << 40) - 1)).alias("h"))
-    marks = hashed.groupBy("lid").agg(*[F.coalesce(F.sum(F.when(F.col("part") == i, F.col("h"))), F.lit(0))
-                                        .alias(f"m{i}") for i in range(parts)])
-    return marks.select("lid", F.posexplode(F.array(*[f"m{i}" for i in range(parts)])).alias("part", "mark"))
+    parts, chars = 4 * edits + 1, "(?s).."
+    rows = texts.select("lid", F.length("line").alias("n"), F.posexplode_outer(F.concat(
+        F.regexp_extract_all("line", F.lit(chars), 0),
+        F.regexp_extract_all(F.expr("substring(line, 2)"), F.lit(chars), 0))).alias("i", "two"))
+    rows = rows.select("lid", "n", F.expr("if(i < n div 2, 2 * i, 2 * (i - n div 2) + 1)").alias("place"),
+                       F.xxhash64("two", F.lit(seed)).alias("hash"))
+    rows = rows.select("lid", "n", "place", F.expr(f"pmod(hash, {parts})").alias("part"), F.expr(
+        "shiftleft(1L, cast(shiftright(hash, 34) & 63 as int))").alias("bit"), F.expr(
+        "cast(shiftright(hash, 40) & 15 as int)").alias("small"))
+    marks = [F.expr(f"bit_xor(CASE WHEN part div 4 = {word} THEN shiftleft(1L, cast(part % 4 * 16 as int) + small) "
+                    f"ELSE 0L END)").alias(f"m{word}") for word in range(edits + 1)]
+    heads = [F.expr(f"bit_xor(CASE WHEN place < {cut} THEN bit ELSE 0L END)") for cut in CUTS]
+    return rows.groupBy("lid").agg(F.first("n").alias("n"), *marks, F.expr(
+        "coalesce(bit_xor(bit), 0L)").alias("total"), F.array(*heads).alias("heads"))
+
+
+def _mark(part: int, number: str) -> str:
+    """SQL: a part of a sketch; number: how its numbers are named, with {} for which one."""
+    return f"shiftright({number.format(part // 4)}, {part % 4 * 16}) & 65535"
+
+
+def pair_counts(texts: DataFrame, edits: int, seed: int = 0) -> DataFrame:
+    """(lid, part, mark): the parts of the `sketches`; texts: (lid, line), or sketches.
+
+    Lines within `edits` of each other have a part in common, as there is one part more than bits
+    in which they differ.
+    """
+    sketched = texts if "m0" in texts.columns else sketches(texts, edits, seed)
+    marks = [F.expr(_mark(part, "m{}")) for part in range(4 * edits + 1)]
+    return sketched.select("lid", F.posexplode(F.array(*marks)).alias("part", "mark"))
+
+
+def may_be_near(edits: int, per_edit: int) -> str:
+    """SQL: lengths and sketches of two lines (n_a, m0_a, ... and n_b, ...) allow them to be near.
+
+    Where both lines are cut behind as many characters, the pairs of their heads and those of their
+    tails differ in 4 bits for each edit and in 1 for each character of difference in length: an edit that
+    moves the rest by one character changes three pairs and carries one over the cut. So lines with
+    something put in at different places differ by what the cuts between those places carry over.
+    """
+    most = allowed("least(n_a, n_b)", edits, per_edit)
+    apart = " + ".join(f"bit_count(m{i}_a ^ m{i}_b)" for i in range(edits + 1))
+    cuts = ("forall(zip_with(heads_a, heads_b, (x, y) -> x ^ y), z -> bit_count(z) + "
+            f"bit_count(z ^ total_a ^ total_b) <= 4 * {most} + abs(n_a - n_b))")
+    return f"abs(n_a - n_b) <= {most} AND {apart} <= 4 * {most} AND {cuts}"
+
+
+def _sketched(rows: DataFrame, sketched: DataFrame, side: str) -> DataFrame:
+    """The rows with the sketch (n_<side>, m0_<side>, ...) of the line in column <side>."""
+    names = [c for c in sketched.columns if c != "lid"]
+    return rows.join(sketched.select(F.col("lid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]),
+                     side)
 
 
 def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
@@ -379,11 +423,12 @@ def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
     entry; both are 16 bytes a row. Of the texts, those of lines that met another are
     written once. A bucket with few own lines is paired with its probes. In one with many, all lines
     are compared with its smallest own line; where all are close to it, that connects them, and the
-    bucket is done. The lines of the other large buckets are divided by their lengths and by what
-    they have in common all over the line (`pair_counts`), by which lines part that agree in long
-    pieces only.
-    A near pair stays together in one part of the bucket at least. What is still in large
-    buckets after `DIVISIONS` such steps is paired but for lines that are both near the smallest.
+    bucket is done. The lines of the other large buckets are divided, each once for all its buckets, by
+    their lengths and by what they have in common all over the line (`pair_counts`), by which lines
+    part that agree in long pieces only. A near pair stays together in one part at least, and
+    is paired in the first. What is then still in large buckets is paired but for lines that are
+    both near the smallest.
+    Pairs whose lengths or `sketches` are too far apart are no candidates, wherever they meet.
     """
     owns = segment_keys(base, edits, per_edit, probes=False)
     stats = owns.groupBy("key").agg(
@@ -392,56 +437,70 @@ def far_pairs(base: DataFrame, edits: int, per_edit: int) -> DataFrame:
         "first <> last OR first <> lid").select("key", "owns", "first", "last", "lid")
     hits = stage(met.union(stats.where("first <> last").select(
         "key", "owns", "first", "last", F.lit(None).cast("long"))), "segment-hits")
-    found = [hits.where("first = last").select(F.col("first").alias("a"), F.col("lid").alias("b"))]
+    alone = hits.where("first = last").select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct()
     several = limited(hits.where("lid IS NULL").select("key", "owns", "first"))
     rows = stage(owns.join(several, "key").select("key", "lid", F.lit(True).alias("own"), "owns", "first").union(
         hits.where("first <> last AND lid IS NOT NULL").select(
             "key", "lid", F.lit(False), "owns", "first")).distinct(), "segment-rows")
-    texts = texts_of(base, found[0].select(F.explode(F.array("a", "b")).alias("lid")).union(rows.select("lid")))
-
-    for division in range(DIVISIONS + 1):
-        few = rows.where(F.col("owns") <= PAIRED_BUCKET)
-        found.append(_own_pairs(few.withColumn("near", F.lit(False))))
+    texts = texts_of(base, alone.select(F.explode(F.array("a", "b")).alias("lid")).union(rows.select("lid")))
+    sketched = limited(stage(sketches(texts, edits), "line-sketches"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return _sketched(_sketched(pairs, sketched, "a"), sketched, "b").where(
+            may_be_near(edits, per_edit)).select("a", "b")
+
+    found = [alike(alone)]
+    rows = rows.withColumn("part", F.lit(0))
+    for divided in (False, True):
+        few = rows.where(F.col("owns") <= PAIRED_BUCKET).withColumn("near", F.lit(False))
+        found.append(_own_pairs(few, sketched, edits, per_edit))
         large = rows.where(F.col("owns") > PAIRED_BUCKET)
-        tried = stage(large.where("lid <> first").select(
-            F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), "segment-tried")
-        if tried.isEmpty():
+        if large.isEmpty():
             break
-        near = stage(close_pairs(tried, texts, edits, per_edit).select("a", "b"), "segment-stars")
-        found.append(near)
-        close = near.select(F.col("a").alias("first"), F.col("b").alias("lid"), F.lit(True).alias("near"))
+        tried = stage(alike(large.where("lid <> first").select(
+            F.col("first").alias("a"), F.col("lid").alias("b")).distinct()), "segment-tried")
+        if not tried.isEmpty():
+            tried = stage(close_pairs(tried, texts, edits, per_edit).select("a", "b"), "segment-stars")
+            found.append(tried)
+        close = tried.select(F.col("a").alias("first"), F.col("b").alias("lid"), F.lit(True).alias("near"))
         marked = stage(large.join(close, ["first", "lid"], "left").withColumn(
             "near", F.coalesce("near", F.col("lid") == F.col("first"))), "segment-marked")
-        pending = stage(marked.join(marked.where("NOT near").select("key").distinct(), "key",
-                                    "left_semi"), "segments-open")
-        if division == DIVISIONS:
-            found.append(_own_pairs(pending))
+        pending = marked.join(marked.where("NOT near").select("key").distinct(), "key", "left_semi")
+        if divided:
+            found.append(_own_pairs(pending, sketched, edits, per_edit))
             break
-        open_lines = texts.join(pending.select("lid").distinct(), "lid", "left_semi")
-        if not division:  # the longer line of a pair finds the length of the shorter one
-            shorter = F.explode(F.array(*[F.lit(d) for d in range(edits + 1)])).alias("d")
-            sized = open_lines.select("lid", F.length("line").alias("n"), shorter)
-            pending = pending.join(sized, "lid").select(
-                F.xxhash64("key", F.col("n") - F.col("d")).alias("key"), "lid", F.expr("own AND d = 0").alias("own"))
-        parts = stage(pending.join(pair_counts(open_lines, edits, division), "lid").select(
-            F.xxhash64("key", "part", "mark").alias("key"), "lid", "own"), "segment-parts")
+        lines = sketched.join(pending.select("lid").distinct(), "lid", "left_semi")
+        # The longer line of a pair finds the length of the shorter one.
+        shorter = F.explode(F.array(*[F.lit(d) for d in range(edits + 1)])).alias("d")
+        parts = stage(pair_counts(lines, edits).join(lines.select("lid", "n"), "lid").select(
+            "lid", "part", "mark", "n", shorter).select(
+            F.expr("xxhash64(n - d, part, mark)").alias("key"), "lid", F.expr("d = 0").alias("own"), "part"),
+            "segment-parts")
         mine = F.when(F.col("own"), F.col("lid"))
         sizes = stage(parts.groupBy("key").agg(
             F.count(mine).alias("owns"), F.min(mine).alias("first"), F.min("lid").alias("x"),
             F.max("lid").alias("y")).where("owns > 0 AND x <> y").select("key", "owns", "first"), "part-sizes")
-        rows = stage(parts.join(sizes, "key").select("key", "lid", "own", "owns", "first"), "segment-rows")
+        rows = stage(parts.join(sizes, "key").select("key", "lid", "own", "owns", "first", "part"), "segment-rows")
     pairs = reduce(DataFrame.union, [f.select("a", "b") for f in found]).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return close_pairs(pairs, texts, edits, per_edit).select(
         line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"))
 
 
-def _own_pairs(rows: DataFrame) -> DataFrame:
-    """Each own line of a bucket with each other row of it, once; lines that are both near go without."""
-    a = rows.where("own").select("key", F.col("lid").alias("a"), F.col("near").alias("near_a"))
-    b = rows.select("key", F.col("lid").alias("b"), F.col("near").alias("near_b"), F.col("own").alias("own_b"))
+def _own_pairs(rows: DataFrame, sketched: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Each own line of a bucket with each other row of it that may be near.
+
+    Lines that are both near go without, and of several parts that two lines have in common, the first
+    has them.
+    """
+    a = _sketched(rows.where("own").select(
+        "key", F.col("lid").alias("a"), F.col("near").alias("near_a"), "part"), sketched, "a")
+    b = _sketched(rows.select("key", F.col("lid").alias("b"), F.col("near").alias("near_b"),
+                              F.col("own").alias("own_b")), sketched, "b")
+    first = " AND ".join(f"(part <= {i} OR {_mark(i, '(m{0}_a ^ m{0}_b)')} <> 0)" for i in range(4 * edits + 1))
     return a.join(b, "key").where(
-        "a <> b AND NOT (near_a AND near_b) AND (a < b OR NOT own_b)").select("a", "b")
+        "a <> b AND NOT (near_a AND near_b) AND (a < b OR NOT own_b) AND "
+        f"{first} AND {may_be_near(edits, per_edit)}").select("a", "b")
 
 
 def line_links(lines: DataFrame, several: DataFrame, edits: int, per_edit: int) -> DataFrame:

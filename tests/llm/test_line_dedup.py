@@ -246,3 +246,45 @@ def test_lines_within_edits_share_a_part(spark):
         assert all(len(m) == 13 for m in marks.values())
         assert min(n for i, n in shared.items() if i > 1) >= 1
         assert shared[1] <= 3
+
+
+def test_lines_with_letters_put_in_are_not_paired(spark, monkeypatch):
+    """Four letters put in at different places leave equal lengths and nearly equal pairs of characters."""
+    made = []
+    compare = line_dedup.close_pairs
+    monkeypatch.setattr(line_dedup, "close_pairs", lambda pairs, *rest: (
+        made.append(pairs.count()), compare(pairs, *rest))[1])
+    rng = random.Random(7)
+    base = " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(50))
+    n = 160
+    lines = []
+    for i in range(n):
+        at = 2 * i + 10
+        lines.append(base[:at] + "".join(rng.choice("pqrstuvw") for _ in range(4)) + base[at:])
+    lines += [edited(rng, lines[40]), edited(rng, edited(rng, edited(rng, lines[90])))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    dropped = {r.doc_id for r in line_report(docs).where("n_dropped > 0").collect()}
+    assert {n, n + 1} <= dropped
+    assert dropped == {j for j in range(n + 2) if any(
+        abs(len(lines[i]) - len(lines[j])) <= 3 and distance(lines[i], lines[j]) <= 3 for i in range(j))}
+    assert sum(made) < n * n // 6
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_sketches_let_near_lines_meet(spark, edits):
+    """Whatever the edits are and wherever they stand, lengths and sketches don't part near lines."""
+    rng = random.Random(edits)
+    rows = []
+    for i in range(400):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([60, 61, 100, 300, 700])))
+        b = a
+        for _ in range(rng.randint(0, edits)):
+            at = rng.choice([0, len(b) - 1, 39, 40, 55, rng.randrange(len(b))])
+            b = rng.choice([b[:at] + b[at + 1:], b[:at] + rng.choice("xyé") + b[at:],
+                            b[:at] + rng.choice("xyé") + b[at + 1:]])
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    texts = spark.createDataFrame(rows, "lid long, line string")
+    sketched = line_dedup.sketches(texts, edits)
+    pairs = spark.range(400).selectExpr("2 * id as a", "2 * id + 1 as b")
+    both = line_dedup._sketched(line_dedup._sketched(pairs, sketched, "a"), sketched, "b")
+    assert both.where(line_dedup.may_be_near(edits, 20)).count() == 400
